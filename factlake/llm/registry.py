@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import ready
 from .decontaminate import op4_decontaminate
+from .langid import op9_language_id
+from .secrets import op3_secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +23,7 @@ def _readied(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = [op4_decontaminate]
+    found = [op3_secret_scan, op4_decontaminate, op9_language_id]
     return {f.__name__: _readied(f) for f in found}
 
 
