@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ready
 from .decontaminate import op4_decontaminate
 from .langid import op9_language_id
+from .packing import op1_best_fit_packing
 from .secrets import op3_secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +24,7 @@ def _readied(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = [op3_secret_scan, op4_decontaminate, op9_language_id]
+    found = [op1_best_fit_packing, op3_secret_scan, op4_decontaminate, op9_language_id]
     return {f.__name__: _readied(f) for f in found}
 
 
