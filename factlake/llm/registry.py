@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import ready
 from .decontaminate import op4_decontaminate
+from .html import op7_html_extraction
 from .jaccard import op2_ngram_jaccard_join
 from .langid import op9_language_id
 from .packing import op1_best_fit_packing
 from .secrets import op3_secret_scan
+from .sharding import op8_virtual_slots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +27,7 @@ def _readied(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_best_fit_packing, op2_ngram_jaccard_join, op3_secret_scan, op4_decontaminate, op9_language_id]
+    found = [op1_best_fit_packing, op2_ngram_jaccard_join, op3_secret_scan, op4_decontaminate, op7_html_extraction, op8_virtual_slots, op9_language_id]
     return {f.__name__: _readied(f) for f in found}
 
 

@@ -17,11 +17,10 @@ from __future__ import annotations
 import uuid
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, table_or_none
 
 
 class Rule(NamedTuple):
@@ -69,10 +68,8 @@ def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def _seen(spark: SparkSession, ledger: str, version: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(ledger).filter(F.col("rule_version") == version)
-    except AnalysisException:  # nothing has been written there yet
-        return None
+    table = table_or_none(spark, ledger)
+    return None if table is None else table.filter(F.col("rule_version") == version)
 
 
 def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> None:
