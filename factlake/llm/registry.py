@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
+from .chat import op10_perspective_rotation
 from .common import ready
 from .decontaminate import op4_decontaminate
+from .fingerprint import op6_locally_consistent_parsing
 from .html import op7_html_extraction
 from .jaccard import op2_ngram_jaccard_join
 from .langid import op9_language_id
 from .packing import op1_best_fit_packing
+from .quality import op5_co_training
 from .secrets import op3_secret_scan
 from .sharding import op8_virtual_slots
 
@@ -27,9 +31,12 @@ def _readied(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_best_fit_packing, op2_ngram_jaccard_join, op3_secret_scan, op4_decontaminate, op7_html_extraction, op8_virtual_slots, op9_language_id]
+    found = [
+        op1_best_fit_packing, op2_ngram_jaccard_join, op3_secret_scan, op4_decontaminate, op5_co_training, op6_locally_consistent_parsing,
+        op7_html_extraction, op8_virtual_slots, op9_language_id, op10_perspective_rotation,
+    ]
     return {f.__name__: _readied(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {op10_perspective_rotation.__name__: chat.ORACLE}
