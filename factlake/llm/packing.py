@@ -16,6 +16,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, ready
+from .words import LOWER, chunks, span_hashes
 
 MAX_TOKENS = 2048
 END_ID = 0
-#: ids held by the word cache of a task before it starts afresh
-CACHE_IDS = 4 << 20
+#: ids held by a worker's cache of segments before it starts afresh
+CACHE_IDS = 6 << 20
 #: pieces of one length beyond which they are split by hash into several ranges
 RANGE_ROWS = 100_000
 
@@ -41,56 +43,134 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+#: classes of bytes: white space, letters, digits, other signs, and bytes whose words are encoded whole: contractions'
+#: apostrophes, the signs of special tokens, control characters and what is not ASCII
+_SPACE, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
+_CLASS = np.full(256, _WHOLE, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+_CLASS[[ord(c) for c in "'<|"]] = _WHOLE
+
+
+def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of each text that are encoded apart, whether one is a whole word of several classes,
+    and per text the index of its first one (one more entry at the end).
+
+    Texts are split at white space, and words of ASCII and Latin-1 letters, digits and signs also where the
+    tokenizer's own pattern splits them: between classes, and around each digit.
+    """
+    n = len(data)
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # Latin-1 letters but the two signs among them
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    inside = kind != _SPACE
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    edge = off[:-1][off[:-1] < n]
+    opens[edge] = inside[edge]
+    word = np.flatnonzero(opens)
+    if not len(word):
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(bool), np.zeros(len(off), np.int64)
+    whole = np.add.reduceat((kind == _WHOLE).astype(np.int64), word) > 0
+    split = inside & (kind == _DIGIT)
+    split[1:] |= inside[1:] & (kind[1:] != kind[:-1])
+    owner = np.cumsum(opens) - 1
+    split &= ~whole[np.maximum(owner, 0)]
+    opens |= split
+    start = np.flatnonzero(opens)
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:] | opens[1:]
+    end = np.flatnonzero(closes) + 1
+    return start, end, whole[owner[start]], np.searchsorted(start, off)
+
+
 class WordEncoder:
-    """Ids of whole texts, put together from the ids of their blank-separated words.
+    """Ids of whole texts, put together from the ids of their segments; each distinct segment is encoded once and remembered.
 
-    Right for tokenizers that drop white space and never join what it separates; each distinct word
-    is encoded once and remembered.
+    Right for tokenizers that drop white space, split letters, single digits and signs apart and mark the
+    last id of each stretch with `</w>`. Segments are known by a 64-bit hash of their lower-cased bytes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids, self.begin, self.count, self.total = np.zeros(1 << 16, np.uint32), [], [], 0
-        self.arrays = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def _learn(self, new: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, e in zip(new, encoded):
-            self.index[w] = len(self.begin)
-            self.begin.append(self.total)
-            self.count.append(len(e.ids))
-            while self.total + len(e.ids) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ids[self.total : self.total + len(e.ids)] = e.ids
-            self.total += len(e.ids)
-        self.arrays = (np.array(self.begin, np.int64), np.array(self.count, np.int64))
-
-    def __call__(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes, ascending, and their segments' numbers
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.total = np.zeros(1 << 16, np.uint32), 0
+
+    def _encoded(self, new: list[str], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the segments and the number of each one's. Simple segments are one stretch, so that many are encoded as one text."""
+        ids: list = [None] * len(new)
+        simple = np.flatnonzero(~whole)
+        runs = [simple[i : i + 512] for i in range(0, len(simple), 512)]
+        apart = list(np.flatnonzero(whole))
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(new[i] for i in run) for run in runs], add_special_tokens=False)):
+            got = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.last[got]) + 1
+            if len(ends) != len(run) or (len(ends) and ends[-1] != len(got)):
+                apart += list(run)
+                continue
+            for i, part in zip(run, np.split(got, ends[:-1])):
+                ids[i] = part
+        for i, e in zip(apart, self.tokenizer.encode_batch_fast([new[i] for i in apart], add_special_tokens=False)):
+            ids[i] = np.array(e.ids, np.uint32)
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+    def _learn(self, hashes: np.ndarray, new: list[str], whole: np.ndarray) -> None:
+        ids, count = self._encoded(new, whole)
+        while self.total + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.total : self.total + len(ids)] = ids
+        slot = np.arange(len(new)) + len(self.count)
+        self.begin = np.concatenate((self.begin, self.total + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        self.total += len(ids)
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.slot = np.insert(self.known, at, hashes), np.insert(self.slot, at, slot)
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
         """The ids of each text and END_ID behind them, as little-endian unsigned 32-bit numbers."""
-        for a in range(0, len(texts), 256):
-            split = [(t or b"").split() for t in texts[a : a + 256]]
-            if self.total > CACHE_IDS:
-                self._reset()
-            new = {w for ws in split for w in ws if w not in self.index}
-            if new:
-                self._learn(sorted(new))
-            get = self.index.__getitem__
-            begin, count = self.arrays
-            for ws in split:
-                at = np.fromiter(map(get, ws), np.int64, len(ws))
-                n = count[at]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                out = np.empty(total + 1, "<u4")
-                out[:total] = self.ids[np.repeat(begin[at] - ends + n, n) + np.arange(total)]
-                out[total] = END_ID
-                yield out
+        start, end, whole, at = segments(data, off)
+        if self.total > CACHE_IDS:
+            self._reset()
+        # special tokens are known by their very letters; all else is lower-cased by the tokenizer
+        h = span_hashes(data if whole.any() and b"<|" in data.tobytes() else LOWER[data], start, end)
+        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, distinct)
+        fresh = np.ones(len(distinct), bool)
+        inner = place < len(self.known)
+        fresh[inner] = self.known[place[inner]] != distinct[inner]
+        if fresh.any():
+            raw, which = data.tobytes(), first[fresh]
+            self._learn(distinct[fresh], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[which], end[which])], whole[which])
+            place = np.searchsorted(self.known, distinct)
+        slot = self.slot[place][inverse] if len(distinct) else np.zeros(0, np.int64)
+        n = self.count[slot]
+        ends = np.cumsum(n)
+        flat = self.ids[np.repeat(self.begin[slot] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[at]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            out = np.empty(b - a + 1, "<u4")
+            out[:-1] = flat[a:b]
+            out[-1] = END_ID
+            yield out
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process."""
+    return WordEncoder(path)
 
 
 def pieces(documents: DataFrame, path: str, max_tokens: int = MAX_TOKENS, keep_ids: bool = False) -> DataFrame:
@@ -100,22 +180,21 @@ def pieces(documents: DataFrame, path: str, max_tokens: int = MAX_TOKENS, keep_i
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = _encoder(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for first, data, off in chunks(batch.column(1)):
                 row, piece, start, length, crc, held = [], [], [], [], [], []
-                for i, ids in enumerate(encode(part.column(1).cast(pa.binary()).to_pylist())):
+                for i, ids in enumerate(encode(data, off)):
                     for k, s in enumerate(range(0, len(ids), max_tokens)):
                         own = ids[s : s + max_tokens]
-                        row.append(i)
+                        row.append(first + i)
                         piece.append(k)
                         start.append(s)
                         length.append(len(own))
-                        crc.append(zlib.crc32(own.tobytes()))
+                        crc.append(zlib.crc32(own))
                         if keep_ids:
                             held.append(own.astype(np.int64))
-                arrays = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32())]
+                arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32())]
                 arrays += [pa.array(x, pa.int64()) for x in (start, length, crc)] + [pa.array(held, pa.list_(pa.int64()))] * keep_ids
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 

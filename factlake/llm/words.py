@@ -81,13 +81,18 @@ def words(data: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
     last = off[1:] - 1
     after[last[last >= 0]] = False
     end = np.flatnonzero(inside & ~after)
+    return span_hashes(low, start, end + 1), np.searchsorted(start, off)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span; spans are not empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
     power, inverse = _tables(len(data) + 1)
-    total = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)
-    h = total[end] - total[start]
-    h += (low[start].astype(np.uint64) + np.uint64(1)) * power[start]
-    h *= inverse[start]
-    h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h, np.searchsorted(start, off)
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64, out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndarray]]:
