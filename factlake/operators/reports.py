@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from factlake.functions.columns import dependency_name, is_cross_object_call, one_of
 from factlake.schemas import REPORT
@@ -101,7 +102,7 @@ def _closed(t: str) -> str:
     return t
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_json(texts: pd.Series) -> pd.Series:
     return texts.map(repaired)
 
