@@ -8,15 +8,19 @@ shingle of their prefixes, the first n - ceil(t n) + 1 in that order.
 2. Documents of equal sets are one node; nodes of identical prefix and size are one group.
 3. Nodes that share a MinHash value are verified against the smallest node of theirs. That costs a few pairs
    a node however large a group of copies is, and settles most links' components.
-4. The prefix join runs on groups: groups that share a prefix shingle and hold nodes of different components
-   (only such links can still change a component) and of fitting sizes are expanded into pairs of nodes.
-5. All candidates are verified on whole sets; components come from the verified links.
+4. The prefix join runs on groups: groups that share a prefix shingle, at places and with sizes that leave room
+   for the similarity, and that hold nodes of different components (only such links can still change a
+   component) are expanded into pairs of nodes.
+5. Candidates first meet the parity filter: a node keeps the parity of its shingles' number in each of about as
+   many hash buckets as it has shingles, and two sets differ by at least as many shingles as parities. Those
+   that pass are verified on whole sets; components come from the verified links.
 
-Pairs inside a settled component are never made, so the work does not grow with the square of a group.
+Verification goes in rounds: first each node only meets the smallest of its candidates, and what that settles is
+dropped before the rest is verified. Pairs inside a settled component are never made or verified, so the work does not grow with the square of a group.
 
 Defined results: null and empty texts, and texts without words, have no shingles, no links and their own
 doc_id as component; a text of fewer words than a shingle is one shingle; rows with a null doc_id have a
-null component, though their texts link others; repeated rows are all returned; an empty table gives no
+null component and link nothing; repeated rows are all returned; an empty table gives no
 rows; further columns are ignored.
 """
 
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, ready
+from .common import cut, ready
 from .graph import components
 from .words import mix, shingle_sets
 
@@ -38,8 +42,14 @@ SHINGLE = 5
 PER_CENT = 75
 BUCKETS = 1 << 18
 #: a shingle counts as frequent from so many occurrences in one task on
-LOCAL_LEAST = 8
+LOCAL_LEAST = 2
 BANDS = 6
+LEAST_PARITIES, MOST_PARITIES = 256, 1 << 17
+#: size of the filter by which the pass that makes sets for verification knows whose it needs: fixed, so
+#: that it can be sent to every task; where it fills up, more sets than needed are made, never fewer
+WANTED_BITS = 1 << 24
+#: rounds in which a node only meets the smallest of its candidates
+FIRST_ROUNDS = 2
 #: sets that a task remembers having sent on, so that copies next to each other are sent once
 REMEMBERED = 1 << 16
 
@@ -90,31 +100,52 @@ def _node(s: np.ndarray) -> bytes:
 
 
 def _group(prefix: np.ndarray, n: int) -> int:
+    """The name of a prefix and size; its last byte is left for a place in the prefix."""
     with np.errstate(over="ignore"):
-        return int((mix(prefix + np.uint64(n)).sum()).astype(np.int64))
+        return int((mix(prefix + np.uint64(n)).sum() & ~np.uint64(255)).astype(np.int64))
+
+
+def _parity(s: np.ndarray) -> bytes:
+    n = min(MOST_PARITIES, max(LEAST_PARITIES, 1 << (len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one set only. The longer parity is folded until both are of one length."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
 
 
 def _documents(documents: DataFrame, levels: np.ndarray, size: int, per_cent: int) -> DataFrame:
-    """doc_id, node, n, grp and BANDS MinHash values of every row; node is null for an empty set."""
+    """doc_id, node, n, grp, BANDS MinHash values and parities of every row; node is null for an empty set."""
     seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     kind = documents.select("doc_id").schema.fields[0].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, grp, mins = [], [], [], []
+            node, n, grp, mins, odd = [], [], [], [], []
             for _, s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
                 grp.append(_group(_prefix(s, levels, per_cent), len(s)) if len(s) else None)
+                odd.append(_parity(s) if len(s) else None)
                 mins.append([int(mix(s ^ x).min().astype(np.int64)) for x in seeds] if len(s) else None)
-            arrays = [batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(grp, pa.int64()), pa.array(mins, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "n", "grp", "mins"])
+            arrays = [batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(grp, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "n", "grp", "mins", "odd"])
 
-    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(scan, f"doc_id {kind}, node binary, n long, grp long, mins array<long>")
+    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(scan, f"doc_id {kind}, node binary, n long, grp long, mins array<long>, odd binary")
 
 
 def _shared(documents: DataFrame, levels: np.ndarray, size: int, per_cent: int) -> DataFrame:
-    """(token, grp) of the prefix shingles that at least two groups share: the one shuffle of prefixes."""
+    """(token, grp, place) of the prefix shingles that at least two groups share: the one shuffle of prefixes.
+
+    place is the shingle's place in the global order of its set, in 256ths of the set's size, rounded down.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -131,7 +162,7 @@ def _shared(documents: DataFrame, levels: np.ndarray, size: int, per_cent: int)
                     sent.clear()
                 sent.add(g)
                 tokens.append(prefix)
-                groups.append(np.full(len(prefix), g, np.int64))
+                groups.append(g | np.arange(len(prefix)) * 256 // len(s))
                 n += len(prefix)
                 if n > 200_000:
                     yield _pairs_batch(tokens, groups)
@@ -171,27 +202,72 @@ def _shared(documents: DataFrame, levels: np.ndarray, size: int, per_cent: int)
 
     rows = documents.select(F.col("text").cast("string")).mapInArrow(emit, "token long, grp long")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "token").sortWithinPartitions("token", "grp").mapInArrow(buckets, "token long, grp long")
+    found = rows.repartition(parts, "token").sortWithinPartitions("token", "grp").mapInArrow(buckets, "token long, grp long")
+    return found.select("token", F.col("grp").bitwiseAND(F.lit(~255)).alias("grp"), F.col("grp").bitwiseAND(F.lit(255)).alias("place"))
 
 
 def _pairs_batch(tokens: list[np.ndarray], groups: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(groups))], names=["token", "grp"])
 
 
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """Bits set at the hash of each doc_id: WANTED_BITS of them, however many ids there are."""
+    h = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS)).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    rows = h.groupBy(F.shiftright("h", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(WANTED_BITS >> 6, np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
+    """The distinct pairs (a, b) of nodes that the parity filter lets pass."""
+    one = nodes.select("node", "n", "odd")
+    both = pairs.join(one.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b")), "b")
+    both = both.join(one.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a")), "a").select("a", "b", "n_a", "n_b", "odd_a", "odd_b")
+
+    def could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.fromiter(map(_apart, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, batch.num_rows)
+            ok = apart * (100 + per_cent) <= n * (100 - per_cent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return cut(both.mapInArrow(could, "a binary, b binary").distinct(), "candidates")
+
+
+def _unsettled(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose nodes the links do not connect yet."""
+    roots = cut(components(links), "roots")
+    for x in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    return cut(pairs.filter(apart).select("a", "b"), "unsettled")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link. Whole sets are made again for the nodes in pairs only, from one document of each."""
+    """The pairs (a, b) of nodes that link, by their whole sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted.select("doc_id").distinct().hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi").select("text")
+    bits = _filter_of(wanted)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                found = [s for _, s in shingle_sets(batch.column(0).slice(a, 256), size) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "members"])
+            h = batch.column(1).to_numpy()
+            need = (bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
+            column = batch.column(0).filter(pa.array(need))
+            for a in range(0, len(column), 256):
+                found = {}
+                for _, s in shingle_sets(column.slice(a, 256), size):
+                    if len(s) and (node := _node(s)) not in sent:
+                        found[node] = s.tobytes()
+                if len(sent) >= REMEMBERED:
+                    sent.clear()
+                sent.update(found)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["node", "members"])
 
+    texts = documents.filter("doc_id is not null").select(F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS)).alias("h"))
     sets = texts.mapInArrow(make, "node binary, members binary").groupBy("node").agg(F.first("members").alias("members"))
-    sets = cut(sets, "sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
     both = both.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").select("a", "b", "ma", "mb")
 
@@ -205,9 +281,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: in
                 ok.append(100 * common >= per_cent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    out = cut(both.mapInArrow(verify, "a binary, b binary"), "links")
-    drop(sets)
-    return out
+    return cut(both.mapInArrow(verify, "a binary, b binary"), "links")
 
 
 def linked(documents: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
@@ -215,7 +289,7 @@ def linked(documents: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT)
     ready(documents.sparkSession)
     levels = _levels(documents, size)
     docs = cut(_documents(documents, levels, size, per_cent), "documents")
-    nodes = cut(docs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("mins").alias("mins")), "nodes")
+    nodes = cut(docs.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("mins").alias("mins"), F.first("odd").alias("odd")), "nodes")
 
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * per_cent
     # MinHash values that several nodes share: each node against the smallest of them
@@ -223,7 +297,7 @@ def linked(documents: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT)
     pivots = banded.groupBy("band", "value").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("c")).filter("c > 1")
     star = banded.join(pivots, ["band", "value"]).select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("n_a"), F.col("n").alias("n_b"))
     star = star.filter("a < b").filter(fits).select("a", "b").distinct()
-    links = _verified(star, nodes, documents, size, per_cent)
+    links = _verified(_possible(star, nodes, per_cent), nodes, documents, size, per_cent)
     roots = cut(components(links), "roots")
 
     # the prefix join, on groups whose nodes are not of one component yet
@@ -233,18 +307,25 @@ def linked(documents: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT)
     shared = _shared(documents, levels, size, per_cent).join(groups, "grp")
     shared = cut(shared, "shared")
     open_tokens = shared.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("token")
-    members = shared.select("token", "grp").join(open_tokens, "token").join(settled, "grp")
-    mixed = cut(members.select("token", "node", "n", "root"), "mixed")
-    left = mixed.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-    right = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-    across = left.join(right, "token").filter("a < b and r_a <> r_b").filter(fits).select("a", "b")
+    members = shared.select("token", "grp", "place").join(open_tokens, "token").join(settled, "grp")
+    mixed = cut(members.select("token", "place", "node", "n", "root"), "mixed")
+    left, right = (mixed.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "root")]) for x in "ab")
+    # what a set has before its first shared shingle cannot be shared
+    shares = F.ceil((F.col("n_a") + F.col("n_b")) * per_cent / (100 + per_cent))
+    room = (F.col("place_a") * F.col("n_a") / 256 <= F.col("n_a") - shares) & (F.col("place_b") * F.col("n_b") / 256 <= F.col("n_b") - shares)
+    across = left.join(right, "token").filter("a < b and root_a <> root_b").filter(fits & room).select("a", "b")
     in_group = settled.join(groups.filter("lo <> hi").select("grp"), "grp")
     one = in_group.select("grp", F.col("node").alias("a"), F.col("root").alias("r_a"))
     two = in_group.select("grp", F.col("node").alias("b"), F.col("root").alias("r_b"))
     inside = one.join(two, "grp").filter("a < b and r_a <> r_b").select("a", "b")
-    more = _verified(cut(across.unionByName(inside).distinct(), "pairs"), nodes, documents, size, per_cent)
-
-    every = cut(components(links.unionByName(more)), "roots")
+    pairs = _possible(across.unionByName(inside), nodes, per_cent)
+    for _ in range(FIRST_ROUNDS):
+        nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links = links.unionByName(_verified(cut(nearest, "nearest"), nodes, documents, size, per_cent))
+        pairs = _unsettled(pairs.join(nearest, ["a", "b"], "left_anti"), links)
+    links = links.unionByName(_verified(pairs, nodes, documents, size, per_cent))
+
+    every = cut(components(links), "roots")
     named = nodes.select("node", "doc_id").join(every, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     named = cut(named, "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"))

@@ -292,7 +292,7 @@ def _(s, d):
     return _t(s, d, "sql_texts").select("sql_id", F.array_join(sqltext.fields_of(F.col("sql_text"), F.col("sql_type")), ",").alias("fields"))
 
 
-@_query("x12_without_tags", "SELECT sql_id, trim(regexp_replace(regexp_replace(regexp_replace(sql_text, '</?set[^>]*>', '', 'g'), '[#$]\\{[^}]+\\}', '?', 'g'), '\\s+', ' ', 'g')) AS text FROM sql_texts", ("sql_texts",))
+@_query("x12_without_tags", "SELECT sql_id, trim(regexp_replace(regexp_replace(regexp_replace(sql_text, '</?trim[^>]*>', '', 'g'), '[#$]\\{[^}]+\\}', '?', 'g'), '\\s+', ' ', 'g')) AS text FROM sql_texts", ("sql_texts",))
 def _(s, d):
     return _t(s, d, "sql_texts").select("sql_id", sqltext.without_tags(F.col("sql_text")).alias("text"))
 

@@ -59,7 +59,7 @@ SELECT p_partkey AS sql_id, CASE p_partkey % 4 WHEN 0 THEN 'SELECT' WHEN 1 THEN
   CASE p_partkey % 4
     WHEN 0 THEN CASE WHEN p_size % 5 = 0 THEN 'SELECT *' ELSE 'SELECT t.p_name,   p_size AS sz' END || ' FROM t_' || {_s("p_size")} || ' t LEFT JOIN x_' || {_s("p_size % 7")} || ' x ON t.id = x.id WHERE t.c' || {_s("p_size % 9")} || ' = #{{{{id}}}} AND d LIKE #{{{{q}}}} ORDER BY p_size DESC'
     WHEN 1 THEN 'INSERT INTO t_' || {_s("p_size")} || ' (id, c' || {_s("p_size % 9")} || ', name) VALUES (#{{{{a}}}}, #{{{{b}}}}, #{{{{c}}}})'
-    WHEN 2 THEN 'UPDATE t_' || {_s("p_size")} || ' <set>c1 = #{{{{x}}}}, c' || {_s("p_size % 9")} || ' = #{{{{y}}}}</set> WHERE id = $' || '{{{{id}}}}'
+    WHEN 2 THEN 'UPDATE t_' || {_s("p_size")} || ' SET <trim>c1 = #{{{{x}}}}, c' || {_s("p_size % 9")} || ' = #{{{{y}}}}</trim> WHERE id = $' || '{{{{id}}}}'
     ELSE 'DELETE FROM t_' || {_s("p_size")} || ' WHERE id IN (1, 2) AND c' || {_s("p_size % 9")} || ' > 3' END AS sql_text
 FROM {{part}}""",
     "class_facts": f"""
