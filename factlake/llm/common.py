@@ -41,10 +41,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """The Parquet table at path, or None where there is none yet."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import cut, ready
 from .words import ALNUM, chunks, mix, words
 
 WINDOW = 10
 #: characters of benchmark text searched in one pass over the documents; more items take more passes
 BLOCK_CHARS = 32 << 20
+#: passes that run in one chain of workers before their results are written
+CHAIN = 4
 #: words of a shard, beyond one longer document
 SHARD_WORDS = 1 << 18
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -166,7 +168,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, keep: list[str], window: in
 
     The benchmark is a stated query set: it is searched in blocks of at most block_chars characters,
     one after the other, each against all documents. A block's pass is narrow (no shuffle at all) and
-    adds to what earlier blocks found for the row.
+    adds to what earlier blocks found for the row; after CHAIN passes their results are written.
     """
     ready(documents.sparkSession)
     named = [f"_keep{i}" for i in range(len(keep))]
@@ -174,6 +176,8 @@ def hits(documents: DataFrame, benchmark: DataFrame, keep: list[str], window: in
     blocks = list(_blocks(benchmark, block_chars))
     for k, items in enumerate(blocks):
         state = _pass(state, items, named, window, k == 0, k == len(blocks) - 1)
+        if k % CHAIN == CHAIN - 1 and k < len(blocks) - 1:
+            state = cut(state, "searched")
     return state.select(
         *[F.col(n).alias(c) for c, n in zip(keep, named)], "n_words", F.size("hit_words").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), "items", "hit_words", "longest", "spans",

@@ -68,7 +68,7 @@ def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def _seen(spark: SparkSession, ledger: str, version: str) -> DataFrame | None:
-    table = table_or_none(spark, ledger)
+    table = table_or_none(spark, ledger, f"blob string, spans {_SPANS}, rule_version string")
     return None if table is None else table.filter(F.col("rule_version") == version)
 
 

@@ -122,7 +122,7 @@ def shard(documents: DataFrame, path: str, shards: int = SHARDS, slots: int = SL
     records = measured(documents, slots)
     stats = {r.vslot: (r.b, r.n) for r in records.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
     sizes = {s: b for s, (b, _) in stats.items()}
-    if table_or_none(spark, path) is None:
+    if table_or_none(spark, path, "vslot int, shard int, bytes long, version int") is None:
         version, held = 0, even_map(sizes, shards, slots)
     else:
         version, old = load_map(spark, path)

@@ -1,0 +1,31 @@
+"""The stages on a small corpus, and clashing column names."""
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+
+
+def test_stages(spark, tmp_path):
+    words = [f"the of and with that this house{i % 13} water{i % 7}" for i in range(200)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 160, 8)]
+    bench = "every item of this benchmark has a passage of more than ten words in it"
+    rows = [(i, t + f" own{i} " * 3, "en", "s", len(t)) for i, t in enumerate(texts)]
+    rows += [(100 + i, rows[0][1], "en", "s", 1) for i in range(5)] + [(200, texts[3] + " " + bench, "en", "s", 1), (201, "one more text of the house with password=hunter2hunter2 and water", "en", "s", 1), (202, None, "en", "s", 0)]
+    d = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([("i1", bench)], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("node", F.lit(1)).withColumn("blob", F.lit("x")).withColumn("n", F.lit(2))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d)
+        out.write.parquet(f"{d}/{name}")
+        before, docs = docs.columns, spark.read.parquet(f"{d}/{name}")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == before
+        seen[name] = {r.doc_id: r for r in docs.collect()}
+    assert 202 not in seen["language_id"] and len(seen["language_id"]) == len(rows) - 1
+    assert not {100, 101, 102, 103, 104} & set(seen["near_duplicates"]) and 0 in seen["near_duplicates"]
+    assert set(seen["near_duplicates"]) - set(seen["benchmark_decontamination"]) == {200}
+    assert "hunter2" not in seen["secret_scan"][201].text and set(seen["secret_scan"]) == set(seen["benchmark_decontamination"])
+    assert set(seen["best_fit_packing"]) == set(seen["secret_scan"])
+    assert corpus_pipeline.run(spark, d).count() == docs.count()
