@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, decontaminate, jaccard
 from .chat import op10_perspective_rotation
 from .common import ready
 from .decontaminate import op4_decontaminate
@@ -39,4 +39,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op10_perspective_rotation.__name__: chat.ORACLE}
+    return {op2_ngram_jaccard_join.__name__: jaccard.ORACLE, op4_decontaminate.__name__: decontaminate.ORACLE, op10_perspective_rotation.__name__: chat.ORACLE}
