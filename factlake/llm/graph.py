@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 
+#: edges, of two names each, that one task holds without trouble
+SMALL = 100_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) → (node, root): root is the smallest node that links reach.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on the smallest
     neighbour; the rounds end when the edges no longer change, after O(log^2 n) of them. Only two
-    numbers a round reach the driver. An empty table gives an empty result; self links and
-    repeated links count once.
+    numbers a round reach the driver. Up to SMALL edges are kept in one partition, where rounds need no
+    shuffle. An empty table gives an empty result; self links and repeated links count once.
     """
     edges = cut(links.select("a", "b").filter("a is not null and b is not null and a <> b").distinct(), "edges")
+    small = edges.count() <= SMALL
     seen = None
     while True:
+        if small:
+            edges = edges.coalesce(1)
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))

@@ -10,7 +10,9 @@ shingle of their prefixes, the first n - ceil(t n) + 1 in that order.
    a node however large a group of copies is, and settles most links' components.
 4. The prefix join runs on groups: groups that share a prefix shingle, at places and with sizes that leave room
    for the similarity, and that hold nodes of different components (only such links can still change a
-   component) are expanded into pairs of nodes.
+   component) are expanded into pairs of nodes. First, for some rounds, each node only meets one node of each
+   of its shingles, first the one that shares most (of near copies, the least edited), so that groups of near
+   copies are settled by a few pairs a node; then all pairs of what is left are made.
 5. Candidates first meet the parity filter: a node keeps the parity of its shingles' number in each of about as
    many hash buckets as it has shingles, and two sets differ by at least as many shingles as parities. Those
    that pass are verified on whole sets; components come from the verified links.
@@ -49,7 +51,9 @@ LEAST_PARITIES, MOST_PARITIES = 256, 1 << 17
 #: that it can be sent to every task; where it fills up, more sets than needed are made, never fewer
 WANTED_BITS = 1 << 24
 #: rounds in which a node only meets the smallest of its candidates
-FIRST_ROUNDS = 2
+FIRST_ROUNDS = 1
+#: rounds in which a node meets one node of each of its prefix shingles
+PIVOT_ROUNDS = 3
 #: sets that a task remembers having sent on, so that copies next to each other are sent once
 REMEMBERED = 1 << 16
 
@@ -304,20 +308,37 @@ def linked(documents: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT)
     settled = nodes.join(roots, "node", "left").select("node", "n", "grp", F.coalesce("root", "node").alias("root"))
     settled = cut(settled, "settled")
     groups = settled.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    shared = _shared(documents, levels, size, per_cent).join(groups, "grp")
-    shared = cut(shared, "shared")
+    # shingles that the very same groups share, as those of one passage, are one: at the first of their places
+    shared = cut(_shared(documents, levels, size, per_cent), "shared")
+    # how many shingles of its prefix a group shares: of near copies, those with the fewest edits share most
+    common = shared.groupBy("grp").agg(F.count("*").alias("common"))
+    lists = shared.groupBy("token").agg(F.bit_xor(F.xxhash64("grp")).alias("list"))
+    shared = shared.join(lists, "token").groupBy(F.col("list").alias("token"), "grp").agg(F.min("place").alias("place"))
+    shared = cut(shared.join(groups, "grp").join(common, "grp"), "shared")
     open_tokens = shared.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("token")
-    members = shared.select("token", "grp", "place").join(open_tokens, "token").join(settled, "grp")
-    mixed = cut(members.select("token", "place", "node", "n", "root"), "mixed")
-    left, right = (mixed.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "root")]) for x in "ab")
+    members = shared.select("token", "grp", "place", "common").join(open_tokens, "token").join(settled, "grp")
+    mixed = cut(members.select("token", "place", "common", "node", "n", "root"), "mixed")
     # what a set has before its first shared shingle cannot be shared
     shares = F.ceil((F.col("n_a") + F.col("n_b")) * per_cent / (100 + per_cent))
     room = (F.col("place_a") * F.col("n_a") / 256 <= F.col("n_a") - shares) & (F.col("place_b") * F.col("n_b") / 256 <= F.col("n_b") - shares)
-    across = left.join(right, "token").filter("a < b and root_a <> root_b").filter(fits & room).select("a", "b")
+    parts = ("place", "n", "root")
+    for k in range(PIVOT_ROUNDS):
+        pick = F.min if k == PIVOT_ROUNDS - 1 else F.max
+        pivots = mixed.groupBy("token").agg(pick(F.struct(*["common"] * (k == 0), "node", *parts)).alias("p"))
+        met = mixed.join(pivots, "token").select(F.col("p.node").alias("a"), F.col("node").alias("b"), *[F.col(f"p.{c}").alias(f"{c}_a") for c in parts], *[F.col(c).alias(f"{c}_b") for c in parts])
+        met = met.filter("root_a <> root_b").filter(fits & room).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.unionByName(_verified(_possible(met, nodes, per_cent), nodes, documents, size, per_cent))
+        roots = cut(components(links), "roots")
+        mixed = mixed.drop("root").join(roots, "node", "left").select("token", "place", "common", "node", "n", F.coalesce("root", "node").alias("root"))
+        mixed = cut(mixed, "mixed")
+        several = mixed.groupBy("token").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("token")
+        mixed = cut(mixed.join(several, "token"), "mixed")
+    left, right = (mixed.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in parts]) for x in "ab")
+    across = left.join(right, "token").filter("a < b and root_a <> root_b").filter(fits & room).select("a", "b").distinct()
     in_group = settled.join(groups.filter("lo <> hi").select("grp"), "grp")
-    one = in_group.select("grp", F.col("node").alias("a"), F.col("root").alias("r_a"))
-    two = in_group.select("grp", F.col("node").alias("b"), F.col("root").alias("r_b"))
-    inside = one.join(two, "grp").filter("a < b and r_a <> r_b").select("a", "b")
+    one = in_group.select("grp", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    two = in_group.select("grp", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    inside = one.join(two, "grp").filter("a < b and root_a <> root_b").select("a", "b")
     pairs = _possible(across.unionByName(inside), nodes, per_cent)
     for _ in range(FIRST_ROUNDS):
         nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -348,3 +369,16 @@ def deduplicated(documents: DataFrame) -> DataFrame:
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0) x
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PER_CENT} * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c LEFT JOIN n USING (doc_id)
+"""
