@@ -190,8 +190,9 @@ def _counted(rows: DataFrame, view: str) -> dict[str, np.ndarray]:
 
 def trained(table: DataFrame, rounds: int = ROUNDS) -> tuple[dict[tuple[str, str], Model], dict[str, Curve]]:
     """Both views' models and the combining curves. table: features, fold (0 to count, 1 to calibrate) and labels (1, 0, -1)."""
-    held = table.filter("fold = 1").filter(" or ".join(f"{t} >= 0" for t in TARGETS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    held = cut(held.select("content", "meta", *TARGETS), "calibration")
+    held = table.filter("fold = 1").filter(" or ".join(f"{t} >= 0" for t in TARGETS))
+    chosen = held.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
+    held = cut(held.join(F.broadcast(chosen), "doc_id", "left_semi").select("content", "meta", *TARGETS), "calibration")
     given = [F.when(F.col("fold") == 0, F.col(t)).otherwise(-1).alias(f"{v}_{t}_y") for v in VIEWS for t in TARGETS]
     rows = table.select("content", "meta", *given)
     models: dict[tuple[str, str], Model] = {}
