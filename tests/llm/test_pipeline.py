@@ -10,7 +10,7 @@ def test_stages(spark, tmp_path):
     texts = [" ".join(words[k : k + 40]) for k in range(0, 160, 8)]
     bench = "every item of this benchmark has a passage of more than ten words in it"
     rows = [(i, t + f" own{i} " * 3, "en", "s", len(t)) for i, t in enumerate(texts)]
-    rows += [(100 + i, rows[0][1], "en", "s", 1) for i in range(5)] + [(200, texts[3] + " " + bench, "en", "s", 1), (201, "one more text of the house with password=hunter2hunter2 and water", "en", "s", 1), (202, None, "en", "s", 0)]
+    rows += [(100 + i, rows[0][1], "en", "s", 1) for i in range(5)] + [(200, "words like no other text of this corpus stand here and then " + bench, "en", "s", 1), (201, "one more text of the house with password=hunter2hunter2 and water", "en", "s", 1), (202, None, "en", "s", 0)]
     d = f"file://{tmp_path}"
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([("i1", bench)], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
