@@ -7,9 +7,9 @@ maxima of labels start phrases, which so have between 2 and a dozen symbols. A p
 its symbols. Where a phrase starts depends on a few neighbours only, so equal substrings have the same
 phrases inside, at whatever offset.
 
-The fingerprint is the SKETCH smallest 32-bit hashes of the names of levels FROM_LEVEL and above (of all
-levels for short texts) as hexadecimal text; likeness() estimates from two of them which share of all names
-both texts have.
+The fingerprint is the SKETCH smallest 32-bit hashes of the names of all levels as hexadecimal text;
+likeness() estimates from two of them which share of all names both texts have. Texts of every length are told
+by the same levels, so that any two fingerprints can be compared.
 
 Defined results: a null text is the empty one, whose fingerprint is empty; the empty fingerprint is like
 itself (1) and unlike any other (0); null doc_ids come after all others, rows of equal doc_id are ordered
@@ -30,9 +30,6 @@ from .common import ready
 from .words import mix
 
 SKETCH = 64
-FROM_LEVEL = 3
-#: texts of fewer code points are told by the names of all levels
-SHORT = 256
 MAX_LEVELS = 40
 #: code points parsed at once, beyond one longer text
 CHUNK = 1 << 18
@@ -108,19 +105,16 @@ def _sketches(texts: list[str]) -> list[np.ndarray]:
     lengths = np.array([len(t) for t in texts])
     names = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     text = np.repeat(np.arange(len(texts)), lengths)
-    short = lengths < SHORT
     held_names, held_text = [], []
     level = 0
     while len(names) and level < MAX_LEVELS:
         names, text = _phrases(names, text)
         level += 1
-        keep = np.ones(len(names), bool) if level >= FROM_LEVEL else short[text]
-        held_names.append((mix(names[keep] ^ np.uint64(level)) >> np.uint64(32)).astype(np.uint32))
-        held_text.append(text[keep])
-        alone = np.bincount(text, minlength=len(texts)) == 1  # these are one symbol, named on the level above too
+        held_names.append((mix(names ^ np.uint64(level)) >> np.uint64(32)).astype(np.uint32))
+        held_text.append(text)
+        alone = np.bincount(text, minlength=len(texts)) == 1  # these are one symbol, and end here
         if alone.any():
-            stop = alone & (short | (level >= FROM_LEVEL))
-            more = ~stop[text]
+            more = ~alone[text]
             names, text = names[more], text[more]
     if not held_names:
         return [np.zeros(0, np.uint32) for _ in texts]

@@ -214,6 +214,14 @@ def test_equal_substrings_share_phrases():
     assert fingerprint.likeness(empty, empty) == 1 and fingerprint.likeness(empty, a) == 0
 
 
+def test_near_copies_of_any_length_are_alike():
+    r = random.Random(2)
+    text = " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(300))
+    for n in (20, 60, 130, 258, 300, 520, 1030):
+        a, b = fingerprint.sketches([text[:n], text[: n - n // 32]])
+        assert fingerprint.likeness(a, b) > 0.6, n
+
+
 PAGE = (
     '<html><head><title>T</title></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies to do things and more things ok?</div><ul class="menu"><li><a href=x>Home</a></ul>'
     '<div class="content"><h2>Title here</h2><p>Some long paragraph of text that is the article and goes on &amp; on.<p>Short.<script>if(a<b)"</p>"</script></p><div class="sidebar">side text</div>'
