@@ -31,10 +31,10 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = large.distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(
+        hung = large.join(down, "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )
-        new = cut(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
+        new = cut(hung.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
         state = new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         drop(edges)
         edges = new
