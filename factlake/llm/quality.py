@@ -7,9 +7,9 @@ counts have not seen, turns them into a probability. In each round a view counts
 documents, those that the other view is confident about. At last both views' calibrated log-odds are
 combined by a further fitted curve, and every document is scored.
 
-Feature counts are taken over all labelled and pseudo-labelled documents; a model is two tables of at most
-FEATURES numbers for each view. The curves are fitted on a bounded sample: the CALIBRATION_ROWS held-back
-labelled documents with the smallest hash of doc_id.
+Feature counts are taken over all labelled and pseudo-labelled documents but those held back; a model is two tables of at most
+FEATURES numbers for each view. The curves are fitted on a bounded sample, and only it is held back: of a third
+of the labelled documents, the CALIBRATION_ROWS with the smallest hash of doc_id.
 
 Two targets run side by side: `quality` and `toxic`; a document is kept if it is good and not toxic.
 
@@ -189,10 +189,13 @@ def _counted(rows: DataFrame, view: str) -> dict[str, np.ndarray]:
 
 
 def trained(table: DataFrame, rounds: int = ROUNDS) -> tuple[dict[tuple[str, str], Model], dict[str, Curve]]:
-    """Both views' models and the combining curves. table: features, fold (0 to count, 1 to calibrate) and labels (1, 0, -1)."""
+    """Both views' models and the combining curves. table: features, fold (0 to count, 1 to calibrate if chosen) and labels (1, 0, -1)."""
     held = table.filter("fold = 1").filter(" or ".join(f"{t} >= 0" for t in TARGETS))
-    chosen = held.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    held = cut(held.join(F.broadcast(chosen), "doc_id", "left_semi").select("content", "meta", *TARGETS), "calibration")
+    chosen = held.select("doc_id").distinct().select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(CALIBRATION_ROWS)
+    edge = chosen.agg(F.max("h")).first()[0]
+    # only the rows chosen are kept back; all other labelled ones are counted
+    table = table.withColumn("fold", F.when((F.col("fold") == 1) & (F.xxhash64("doc_id") <= F.lit(edge).cast("long")), 1).otherwise(0))
+    held = cut(table.filter("fold = 1").select("content", "meta", *TARGETS), "calibration")
     given = [F.when(F.col("fold") == 0, F.col(t)).otherwise(-1).alias(f"{v}_{t}_y") for v in VIEWS for t in TARGETS]
     rows = table.select("content", "meta", *given)
     models: dict[tuple[str, str], Model] = {}
@@ -229,7 +232,7 @@ def scored(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Dat
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(*[F.avg(t).alias(t) for t in TARGETS])
     known = known.select("_id", *[F.when(F.col(t) >= 0.5, 1).when(F.col(t) < 0.5, 0).otherwise(-1).alias(t) for t in TARGETS])
     table = features(documents).join(known, F.col("doc_id") == F.col("_id"), "left").drop("_id").fillna(-1, list(TARGETS))
-    # two of three labelled documents are counted, one is kept back to calibrate; unlabelled ones are all counted
+    # one of three labelled documents may be kept back to calibrate; all others are counted
     fold = F.when((F.greatest(*TARGETS) >= 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0), 1).otherwise(0)
     table = cut(table.withColumn("fold", fold), "features")
     models, combined = trained(table, rounds)

@@ -328,3 +328,14 @@ def test_quality(spark, docs, none):
     flat = rows_of(quality.scored(docs, labels_none))
     assert len(flat) == docs.count() and {x.quality_score for x in flat} == {0.5} and all(x.keep for x in flat)
     assert quality.scored(none, labels_none).count() == 0
+
+
+def test_labelled_rows_beyond_the_calibration_sample_are_counted(spark, monkeypatch):
+    ready(spark)
+    rows = [(i, f"{WORDS[i % 13]} {WORDS[i % 7]} {'good' if i % 2 else 'bad'}", "en", "s", 1) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0 and 1 or 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    counted, count = [], quality._counted
+    monkeypatch.setattr(quality, "CALIBRATION_ROWS", 10)
+    monkeypatch.setattr(quality, "_counted", lambda rows, view: counted.append(rows.filter(f"{view}_quality_y >= 0").count()) or count(rows, view))
+    assert quality.scored(spark.createDataFrame(rows, DOC), labels, rounds=0).count() == 120
+    assert counted == [80, 80]
