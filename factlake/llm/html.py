@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped and every block element's text becomes a line. The text lengths of lines, with link text
-and the text of page furniture counted as nothing, are summed over a sliding window of lines. Where the sums
-rise from nothing the text surges, where they fall back to nothing it dives; what lies between is kept, in
-page order, without the furniture in it. Where the page marks its article, only lines of the article weigh.
+Markup is stripped and every block element's text becomes a line. The text lengths of lines are taken in page
+order, with link text and the text of page furniture counted as nothing. Where they first rise from nothing the
+text surges, where they last fall back to nothing it dives; all lines between are kept, those of links too, but
+for the furniture. No length is too short for a surge, so that no window of lines is needed. Where the page marks
+its article, only lines of the article count, and link text counts like any other.
 
 Furniture is told by element (navigation, footers, forms, scripts, ...) and by the words of class, id and
 role. Unclosed and crossed elements end where their parent ends; a page cut off in a tag ends there.
@@ -25,9 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import ready
 
-#: lines of a window, and the characters from which a window's sum counts as a surge where no article is marked
-WINDOW = 3
-SURGE = 60
 BETWEEN = "\n\n"
 
 #: fixed values: elements by their part in a page
@@ -155,34 +153,12 @@ def lines_of(page: str) -> list[Line]:
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     marked = any(x.article and not x.furniture and x.chars for x in lines)
-    weights = [0 if x.furniture or (marked and not x.article) else x.chars if marked else x.chars - x.linked for x in lines]
-    surge = 1 if marked else SURGE
-    kept: list[int] = []
-    regions = list(_regions(weights))
-    strong = [r for r in regions if r[2] >= surge]
-    for first, last, _ in strong or sorted(regions, key=lambda r: (-r[2], r[0]))[:1]:
-        kept += range(first, last + 1)
-    texts = (lines[i].text() for i in kept if weights[i])
+    own = [x for x in lines if not x.furniture and (x.article or not marked)]
+    heavy = [i for i, x in enumerate(own) if x.chars > (0 if marked else x.linked)]
+    texts = (x.text() for x in own[heavy[0] : heavy[-1] + 1]) if heavy else ()
     return BETWEEN.join(t for t in texts if t)
 
 
-def _regions(weights: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(surge line, dive line, highest window sum) of each stretch whose window sums are above nothing."""
-    first = last = None
-    peak = 0
-    for i, w in enumerate(weights):
-        if w:
-            if first is None:
-                first = i
-            last = i
-            peak = max(peak, sum(weights[i : i + WINDOW]))
-        elif first is not None and not any(weights[i : i + WINDOW]):
-            yield first, last, peak
-            first, peak = None, 0
-    if first is not None:
-        yield first, last, peak
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     ready(pages.sparkSession)

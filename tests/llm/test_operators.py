@@ -253,6 +253,15 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_short_and_linked_lines_of_unmarked_pages():
+    long = "A paragraph of the article that is longer than any threshold a stretch of text could have."
+    menu = "<ul class=menu><li>a<li>b<li>c<li>d</ul>"
+    page = f"<body><p>Short start.</p>{menu}<p>{long}</p><p><a href=x>All of it a link</a></p>{menu}<p>{long}</p>{menu}<p>Short end.</p></body>"
+    assert html.main_text(page) == "\n\n".join(["Short start.", long, "All of it a link", long, "Short end."])
+    assert html.main_text(f"<p>One.</p>{menu}<p>Two, longer.</p>{menu}<p>Three.</p>") == "One.\n\nTwo, longer.\n\nThree."
+    assert html.main_text("<p><a>Home</a></p><p>Text</p><p><a>Next</a></p>") == "Text"
+
+
 def test_sharding(spark, docs, none):
     path = f"{shared_dir(spark)}/test-map-{random.random()}"
     got = rows_of(sharding.shard(docs, path, shards=4, slots=64))
