@@ -36,15 +36,18 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def suffix_array(ranks: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes by their first `depth` ranks at least; ranks are from 0, below 2**21.
+    """Order of all suffixes by their first `depth` ranks at least; ranks are from 0, below 2**31 - 1.
 
-    Prefix doubling: three ranks fill the first key; afterwards only suffixes that still tie are
-    ordered again, by the order of what follows them.
+    Prefix doubling: three ranks of 21 bits, or two of 31 where ranks are larger, fill the first key;
+    afterwards only suffixes that still tie are ordered again, by the order of what follows them.
     """
     n = len(ranks)
     padded = np.zeros(n + 2, np.int64)
     padded[:n] = ranks + 1
-    key = (padded[:n] << 42) | (padded[1 : n + 1] << 21) | padded[2:]
+    if padded.max() < 1 << 21:
+        key, h = (padded[:n] << 42) | (padded[1 : n + 1] << 21) | padded[2:], 3
+    else:
+        key, h = (padded[:n] << 31) | padded[1 : n + 1], 2
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     fresh = np.ones(n, bool)
@@ -54,7 +57,6 @@ def suffix_array(ranks: np.ndarray, depth: int) -> np.ndarray:
     rank = np.empty(n + 1, np.int64)
     rank[order] = group
     rank[n] = -1
-    h = 3
     while h < depth:
         size = np.diff(np.append(head, n))
         tied = np.flatnonzero(np.repeat(size > 1, size))

@@ -203,6 +203,14 @@ def test_suffix_array_orders_suffixes():
         assert sorted(order) == list(range(n)) and keys == sorted(keys)
 
 
+def test_suffix_array_of_a_large_vocabulary():
+    r = np.random.default_rng(4)
+    for n in (2, 50, 400):
+        x = r.choice([0, 5, (1 << 21) - 2, (1 << 21) - 1, (1 << 21) + 5, (1 << 31) - 2], n)
+        keys = [tuple(x[i : i + 64]) for i in decontaminate.suffix_array(x, 64)]
+        assert keys == sorted(tuple(x[i : i + 64]) for i in range(n))
+
+
 def test_fingerprints(spark, docs, none):
     got = rows_of(fingerprint.edited_fingerprints(docs))
     assert len(got) == docs.count()
