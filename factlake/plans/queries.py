@@ -1,4 +1,4 @@
-"""One named query for each operator, over the tables or the views derived from them, with its SQL where SQL can say it.
+"""Named queries of operators, over the tables or the views derived from them, with their SQL where SQL can say it; README.md lists what has none.
 
 Keys begin with the identifiers of the operators that a query exercises.
 """
