@@ -6,25 +6,36 @@ import atexit
 import os
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _written: list[tuple[SparkSession, str]] = []
+_tables: dict[str, str] = {}
+#: most rows and bytes of an Arrow batch, so that a worker's memory does not depend on how long the texts are
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver was started from."""
+    """Let Python workers import this package, wherever the driver was started from, and bound the batches they are sent."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session names none (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir; where a local session names none (tests), a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="factlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -41,6 +52,60 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like cut(), as a table of buckets by `key`: joins on it shuffle the other side only, however often it is read."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"factlake_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/factlake/{table}"
+    df.repartition(parts, key).write.format("parquet").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(table)
+    if not _written:
+        atexit.register(_sweep)
+    _written.append((spark, path))
+    _tables[path] = table
+    return spark.table(table)
+
+
+class Tables:
+    """The tables that a run writes for itself, deleted together when its result stands."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.made.append(df)
+        return df
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        return self.add(cut(df, name))
+
+    def close(self) -> None:
+        for df in self.made:
+            drop(df)
+        self.made = []
+
+
+class Kept(NamedTuple):
+    """A table whose own columns go by generated names, so that no column that an operator adds can clash with them."""
+
+    table: DataFrame
+    names: list[str]
+
+    def __getitem__(self, name: str) -> Column:
+        """The column of this name, as Spark resolves it: of names that differ in case only, the one written alike."""
+        alike = [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        same = [i for i in alike if self.names[i] == name]
+        return F.col(self.table.columns[(same or alike)[0]])
+
+    def back(self, df: DataFrame) -> DataFrame:
+        """The own columns of df's rows, under their names."""
+        return df.select(*self.table.columns).toDF(*self.names)
+
+
+def kept(df: DataFrame) -> Kept:
+    return Kept(df.toDF(*[f"_own{i}" for i in range(len(df.columns))]), df.columns)
+
+
 def table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """The Parquet table at path, or None where there is none yet."""
     try:
@@ -52,9 +117,11 @@ def table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | No
 
 
 def drop(df: DataFrame) -> None:
-    """Delete a table made by cut() that no later plan reads."""
+    """Delete a table made by cut() or cut_by() that no later plan reads."""
     spark = df.sparkSession
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
+        for path in [p for p in _tables if os.path.basename(p) == os.path.basename(f)]:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
         _delete(spark, f)
 
 

@@ -8,39 +8,47 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 
-#: edges, of two names each, that one task holds without trouble
-SMALL = 100_000
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one other only, and none of those hangs itself. a is larger than b."""
+    hangs = edges.groupBy("a").agg(F.count("*").alias("n"))
+    return hangs.join(edges.select(F.col("b").alias("a"), F.lit(True).alias("held")).distinct(), "a", "left").filter("n > 1 or held").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) → (node, root): root is the smallest node that links reach.
 
-    Each round hangs every node's larger neighbours, then its smaller ones, on the smallest
-    neighbour; the rounds end when the edges no longer change, after O(log^2 n) of them. Only two
-    numbers a round reach the driver. Up to SMALL edges are kept in one partition, where rounds need no
-    shuffle. An empty table gives an empty result; self links and repeated links count once.
+    Each round hangs every node's larger neighbours, then its smaller ones, on the smallest neighbour; the
+    rounds end when every node hangs on a root, after O(log^2 n) of them. One number a round reaches the
+    driver, and the plan is the same for any number of links: small tables are a matter of adaptive
+    execution. An empty table gives an empty result; self links and repeated links count once.
     """
-    edges = cut(links.select("a", "b").filter("a is not null and b is not null and a <> b").distinct(), "edges")
-    small = edges.count() <= SMALL
-    seen = None
-    while True:
-        if small:
-            edges = edges.coalesce(1)
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b").distinct(), "edges")
+    while not _stars(edges):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        large = large.distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(down, "a").select(
-            F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
-        )
+        hung = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         new = cut(hung.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
-        state = new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         drop(edges)
         edges = new
-        if state == seen:
-            break
-        seen = state
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = cut(found, "roots")
+    drop(edges)
+    return roots
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of earlier links, roots(node, root), and further ones. Only links between earlier components are followed."""
+    if roots is None:
+        return components(links)
+    new = links.select("a", "b")
+    for x in "ab":
+        new = new.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    found = components(new.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = found.join(roots.select("node"), "node", "left_anti")
+    out = cut(moved.unionByName(fresh), "roots")
+    drop(roots)
+    drop(found)
+    return out

@@ -4,26 +4,25 @@ A document is the set of its distinct word shingles (64-bit hashes). Sets are or
 rare shingles first. Two sets of sizes m <= n can only reach similarity t if m >= t n and if they share a
 shingle of their prefixes, the first n - ceil(t n) + 1 in that order.
 
-1. frequent(): how often shingles occur, as a table of fixed size by hash. It only shapes the order.
+1. _levels(): how often shingles occur, as a table of fixed size by hash. It only shapes the order.
 2. Documents of equal sets are one node; nodes of identical prefix and size are one group.
-3. Nodes that share a MinHash value are verified against the smallest node of theirs. That costs a few pairs
-   a node however large a group of copies is, and settles most links' components.
-4. The prefix join runs on groups: groups that share a prefix shingle, at places and with sizes that leave room
-   for the similarity, and that hold nodes of different components (only such links can still change a
-   component) are expanded into pairs of nodes. First, for some rounds, each node only meets one node of each
-   of its shingles, first the one that shares most (of near copies, the least edited), so that groups of near
-   copies are settled by a few pairs a node; then all pairs of what is left are made.
-5. Candidates first meet the parity filter: a node keeps the parity of its shingles' number in each of about as
-   many hash buckets as it has shingles, and two sets differ by at least as many shingles as parities. Those
-   that pass are verified on whole sets; components come from the verified links.
-
-Verification goes in rounds: first each node only meets the smallest of its candidates, and what that settles is
-dropped before the rest is verified. Pairs inside a settled component are never made or verified, so the work does not grow with the square of a group.
+3. The prefix join runs on groups. Groups that share a prefix shingle are a group pair if their sizes, and the
+   shingle's places in both, leave room for the similarity, and unless all nodes of both are of one component
+   already: only links between components can still change any.
+4. Group pairs that pass are expanded into pairs of nodes. Those first meet the parity filter: a node keeps the
+   parity of its shingles' number in each of about as many hash buckets as it has shingles, and two sets differ
+   by at least as many shingles as parities. What passes is verified on whole sets, which are written once, in buckets by node.
+
+Group pairs are made in rounds, so that neither a shingle that many groups share nor a group of many nodes makes
+all pairs of its copies. In the first rounds a shingle's groups only meet one of them, its pivot (first the one
+that shares most: of near copies, the least edited), and a group's nodes only meet the pivot's smallest node, or
+their own group's. The last round makes all group pairs that are left between components, by shingle and class
+of size, and expands both sides; there too a node first meets one of its partners, and what that settles is dropped.
 
 Defined results: null and empty texts, and texts without words, have no shingles, no links and their own
 doc_id as component; a text of fewer words than a shingle is one shingle; rows with a null doc_id have a
 null component and link nothing; repeated rows are all returned; an empty table gives no
-rows; further columns are ignored.
+rows; further columns, whatever their names, are ignored by linked() and kept by deduplicated().
 """
 
 from __future__ import annotations
@@ -32,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ready
-from .graph import components
+from .common import Tables, cut, cut_by, kept, ready
+from .graph import merged
 from .words import mix, shingle_sets
 
 SHINGLE = 5
@@ -45,14 +44,11 @@ PER_CENT = 75
 BUCKETS = 1 << 18
 #: a shingle counts as frequent from so many occurrences in one task on
 LOCAL_LEAST = 2
-BANDS = 6
 LEAST_PARITIES, MOST_PARITIES = 256, 1 << 17
-#: size of the filter by which the pass that makes sets for verification knows whose it needs: fixed, so
-#: that it can be sent to every task; where it fills up, more sets than needed are made, never fewer
-WANTED_BITS = 1 << 24
-#: rounds in which a node only meets the smallest of its candidates
-FIRST_ROUNDS = 1
-#: rounds in which a node meets one node of each of its prefix shingles
+#: bits of the filter that tells the pass which makes sets whose it needs: WANTED_SHARE for each node, so that few others
+#: are made, and at most WANTED_BITS (16 MB), so that it can be sent to every task. Beyond, more sets are made than needed, never fewer
+WANTED_SHARE, WANTED_BITS = 16, 1 << 27
+#: rounds in which groups meet one pivot of each of their prefix shingles
 PIVOT_ROUNDS = 3
 #: sets that a task remembers having sent on, so that copies next to each other are sent once
 REMEMBERED = 1 << 16
@@ -126,23 +122,21 @@ def _apart(x: bytes, y: bytes) -> int:
 
 
 def _documents(documents: DataFrame, levels: np.ndarray, size: int, per_cent: int) -> DataFrame:
-    """doc_id, node, n, grp, BANDS MinHash values and parities of every row; node is null for an empty set."""
-    seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    """doc_id, node, n, grp and parities of every row; node is null for an empty set."""
     kind = documents.select("doc_id").schema.fields[0].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, grp, mins, odd = [], [], [], [], []
+            node, n, grp, odd = [], [], [], []
             for _, s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
                 grp.append(_group(_prefix(s, levels, per_cent), len(s)) if len(s) else None)
                 odd.append(_parity(s) if len(s) else None)
-                mins.append([int(mix(s ^ x).min().astype(np.int64)) for x in seeds] if len(s) else None)
-            arrays = [batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(grp, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(odd, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "n", "grp", "mins", "odd"])
+            arrays = [batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(grp, pa.int64()), pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "n", "grp", "odd"])
 
-    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(scan, f"doc_id {kind}, node binary, n long, grp long, mins array<long>, odd binary")
+    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(scan, f"doc_id {kind}, node binary, n long, grp long, odd binary")
 
 
 def _shared(documents: DataFrame, levels: np.ndarray, size: int, per_cent: int) -> DataFrame:
@@ -214,51 +208,27 @@ def _pairs_batch(tokens: list[np.ndarray], groups: list[np.ndarray]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(groups))], names=["token", "grp"])
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """Bits set at the hash of each doc_id: WANTED_BITS of them, however many ids there are."""
-    h = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS)).alias("h"))
+def _filter_of(ids: DataFrame, bits: int) -> np.ndarray:
+    """`bits` bits, set at the hash of each doc_id."""
+    h = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h"))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
     rows = h.groupBy(F.shiftright("h", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(WANTED_BITS >> 6, np.uint64)
+    out = np.zeros(bits >> 6, np.uint64)
     out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
-    """The distinct pairs (a, b) of nodes that the parity filter lets pass."""
-    one = nodes.select("node", "n", "odd")
-    both = pairs.join(one.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b")), "b")
-    both = both.join(one.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a")), "a").select("a", "b", "n_a", "n_b", "odd_a", "odd_b")
-
-    def could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            apart = np.fromiter(map(_apart, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, batch.num_rows)
-            ok = apart * (100 + per_cent) <= n * (100 - per_cent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    return cut(both.mapInArrow(could, "a binary, b binary").distinct(), "candidates")
-
-
-def _unsettled(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs whose nodes the links do not connect yet."""
-    roots = cut(components(links), "roots")
-    for x in "ab":
-        pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    return cut(pairs.filter(apart).select("a", "b"), "unsettled")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by their whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
-    bits = _filter_of(wanted)
+def _sets(wanted: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """(node, members) of the wanted nodes, and of some others, in buckets by node; wanted has the doc_id of one document of each."""
+    n = wanted.count()
+    bits = min(WANTED_BITS, max(1 << 12, 1 << (WANTED_SHARE * n - 1).bit_length()))
+    wanted_bits = _filter_of(wanted, bits)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for batch in batches:
             h = batch.column(1).to_numpy()
-            need = (bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
+            need = (wanted_bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
             column = batch.column(0).filter(pa.array(need))
             for a in range(0, len(column), 256):
                 found = {}
@@ -270,8 +240,30 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: in
                 sent.update(found)
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["node", "members"])
 
-    texts = documents.filter("doc_id is not null").select(F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS)).alias("h"))
-    sets = texts.mapInArrow(make, "node binary, members binary").groupBy("node").agg(F.first("members").alias("members"))
+    texts = documents.filter("doc_id is not null").select(F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h"))
+    made = texts.mapInArrow(make, "node binary, members binary")
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_by(made.repartition(parts, "node").dropDuplicates(["node"]), "sets", "node")
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
+    """The distinct pairs (a, b) of nodes that the parity filter lets pass."""
+    one = nodes.select("node", "n", "odd")
+    both = pairs.join(one.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b")), "b")
+    both = both.join(one.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a")), "a").select("a", "b", "n_a", "n_b", "odd_a", "odd_b")
+
+    def could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.fromiter(map(_apart, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, batch.num_rows)
+            ok = apart * (100 + per_cent) <= n * (100 - per_cent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return both.mapInArrow(could, "a binary, b binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link, by their whole sets."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
     both = both.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").select("a", "b", "ma", "mb")
 
@@ -285,86 +277,108 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: in
                 ok.append(100 * common >= per_cent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return cut(both.mapInArrow(verify, "a binary, b binary"), "links")
+    return both.mapInArrow(verify, "a binary, b binary")
+
+
+def _band(n: Column, per_cent: int) -> Column:
+    """The class of a size: sizes that can be alike are of one class or of two next to each other."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / per_cent))).cast("int")
 
 
 def linked(documents: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     ready(documents.sparkSession)
+    made = Tables()
     levels = _levels(documents, size)
-    docs = cut(_documents(documents, levels, size, per_cent), "documents")
-    nodes = cut(docs.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("mins").alias("mins"), F.first("odd").alias("odd")), "nodes")
+    docs = made.cut(_documents(documents, levels, size, per_cent), "documents")
+    firsts = [F.first(c).alias(c) for c in ("n", "grp", "odd")]
+    nodes = made.cut(docs.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *firsts), "nodes")
+    settled = nodes.select("node", "grp", F.col("node").alias("root"))
+    groups = made.cut(nodes.groupBy("grp").agg(F.min("node").alias("rep"), F.max("node").alias("last"), F.first("n").alias("n")), "groups")
+
+    # the prefix shingles that groups share; those that the very same groups share, as of one passage, are one: at the first of their places
+    found = made.cut(_shared(documents, levels, size, per_cent), "found")
+    common = found.groupBy("grp").agg(F.count("*").alias("common"))
+    lists = found.groupBy("token").agg(F.bit_xor(F.xxhash64("grp")).alias("list"))
+    one = found.join(lists, "token").groupBy(F.col("list").alias("token"), "grp").agg(F.min("place").alias("place"))
+    shared = made.cut(one.join(common, "grp").join(groups.select("grp", "n", "rep"), "grp"), "shared")
+    several = groups.filter("rep <> last")
+
+    wanted = shared.select("grp").unionByName(several.select("grp")).distinct()
+    sets = made.add(_sets(nodes.join(wanted, "grp", "left_semi").select("doc_id"), documents, size))
 
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * per_cent
-    # MinHash values that several nodes share: each node against the smallest of them
-    banded = nodes.select("node", "n", F.posexplode("mins").alias("band", "value"))
-    pivots = banded.groupBy("band", "value").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("c")).filter("c > 1")
-    star = banded.join(pivots, ["band", "value"]).select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("n_a"), F.col("n").alias("n_b"))
-    star = star.filter("a < b").filter(fits).select("a", "b").distinct()
-    links = _verified(_possible(star, nodes, per_cent), nodes, documents, size, per_cent)
-    roots = cut(components(links), "roots")
-
-    # the prefix join, on groups whose nodes are not of one component yet
-    settled = nodes.join(roots, "node", "left").select("node", "n", "grp", F.coalesce("root", "node").alias("root"))
-    settled = cut(settled, "settled")
-    groups = settled.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    # shingles that the very same groups share, as those of one passage, are one: at the first of their places
-    shared = cut(_shared(documents, levels, size, per_cent), "shared")
-    # how many shingles of its prefix a group shares: of near copies, those with the fewest edits share most
-    common = shared.groupBy("grp").agg(F.count("*").alias("common"))
-    lists = shared.groupBy("token").agg(F.bit_xor(F.xxhash64("grp")).alias("list"))
-    shared = shared.join(lists, "token").groupBy(F.col("list").alias("token"), "grp").agg(F.min("place").alias("place"))
-    shared = cut(shared.join(groups, "grp").join(common, "grp"), "shared")
-    open_tokens = shared.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("token")
-    members = shared.select("token", "grp", "place", "common").join(open_tokens, "token").join(settled, "grp")
-    mixed = cut(members.select("token", "place", "common", "node", "n", "root"), "mixed")
     # what a set has before its first shared shingle cannot be shared
     shares = F.ceil((F.col("n_a") + F.col("n_b")) * per_cent / (100 + per_cent))
     room = (F.col("place_a") * F.col("n_a") / 256 <= F.col("n_a") - shares) & (F.col("place_b") * F.col("n_b") / 256 <= F.col("n_b") - shares)
-    parts = ("place", "n", "root")
+    members = lambda x: settled.select(F.col("grp").alias(f"grp_{x}"), F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    roots = None
+
+    def link(pairs: DataFrame) -> None:
+        """Verify pairs of nodes, a table, and bring the components up to date."""
+        nonlocal roots, settled
+        if pairs.isEmpty():
+            return
+        own = Tables()
+        links = own.cut(_verified(pairs, sets, per_cent), "links")
+        roots = merged(roots, links)
+        own.close()
+        settled = nodes.select("node", "grp").join(roots, "node", "left").select("node", "grp", F.coalesce("root", "node").alias("root"))
+
     for k in range(PIVOT_ROUNDS):
+        own = Tables()
+        spread = own.cut(settled.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "spread")
+        at = shared.join(spread, "grp")
+        open_ = at.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("token")
+        at = own.cut(at.join(open_, "token", "left_semi"), "open")
         pick = F.min if k == PIVOT_ROUNDS - 1 else F.max
-        pivots = mixed.groupBy("token").agg(pick(F.struct(*["common"] * (k == 0), "node", *parts)).alias("p"))
-        met = mixed.join(pivots, "token").select(F.col("p.node").alias("a"), F.col("node").alias("b"), *[F.col(f"p.{c}").alias(f"{c}_a") for c in parts], *[F.col(c).alias(f"{c}_b") for c in parts])
-        met = met.filter("root_a <> root_b").filter(fits & room).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(_verified(_possible(met, nodes, per_cent), nodes, documents, size, per_cent))
-        roots = cut(components(links), "roots")
-        mixed = mixed.drop("root").join(roots, "node", "left").select("token", "place", "common", "node", "n", F.coalesce("root", "node").alias("root"))
-        mixed = cut(mixed, "mixed")
-        several = mixed.groupBy("token").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("token")
-        mixed = cut(mixed.join(several, "token"), "mixed")
-    left, right = (mixed.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in parts]) for x in "ab")
-    across = left.join(right, "token").filter("a < b and root_a <> root_b").filter(fits & room).select("a", "b").distinct()
-    in_group = settled.join(groups.filter("lo <> hi").select("grp"), "grp")
-    one = in_group.select("grp", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    two = in_group.select("grp", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    inside = one.join(two, "grp").filter("a < b and root_a <> root_b").select("a", "b")
-    pairs = _possible(across.unionByName(inside), nodes, per_cent)
-    for _ in range(FIRST_ROUNDS):
-        nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        links = links.unionByName(_verified(cut(nearest, "nearest"), nodes, documents, size, per_cent))
-        pairs = _unsettled(pairs.join(nearest, ["a", "b"], "left_anti"), links)
-    links = links.unionByName(_verified(pairs, nodes, documents, size, per_cent))
-
-    every = cut(components(links), "roots")
-    named = nodes.select("node", "doc_id").join(every, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    named = cut(named, "named")
+        pivots = at.groupBy("token").agg(pick(F.struct(*["common"] * (k == 0), "rep", "grp", "place", "n", "lo", "hi")).alias("p"))
+        met = at.join(pivots, "token").select(*[F.col(f"p.{c}").alias(f"{c}_a") for c in ("rep", "grp", "place", "n", "lo", "hi")], *[F.col(c).alias(f"{c}_b") for c in ("grp", "place", "n", "lo", "hi")])
+        met = met.filter("grp_a <> grp_b and (lo_a <> hi_a or lo_b <> hi_b or lo_a <> lo_b)").filter(fits & room).select(F.col("rep_a").alias("a"), "grp_b")
+        own_group = several.join(spread.filter("lo <> hi"), "grp").select(F.col("rep").alias("a"), F.col("grp").alias("grp_b"))
+        pairs = met.unionByName(own_group).distinct().join(members("b"), "grp_b").join(settled.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a")
+        pairs = pairs.filter("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        link(own.cut(_possible(pairs, nodes, per_cent), "candidates"))
+        own.close()
+
+    # all group pairs that are left, by shingle and class of size
+    spread = made.cut(settled.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "spread")
+    at = shared.join(spread, "grp")
+    open_ = at.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("token")
+    at = made.cut(at.join(open_, "token", "left_semi").withColumn("band", _band(F.col("n"), per_cent)), "open")
+    left, right = (at.select("token", "band", *[F.col(c).alias(f"{c}_{x}") for c in ("grp", "place", "n", "lo", "hi")]) for x in "ab")
+    right = right.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    across = left.join(right, ["token", "band"]).filter("grp_a < grp_b and (lo_a <> hi_a or lo_b <> hi_b or lo_a <> lo_b)").filter(fits & room).select("grp_a", "grp_b").distinct()
+    within = spread.filter("lo <> hi").select(F.col("grp").alias("grp_a"), F.col("grp").alias("grp_b"))
+    pairs = across.unionByName(within).join(members("a"), "grp_a").join(members("b"), "grp_b").filter("root_a <> root_b and (grp_a <> grp_b or a < b)")
+    pairs = made.cut(_possible(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, per_cent), "candidates")
+    link(made.cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest"))
+    for x in "ab":
+        pairs = pairs.join(settled.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x)
+    link(made.cut(pairs.filter("root_a <> root_b").select("a", "b"), "last"))
+
+    if roots is not None:
+        made.add(roots)
+    named = made.cut(settled.join(nodes.select("node", "doc_id"), "node").select("node", "doc_id", "root"), "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
     of_node = named.join(least, "root").select("node", "component")
     out = docs.select("doc_id", "n", "node").join(of_node, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    result = cut(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "linked")
+    made.close()
+    return result
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with its own columns.
+    """One document of each component, the one with the smallest doc_id, with its own columns, whatever those are called.
 
     Rows without shingles or doc_id stay; of rows that repeat the smallest doc_id of a component all
     stay, as doc_id is what tells documents apart.
     """
-    found = cut(linked(documents), "components")
-    gone = found.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*documents.columns)
+    own = kept(documents)
+    found = linked(documents.select("doc_id", "text"))
+    gone = found.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return own.back(own.table.join(gone, own["doc_id"] == F.col("gone"), "left_anti"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,20 @@
 
 Each language has a raw-content zstandard dictionary of its training text. A text belongs to the
 language whose dictionary encodes it in the fewest bytes; where the runner-up needs hardly more, the
-text is rejected.
+text is rejected. Where the margin is under NARROW, the same dictionaries encode the text at further levels
+too and the bytes of all levels are summed: other searches find other matches, which tells texts of few bytes apart.
 
-The dictionaries are fitted on a bounded sample of labelled rows: per language the SAMPLE_ROWS training
-documents with the smallest hash of doc_id, of each at most SAMPLE_CHARS characters around its middle,
-distinct ones only, until DICTIONARY_BYTES are full. Prediction reads every text whole, in pieces of
-PIECE_BYTES, and looks at nothing but the text.
+The dictionaries are fitted on a bounded sample of labelled rows: per language the training document with the
+smallest hash of doc_id in each of SAMPLE_ROWS classes of hashes, of each at most SAMPLE_CHARS characters around
+its middle, distinct ones only, until DICTIONARY_BYTES are full. One pass over doc_id and lang chooses them for
+all languages, one more reads their texts. Prediction reads every text whole, in pieces of PIECE_BYTES, and
+looks at nothing but the text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; a row with a
-null lang or doc_id is never learned from but is predicted like any other; ties go to the language that
-sorts first; without any learned language every text is `und`; repeated rows each get their row.
+null lang or doc_id is never learned from but is predicted like any other; of rows that repeat a chosen doc_id
+and lang one is learned from; ties go to the language with most training rows, then the one that sorts first;
+without any learned language every text is `und`; repeated rows each get their row; further columns, whatever
+their names, are ignored by predictions and kept by identified().
 """
 
 from __future__ import annotations
@@ -24,23 +28,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import kept, ready
 
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = 2048
 DICTIONARY_BYTES = 24 << 10
 PIECE_BYTES = 2048
 LEVEL = 6
-#: where the margin is narrow, or the text short, the bytes that a text adds behind each slice of the dictionary are
-#: summed: there its letters, too few for a code of their own, are coded by the language's frequencies
-SLICE_BYTES = 1024
-SHORT_BYTES = 128
+#: further levels, and the margin under which they are asked
+FURTHER_LEVELS = (9, 12)
 NARROW = 0.05
 #: a text is rejected where the runner-up needs less than this share more bytes than the best
 MIN_MARGIN = 0.002
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
+#: code points of a text that are lower-cased and encoded to bytes at once
+CHUNK_CHARS = 1 << 20
 
 
 def letters(text: str) -> bytes:
@@ -54,22 +58,28 @@ def held_out() -> Column:
 
 
 def learn(documents: DataFrame) -> dict[str, bytes]:
-    """Language → raw dictionary, from the training rows. The driver gets the bounded sample only."""
-    train = documents.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r[0] for r in train.select("lang").distinct().collect())
-    chosen: dict = {}
-    for lang in langs:
-        ids = train.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-        chosen |= {r.doc_id: k for k, r in enumerate(ids.collect())}
+    """Language → raw dictionary, from the training rows, the language with most of them first.
+
+    The driver gets at most SAMPLE_ROWS texts a language, of at most SAMPLE_CHARS characters.
+    """
+    train = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    chosen = train.groupBy("lang", F.pmod(h, F.lit(SAMPLE_ROWS)).alias("part")).agg(F.min(h).alias("h"), F.count("*").alias("n")).collect()
+    rows: dict[str, int] = {}
+    for r in chosen:
+        rows[r.lang] = rows.get(r.lang, 0) + r.n
+    if not chosen:
+        return {}
     middle = F.greatest(F.lit(1), ((F.length("text") - SAMPLE_CHARS) / 2).cast("int") + 1)
-    rows = train.filter(F.col("doc_id").isin(*chosen)).select("doc_id", "lang", F.substring("text", middle, F.lit(SAMPLE_CHARS)).alias("text"))
+    given = train.withColumn("h", h).filter(F.col("h").isin([r.h for r in chosen]))
+    wanted = given.groupBy("lang", "h").agg(F.min(F.substring(F.col("text").cast("string"), middle, F.lit(SAMPLE_CHARS))).alias("text")).filter("text is not null")
+    texts: dict[str, list] = {lang: [] for lang in rows}
+    for r in wanted.collect():
+        texts[r.lang].append((r.h, r.text))
     out = {}
-    texts: dict[str, list] = {lang: [] for lang in langs}
-    for r in rows.collect() if chosen else []:
-        texts[r.lang].append((chosen[r.doc_id], r.text))
-    for lang, found in texts.items():
+    for lang in sorted(texts, key=lambda x: (-rows[x], x)):
         parts, size = [], 0
-        for raw in dict.fromkeys(letters(t) for _, t in sorted(found)):
+        for raw in dict.fromkeys(letters(t) for _, t in sorted(texts[lang])):
             raw = raw[: DICTIONARY_BYTES - size]
             parts.append(raw)
             size += len(raw)
@@ -84,77 +94,75 @@ class Classifier:
     """The dictionaries, ready to encode; made once in each task."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.dictionaries = sorted(dictionaries.items())
-        self.coders = self._coders(self.dictionaries, LEVEL)
-        self.fine: list = []
+        self.dictionaries = dictionaries
+        self.coders = self._coders(LEVEL)
+        self.further: list = []
 
-    @staticmethod
-    def _coders(dictionaries: list[tuple[str, bytes]], level: int) -> list:
+    def _coders(self, level: int) -> list:
         import zstandard as z
 
         out = []
-        for lang, raw in dictionaries:
+        for lang, raw in self.dictionaries.items():
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             out.append((lang, z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
         return out
 
-    def _behind_slices(self, raw: bytes) -> list[tuple[int, str]]:
-        import zstandard as z
-
-        if not self.fine:
-            coder = z.ZstdCompressor(level=LEVEL)
-            whole = min(len(d) for _, d in self.dictionaries) // SLICE_BYTES
-            for lang, d in self.dictionaries:
-                slices = [d[i * SLICE_BYTES : (i + 1) * SLICE_BYTES] for i in range(whole)] or [d]
-                self.fine.append((lang, coder, [(s, len(coder.compress(s))) for s in slices]))
-        pieces = [raw[i : i + SLICE_BYTES] for i in range(0, len(raw), SLICE_BYTES)]
-        return sorted((sum(len(c.compress(s + p)) - n for s, n in slices for p in pieces), lang) for lang, c, slices in self.fine)
-
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin); the margin is the runner-up's extra share of bytes."""
         if not text or not self.coders or not _LETTER.search(text):
             return UNDETERMINED, 0.0, 0.0
-        raw = letters(text)
-        pieces = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
-        sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in self.coders)
-        if len(sizes) > 1 and (len(raw) < SHORT_BYTES or sizes[1][0] - sizes[0][0] < NARROW * sizes[0][0]):
-            sizes = self._behind_slices(raw)
-        best = sizes[0][0]
-        margin = (sizes[1][0] - best) / best if len(sizes) > 1 else 1.0
-        scale = 0.02 * best + 1.0
-        score = 1.0 / sum(math.exp((best - s) / scale) for s, _ in sizes)
-        return sizes[0][1], score, margin
-
-
-def identify(documents: DataFrame, dictionaries: dict[str, bytes], keep: list[str], drop_rejected: bool = False) -> DataFrame:
-    """`keep` columns, lang_pred, score, margin and rejected of every document, or only the rows not rejected."""
-    ready(documents.sparkSession)
-    named = [f"_keep{i}" for i in range(len(keep))]
-    given = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, named)], F.col("text").alias("_text"))
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+        sizes, rounds = self._sizes(text, self.coders), 1
+        best, *others = sorted(sizes)
+        if others and others[0] - best < NARROW * best:
+            self.further = self.further or [self._coders(level) for level in FURTHER_LEVELS]
+            for coders in self.further:
+                sizes = [x + y for x, y in zip(sizes, self._sizes(text, coders))]
+                rounds += 1
+            best, *others = sorted(sizes)
+        margin = (others[0] - best) / best if others else 1.0
+        scale = 0.02 * best / rounds + 1.0
+        score = 1.0 / sum(math.exp(max(-700.0, (best - s) / rounds / scale)) for s in sizes)
+        return self.coders[sizes.index(best)][0], score, margin
+
+    @staticmethod
+    def _sizes(text: str, coders: list) -> list[int]:
+        out = [0] * len(coders)
+        for a in range(0, len(text), CHUNK_CHARS):
+            raw = letters(text[a : a + CHUNK_CHARS])
+            for i in range(0, len(raw), PIECE_BYTES):
+                piece = raw[i : i + PIECE_BYTES]
+                for k, (_, c) in enumerate(coders):
+                    out[k] += len(c.compress(piece))
+        return out
+
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def told(text: Column, dictionaries: dict[str, bytes]) -> Column:
+    """struct(lang_pred, score, margin, rejected) of each text; only texts are sent to Python, and only this comes back."""
+
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classify = Classifier(dictionaries)
         for batch in batches:
-            found = [classify(t) for t in batch.column("_text").to_pylist()]
+            found = [classify(t.as_py()) for t in batch]
             bad = [lang == UNDETERMINED or margin < MIN_MARGIN for lang, _, margin in found]
-            out = pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(n) for n in named), pa.array([x[0] for x in found], pa.string()),
-                    pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64()), pa.array(bad, pa.bool_()),
-                ],
-                names=[*named, "lang_pred", "score", "margin", "rejected"],
-            )
-            yield out.filter(pa.array([not x for x in bad])) if drop_rejected else out
+            columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64()), pa.array(bad, pa.bool_())]
+            yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "margin", "rejected"])
 
-    out = given.mapInArrow(scan, ", ".join(filter(None, [kept, "lang_pred string, score double, margin double, rejected boolean"])))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, named)], "lang_pred", "score", "margin", "rejected")
+    return F.arrow_udf(scan, "lang_pred string, score double, margin double, rejected boolean")(text.cast("string"))
+
+
+def identify(documents: DataFrame, dictionaries: dict[str, bytes], keep: list[str]) -> DataFrame:
+    """`keep` columns, lang_pred, score, margin and rejected of every document."""
+    ready(documents.sparkSession)
+    return documents.select(*[F.col(f"`{c}`") for c in keep], told(F.col("text"), dictionaries).alias("_told")).select(*[F.col(f"`{c}`") for c in keep], "_told.*")
 
 
 def identified(documents: DataFrame) -> DataFrame:
-    """The documents in a language that is told with a margin, with their own columns."""
-    return identify(documents, learn(documents), documents.columns, drop_rejected=True).select(*documents.columns)
+    """The documents in a language that is told with a margin, with their own columns, whatever those are called."""
+    ready(documents.sparkSession)
+    own = kept(documents)
+    found = own.table.withColumn("told", told(own["text"], learn(documents)))
+    return own.back(found.filter(~F.col("told.rejected")))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,18 +125,37 @@ def test_jaccard_chain_across_borders(spark):
     assert got == _components(rows_of(df))
 
 
-def test_components_beyond_small_stay_in_many_partitions(spark, monkeypatch):
+def test_components_of_any_number_of_links(spark, monkeypatch):
+    """One plan for all sizes: 200,000 links stay in several partitions, and no round coalesces them."""
     ready(spark)
-    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 300)], "a long, b long")
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7), (None, 3), (100, 200)], "a long, b long")
     want = {i: 0 for i in range(41)} | dict.fromkeys((100, 200, 300), 100)
-    frame, calls = type(links), []
-    whole = frame.coalesce
-    monkeypatch.setattr(frame, "coalesce", lambda self, n: calls.append(n) or whole(self, n))
-    for small, coalesced in ((links.count(), True), (links.count() - 1, False)):
-        monkeypatch.setattr(graph, "SMALL", small)
-        calls.clear()
-        assert {x.node: x.root for x in rows_of(graph.components(links))} == want
-        assert bool(calls) == coalesced
+    assert {x.node: x.root for x in rows_of(graph.components(links))} == want
+    assert graph.components(links.limit(0)).count() == 0
+    written = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(cut(df, name)) or written[-1])
+    monkeypatch.setattr(graph, "drop", lambda df: None)
+    monkeypatch.setattr(type(links), "coalesce", None)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        many = spark.range(200_000).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + F.when(F.col("id") % 3 == 0, 1).otherwise(2)).alias("b"))
+        found = graph.components(many)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(written) > 2 and all(len(t.inputFiles()) > 1 for t in written[:-1]) and len(written[0].inputFiles()) > 2
+    assert found.groupBy("root").count().groupBy("count").count().filter("count > 3").count() == 0 and found.filter("root > node").count() == 0
+
+
+def test_components_are_merged_in_steps(spark):
+    ready(spark)
+    r = random.Random(5)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(240)]
+    roots = None
+    for k in range(3):
+        roots = graph.merged(roots, spark.createDataFrame(links[k * 80 : k * 80 + 80], "a long, b long"))
+    whole = {x.node: x.root for x in rows_of(graph.components(spark.createDataFrame(links, "a long, b long")))}
+    assert {x.node: x.root for x in rows_of(roots)} == {k: v for k, v in whole.items()}
 
 
 def test_secrets(spark, docs, none, tmp_path):
