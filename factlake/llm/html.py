@@ -1,17 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped and every block element's text becomes a line. The text lengths of lines are taken in page
-order, with link text and the text of page furniture counted as nothing. Where they first rise from nothing the
-text surges, where they last fall back to nothing it dives; all lines between are kept, those of links too, but
-for the furniture. No length is too short for a surge, so that no window of lines is needed. Where the page marks
-its article, only lines of the article count, and link text counts like any other.
+Markup is stripped, with the elements that are page furniture by their kind or name, and every other block
+element's text becomes a line. A line weighs as much as it has text outside links. The weights are summed over
+sliding windows of WINDOW lines, the blocks. Where a block first reaches SHARE of the page's own typical block
+(the mean of block sums, weighted by themselves) the text surges, where the last such block ends it dives, and
+all between is kept, short lines and lines of links too. Only windows without any text of their own, which are lists
+of links, go.
+
+Blocks reach up to WINDOW - 1 lines beyond the text. Ties at the edges are broken by markup: if most of the text found is
+in headings, paragraphs and the like, the text ends where these end, and else at the first and last line that weighs a
+block's share. Where the page marks articles, those that hold a block that heavy are kept whole, and nothing outside.
 
 Furniture is told by element (navigation, footers, forms, scripts, ...) and by the words of class, id and
 role. Unclosed and crossed elements end where their parent ends; a page cut off in a tag ends there.
 
-Defined results: a null or empty page, or one without text, gives the empty string and 0 characters; null
-page_id and url are kept; repeated rows each get theirs; an empty table gives no rows; further columns are
-ignored. White space inside a block is one space.
+Defined results: a null or empty page, or one without text, gives the empty string and 0 characters; a page of
+links only gives what an article of it holds, or else nothing; null page_id and url are kept; repeated rows each
+get theirs; an empty table gives no rows; further columns are ignored. White space inside a block is one space.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +33,10 @@ from pyspark.sql import functions as F
 from .common import ready
 
 BETWEEN = "\n\n"
+#: lines of a block
+WINDOW = 5
+#: a block is text from this share of the page's typical block on
+SHARE = 0.25
 
 #: fixed values: elements by their part in a page
 RAW = frozenset("script style template textarea title noscript iframe svg math canvas object xmp noembed noframes".split())
@@ -36,6 +46,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split()
 )
+#: fixed values: elements in which text is written
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p li blockquote pre dd dt caption figcaption address summary td".split())
 #: fixed values: words of class, id and role that mark furniture
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments respond cookie cookies consent disclaimer "
@@ -51,12 +64,13 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in
 
 
 class Line:
-    __slots__ = ("parts", "chars", "linked", "furniture", "article")
+    __slots__ = ("parts", "chars", "linked", "furniture", "article", "tag")
 
-    def __init__(self, furniture: bool, article: bool):
+    def __init__(self, furniture: bool, article: int, tag: str):
         self.parts: list[str] = []
         self.chars = self.linked = 0
-        self.furniture, self.article = furniture, article
+        #: article: the number of the article that holds the line, from 1, or 0
+        self.furniture, self.article, self.tag = furniture, article, tag
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -78,14 +92,15 @@ def lines_of(page: str) -> list[Line]:
     """The page's lines, one for each stretch of text between block elements' edges."""
     out: list[Line] = []
     stack: list[tuple[str, bool]] = []  # open elements; True for those that are furniture
-    state = {"furniture": 0, "article": 0, "link": 0}
-    line = Line(False, False)
+    state = {"furniture": 0, "article": 0, "link": 0, "articles": 0}
+    line = Line(False, 0, "")
 
     def breaks() -> None:
         nonlocal line
         if line.parts:
             out.append(line)
-        line = Line(state["furniture"] > 0, state["article"] > 0)
+        tag = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
+        line = Line(state["furniture"] > 0, state["articles"] if state["article"] else 0, tag)
 
     def put(text: str) -> None:
         if text:
@@ -138,7 +153,9 @@ def lines_of(page: str) -> list[Line]:
                 furniture = tag == "article" and _marked(m[3])
             stack.append((tag, furniture))
             state["furniture"] += furniture
-            state["article"] += tag in ("article", "main")
+            if tag in ("article", "main"):
+                state["articles"] += not state["article"]
+                state["article"] += 1
             state["link"] += tag == "a"
         if tag in BLOCKS:
             breaks()
@@ -150,13 +167,50 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    marked = any(x.article and not x.furniture and x.chars for x in lines)
-    own = [x for x in lines if not x.furniture and (x.article or not marked)]
-    heavy = [i for i, x in enumerate(own) if x.chars > (0 if marked else x.linked)]
-    texts = (x.text() for x in own[heavy[0] : heavy[-1] + 1]) if heavy else ()
-    return BETWEEN.join(t for t in texts if t)
+def block_sums(weights: np.ndarray, window: int) -> np.ndarray:
+    """The sum of each run of `window` lines; of all lines, if they are fewer."""
+    total = np.concatenate(([0], np.cumsum(weights)))
+    window = min(window, len(weights))
+    return total[window:] - total[: len(total) - window]
+
+
+def covered(blocks: np.ndarray, n: int, window: int) -> np.ndarray:
+    """By line, whether any of the blocks, True or False by first line, covers it."""
+    window = min(window, n)
+    change = np.zeros(n + 1, np.int64)
+    change[: len(blocks)] += blocks
+    change[window : window + len(blocks)] -= blocks
+    return np.cumsum(change)[:n] > 0
+
+
+def kept_lines(lines: list[Line], window: int = WINDOW, share: float = SHARE) -> list[Line]:
+    """The lines of the main text, by the distribution of their blocks."""
+    lines = [x for x in lines if x.chars and not x.furniture]
+    weights = np.array([x.chars - x.linked for x in lines], np.int64)
+    if not weights.any():
+        return [x for x in lines if x.article]
+    sums = block_sums(weights, window)
+    least = max(1.0, share * float((sums.astype(float) ** 2).sum()) / float(sums.sum()))
+    on = covered(sums >= least, len(lines), window)
+    heavy = weights * min(window, len(lines)) >= least
+    holds = {x.article for x, o in zip(lines, on & (weights > 0)) if o and x.article}
+    dense = {k for k in holds if block_sums(np.array([w for x, w in zip(lines, weights) if x.article == k]), window).max() >= least}
+    if holds:
+        return [x for x in lines if x.article in (dense or holds)]
+    first, last = np.flatnonzero(on)[[0, -1]]
+    written = (weights > 0) & np.array([x.tag in HEADINGS or x.tag in PARAGRAPHS for x in lines])
+    if 2 * weights[first : last + 1][written[first : last + 1]].sum() > weights[first : last + 1].sum():
+        first, last = first + np.flatnonzero(written[first : last + 1])[[0, -1]]
+        first = np.flatnonzero(~written[:first])[-1:].sum() + 1 if not written[:first].all() else 0
+        last = last + np.flatnonzero(~np.append(written[last + 1 :], False))[0]
+    elif (heavy & on).any():
+        first, last = np.flatnonzero(heavy & on)[[0, -1]]
+    links = covered(sums == 0, len(lines), window)
+    return [lines[i] for i in range(first, last + 1) if not links[i]]
+
+
+def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+    return BETWEEN.join(filter(None, (x.text() for x in kept_lines(lines_of(page or ""), window, share))))
 
 
 def extract(pages: DataFrame) -> DataFrame:
