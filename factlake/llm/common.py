@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _written: list[tuple[SparkSession, str]] = []
 _tables: dict[str, str] = {}
-#: most rows and bytes of an Arrow batch, so that a worker's memory does not depend on how long the texts are
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+#: most rows and bytes of an Arrow batch, so that a worker's memory, and the native memory of the JVM, do not depend on how long the texts are
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 10_000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20}
 
 
 def ready(spark: SparkSession) -> None:

@@ -12,8 +12,10 @@ likeness() estimates from two of them which share of all names both texts have.
 by the same levels, so that any two fingerprints can be compared.
 
 Defined results: a null text is the empty one, whose fingerprint is empty; the empty fingerprint is like
-itself (1) and unlike any other (0); null doc_ids come after all others, rows of equal doc_id are ordered
-by text; a lone document is its own next; an empty table gives no rows; further columns are ignored.
+itself (1) and unlike any other (0); doc_ids that are no whole numbers are ordered as strings, null ones come after all
+others, rows of equal doc_id are ordered by a hash of their text, so that many of them can be dealt to several tasks;
+a lone document is its own next; an empty table gives no rows; further columns, whatever their names, are ignored
+by edited_fingerprints() and kept by fingerprints().
 """
 
 from __future__ import annotations
@@ -23,16 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas import types as pa_types
 
-from .common import ready
+from .common import kept, ready
 from .words import mix
 
 SKETCH = 64
 MAX_LEVELS = 40
 #: code points parsed at once, beyond one longer text
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 _P = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = []
 
@@ -138,81 +141,79 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(union, np.intersect1d(a, b), assume_unique=True).mean())
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """All columns of documents, n_chars of the text and its fingerprint: one narrow pass, no shuffle."""
-    ready(documents.sparkSession)
-    names = [f"_keep{i}" for i in range(len(documents.columns))]
-    given = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, names)], F.col("text").cast("string").alias("_text"))
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+def printed(text: Column) -> Column:
+    """The fingerprint of each text; only texts are sent to Python, and only fingerprints come back."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
-            arrays = [*batch.columns[:-1], pa.array([written(s) for s in sketches(texts)], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "_print"])
+            yield pa.array([written(s) for s in sketches([t or "" for t in batch.to_pylist()])], pa.string())
 
-    out = given.mapInArrow(scan, f"{kept}, _print string")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names)], F.col("_print").alias("fingerprint"))
+    return F.arrow_udf(scan, "string")(text.cast("string"))
+
+
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """All columns of documents and the fingerprint of the text, as a last column `fingerprint`: one narrow pass, no shuffle."""
+    ready(documents.sparkSession)
+    own = kept(documents)
+    return own.table.withColumn("fingerprint", printed(own["text"])).toDF(*own.names, "fingerprint")
 
 
+#: ranges of documents for each shuffle partition
+RANGES = 8
 _LOWEST = -(1 << 63)
 
 
-def _id_type(kind: str) -> pa.DataType:
-    return {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32()}.get(kind, pa.int64())
+def _key(documents: DataFrame) -> Column:
+    whole = documents.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)) if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+
+def _range_of(keys: np.ndarray, hashes: np.ndarray, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """By row, the range whose largest (key, hash) is the first not below its own."""
+    dest, end = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+    tied = np.flatnonzero(dest < end)
+    for k in set(key[tied].tolist()):
+        rows = tied[key[tied] == k]
+        a, b = dest[rows[0]], end[rows[0]]
+        dest[rows] = a + np.searchsorted(hashes[a:b], h[rows])
+    return dest
 
 
-def with_next(documents: DataFrame) -> tuple[DataFrame, str]:
-    """Rows (dest, extra, key, doc_id, text), dealt into partitions so that in the order of `dest, extra, key desc, text`
-    each row of a dest but its extra ones has its successor, by descending doc_id, right behind it.
+def with_next(documents: DataFrame) -> DataFrame:
+    """Rows (dest, extra, doc_id, text), dealt into partitions and sorted so that each row of a dest but its extra ones has
+    its successor, by descending doc_id, right behind it.
 
-    doc_id is dealt into ranges at approximate quantiles. The first row of each range is sent to the range
-    before it too; the first of all follows the last. Only the ranges' bounds and first ids reach the driver.
+    Spark's range partitioning of the ids (and text hashes) alone gives the ranges. The first row of each
+    range is sent to the range before it too, and the first of all follows the last. Only the largest id of each
+    range reaches the driver.
     """
     spark = documents.sparkSession
-    n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    given = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("key"), "doc_id", F.col("text").cast("string").alias("text"))
-    quantiles = given.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0]
-    bounds = np.unique(np.array(quantiles or [], np.int64))
-    ids = given.select("key")
-
-    def first_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            at = np.searchsorted(bounds, key)
-            most = np.full(len(bounds) + 1, _LOWEST, np.int64)
-            np.maximum.at(most, at, key)
-            used = np.unique(at)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(most[used])], names=["dest", "key"])
-
-    kind = given.schema["doc_id"].dataType.simpleString()
-    batch_type = _id_type(kind)
-    heads = ids.mapInArrow(first_ids, "dest long, key long").groupBy("dest").agg(F.max("key").alias("key")).orderBy("dest").collect()
-    ranges = [r.dest for r in heads]
-    before = {r.key: ranges[(i + 1) % len(ranges)] for i, r in enumerate(heads)}
+    given = documents.select(_key(documents).alias("key"), F.xxhash64(F.col("text").cast("string")).alias("h"), "doc_id", F.col("text").cast("string").alias("text"))
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    heads = given.select("key", "h").repartitionByRange(ranges, "key", "h").groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct("key", "h")).alias("head"))
+    largest = sorted((r.head.key, r.head.h) for r in heads.select("head").collect())
+    whole = not largest or isinstance(largest[0][0], int)
+    keys = np.array([k for k, _ in largest], np.int64 if whole else object)
+    hashes = np.array([h for _, h in largest], np.int64)
+    #: each range's first row also ends the range before it, in descending order
+    before = {x: (i + 1) % len(largest) for i, x in enumerate(largest)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, tuple] = {}  # of rows that share the first id of a range, the first by text
-        names = ["dest", "extra", "key", "doc_id", "text"]
+        sent = set()
+        names = ["dest", "extra", "key", "h", "doc_id", "text"]
         for batch in batches:
-            key = batch.column(0)
-            ks = key.to_numpy()
-            dest = pa.array(np.searchsorted(bounds, ks).astype(np.int64))
-            for i in np.flatnonzero(np.isin(ks, list(before))):
-                row = (batch.column(2)[i].as_py(), batch.column(1)[i].as_py())
-                k = int(ks[i])
-                if k not in least or (row[0] is not None, row[0] or "") < (least[k][0] is not None, least[k][0] or ""):
-                    least[k] = row
-            yield pa.RecordBatch.from_arrays([dest, pa.array(np.zeros(len(ks), bool)), key, batch.column(1), batch.column(2)], names=names)
-        if least:
-            ks = list(least)
-            ids_ = pa.array([least[k][1] for k in ks], batch_type)
-            arrays = [pa.array([before[k] for k in ks], pa.int64()), pa.array([True] * len(ks)), pa.array(ks, pa.int64()), ids_, pa.array([least[k][0] for k in ks], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    dealt = given.mapInArrow(deal, f"dest long, extra boolean, key long, doc_id {kind}, text string")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "dest").sortWithinPartitions("dest", "extra", F.desc("key"), F.asc_nulls_first("text")), kind
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            h = batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(_range_of(keys, hashes, key, h)), pa.array(np.zeros(len(h), bool)), *batch.columns], names=names)
+            first = [i for i in np.flatnonzero(np.isin(h, hashes)) if (x := (key[i], h[i])) in before and x not in sent and not sent.add(x)]
+            if first:
+                copies = batch.take(pa.array(first))
+                to = pa.array([before[key[i], h[i]] for i in first], pa.int64())
+                yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(first), bool)), *copies.columns], names=names)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields)
+    dealt = given.mapInArrow(deal, f"dest long, extra boolean, {fields}")
+    return dealt.repartition("dest").sortWithinPartitions("dest", "extra", F.desc("key"), F.desc("h")).select("dest", "extra", "doc_id", "text")
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
@@ -222,7 +223,8 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     place of its last ones. Each text crosses the network once.
     """
     ready(documents.sparkSession)
-    rows, kind = with_next(documents)
+    rows = with_next(documents)
+    id_type = pa_types.to_arrow_type(rows.schema["doc_id"].dataType)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def told(run: list[tuple]) -> pa.RecordBatch:
@@ -235,7 +237,7 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
             if not r[1]:
                 digest = hashlib.sha256(edited[i].encode("utf-8", "surrogatepass")).hexdigest()
                 out.append((r[2], len(texts[i]), digest, written(own[i]), written(new[i]), likeness(own[i], new[i]), likeness(own[i], own[i + 1])))
-        types = [_id_type(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, types)], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,8 +254,8 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
         if len(run) > 1:
             yield told(run)
 
-    return rows.select("dest", "extra", "doc_id", "text").mapInArrow(
-        scan, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return rows.mapInArrow(
+        scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 
 

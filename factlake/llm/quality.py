@@ -7,8 +7,10 @@ counts have not seen, turns them into a probability. In each round a view counts
 documents, those that the other view is confident about. At last both views' calibrated log-odds are
 combined by a further fitted curve, and every document is scored.
 
-Feature counts are taken over all labelled and pseudo-labelled documents but those held back; a model is two tables of at most
-FEATURES numbers for each view. The curves are fitted on a bounded sample, and only it is held back: of a third
+A document's feature numbers are kept as sorted differences of one to three bytes, so that they are a small part of its text;
+only they meet the labels, by one sort-merge join. A round is one narrow pass over them: it labels by the last round's models
+and counts both views. Feature counts are taken over all labelled and pseudo-labelled documents but those held back; a model
+is two tables of at most FEATURES numbers for each view. The curves are fitted on a bounded sample, and only it is held back: of a third
 of the labelled documents, the CALIBRATION_ROWS with the smallest hash of doc_id.
 
 Two targets run side by side: `quality` and `toxic`; a document is kept if it is good and not toxic.
@@ -21,15 +23,17 @@ scored; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ready
+from .common import cut, drop, ready
 from .words import ALNUM, chunks, words
 
 FEATURES = 1 << 18
@@ -40,12 +44,38 @@ CONFIDENT = 0.98
 SHRINK = 8.0
 TARGETS = ("quality", "toxic")
 VIEWS = ("content", "meta")
-#: labels of a row: 1, 0, or -1 for none
-_ROW = "doc_id {kind}, content array<int>, meta array<int>"
 
 
-def _content(h: np.ndarray) -> np.ndarray:
-    return np.unique((h >> np.uint64(46)).astype(np.int32))
+def packed(flat: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Rows of ascending numbers below 2**21 as differences in bytes of seven bits; at has each row's first, and the end."""
+    delta = flat.astype(np.int64)
+    delta[1:] -= flat[:-1]
+    first = at[:-1][at[1:] > at[:-1]]
+    delta[first] = flat[first]
+    n = 1 + (delta >= 1 << 7) + (delta >= 1 << 14)
+    end = np.cumsum(n)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for k in range(3):
+        has = n > k
+        out[end[has] - n[has] + k] = (delta[has] >> 7 * k & 127) | ((n[has] > k + 1) << 7)
+    off = np.concatenate(([0], end))[at].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(off), pa.py_buffer(out)])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and each row's first, and the end."""
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    end = np.flatnonzero(data < 128)
+    start = np.concatenate(([0], end + 1))[:-1]
+    delta = np.zeros(len(end), np.int64)
+    for k in range(3):
+        has = start + k <= end
+        delta[has] |= (data[start[has] + k] & 127).astype(np.int64) << 7 * k
+    at = np.searchsorted(end, off - off[0])
+    total = np.concatenate(([0], np.cumsum(delta)))
+    return total[1:] - np.repeat(total[at[:-1]], np.diff(at)), at
 
 
 def _step(x: float, *bounds: float) -> int:
@@ -70,32 +100,38 @@ def _layout(raw: np.ndarray, h: np.ndarray) -> list[tuple[str, int]]:
     ]
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _hashed(name: str, value: object) -> int:
     import zlib
 
     return zlib.crc32(f"{name}={value}".encode("utf-8", "replace")) % FEATURES
 
 
+def _rows(row: np.ndarray, feature: np.ndarray, n: int) -> pa.Array:
+    """The distinct feature numbers of n rows, packed."""
+    both = np.unique(row.astype(np.int64) * FEATURES + feature)
+    return packed(both % FEATURES, np.searchsorted(both, np.arange(n + 1) * FEATURES))
+
+
 def features(documents: DataFrame) -> DataFrame:
-    """doc_id and both views' feature numbers of every document."""
+    """doc_id and both views' packed feature numbers of every document."""
     kind = documents.select("doc_id").schema.fields[0].dataType.simpleString()
     given = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            content, meta = [], []
             for row, data, off in chunks(batch.column(1)):
                 h, at = words(data, off, ALNUM)
-                for i in range(len(off) - 1):
-                    own = h[at[i] : at[i + 1]]
-                    content.append(_content(own))
-                    named = [("source", source[row + i]), ("lang", lang[row + i]), *_layout(data[off[i] : off[i + 1]], own)]
-                    meta.append(np.array([_hashed(k, v) for k, v in named], np.int32))
-            kind_ = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, kind_), pa.array(meta, kind_)], names=["doc_id", "content", "meta"])
+                n = len(off) - 1
+                meta = []
+                for i in range(n):
+                    named = [("source", source[row + i]), ("lang", lang[row + i]), *_layout(data[off[i] : off[i + 1]], h[at[i] : at[i + 1]])]
+                    meta += [_hashed(k, v) for k, v in named]
+                arrays = [batch.column(0).slice(row, n), _rows(np.repeat(np.arange(n), np.diff(at)), (h >> np.uint64(46)).astype(np.int64), n), _rows(np.repeat(np.arange(n), len(meta) // n), np.array(meta), n)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "content", "meta"])
 
-    return given.mapInArrow(scan, _ROW.format(kind=kind))
+    return given.mapInArrow(scan, f"doc_id {kind}, content binary, meta binary")
 
 
 class Curve(NamedTuple):
@@ -134,19 +170,17 @@ class Model(NamedTuple):
     curve: Curve | None
 
 
-def told(log_odds: np.ndarray, listed: list[np.ndarray]) -> np.ndarray:
-    """Of each document's features: the scaled sum of log-odds and the means of the three highest and lowest."""
-    out = np.zeros((len(listed), 3))
-    for i, f in enumerate(listed):
-        if len(f):
-            lo = np.sort(log_odds[f])
-            out[i] = lo.sum() / np.sqrt(len(lo)), lo[-3:].mean(), lo[:3].mean()
-    return out
-
-
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    off, flat = column.offsets.to_numpy(), column.values.to_numpy()
-    return [flat[a:b] for a, b in zip(off[:-1], off[1:])]
+def told(log_odds: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row's features: the scaled sum of log-odds and the means of the three highest and lowest."""
+    n = np.diff(at)
+    row = np.repeat(np.arange(len(n)), n)
+    lo = log_odds[flat]
+    lo = lo[np.lexsort((lo, row))]
+    total = np.concatenate(([0.0], np.cumsum(lo)))
+    three = np.minimum(n, 3)
+    of = lambda a, b: total[b] - total[a]
+    some = np.maximum(n, 1)
+    return np.column_stack((of(at[:-1], at[1:]) / np.sqrt(some), of(at[1:] - three, at[1:]) / np.maximum(three, 1), of(at[:-1], at[:-1] + three) / np.maximum(three, 1)))
 
 
 def _with_told(table: DataFrame, models: dict[tuple[str, str], Model], keep: list[str]) -> DataFrame:
@@ -158,36 +192,70 @@ def _with_told(table: DataFrame, models: dict[tuple[str, str], Model], keep: lis
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = {v: _arrays(batch.column(v)) for v in VIEWS}
+            listed = {v: unpacked(batch.column(v)) for v in VIEWS}
             arrays = [batch.column(c) for c in keep]
             for (v, _), m in models.items():
-                x = told(m.log_odds, listed[v])
+                x = told(m.log_odds, *listed[v])
                 arrays.append(pa.array(list(x), pa.list_(pa.float64())) if m.curve is None else pa.array(m.curve.logit(x)))
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
-    return table.mapInArrow(scan, ", ".join(fields))
+    return table.select(*dict.fromkeys([*VIEWS, *keep])).mapInArrow(scan, ", ".join(fields))
+
+
+#: the place where the number of labelled rows is counted, behind all features
+_ALL = FEATURES
+
 
+def _counted(table: DataFrame, models: dict[tuple[str, str], Model]) -> dict[tuple[str, str], np.ndarray]:
+    """Shrunken log-odds by view and target, from the rows with fold 0, in one pass.
 
-def _counted(rows: DataFrame, view: str) -> dict[str, np.ndarray]:
-    """Shrunken log-odds by target, from rows with a label column (1, 0, -1) for each; columns `{view}_{target}_y`."""
-    marks = [F.sum((F.col(f"{view}_{t}_y") == y).cast("long")).alias(f"{t}{y}") for t in TARGETS for y in (0, 1)]
-    labelled = rows.filter(" or ".join(f"{view}_{t}_y >= 0" for t in TARGETS))
-    n = labelled.agg(*marks).first()
-    found = labelled.select(F.explode(view).alias("f"), *[f"{view}_{t}_y" for t in TARGETS]).groupBy("f").agg(*marks).toArrow()
+    A row's label counts for both views; without one, a view counts what the other one is confident about. A
+    task sends on at most FEATURES rows a view.
+    """
+    sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {(v, t, y): np.zeros(FEATURES + 1, np.int64) for v in VIEWS for t in TARGETS for y in (0, 1)}
+        for batch in batches:
+            listed = {v: unpacked(batch.column(v)) for v in VIEWS}
+            for v, other in zip(VIEWS, VIEWS[::-1]):
+                flat, at = listed[v]
+                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                for t in TARGETS:
+                    y = batch.column(t).to_numpy()
+                    if models:
+                        z = models[other, t].curve.logit(told(models[other, t].log_odds, *listed[other]))
+                        y = np.where(y >= 0, y, np.where(z > sure, 1, np.where(z < -sure, 0, -1)))
+                    for k in (0, 1):
+                        sums[v, t, k] += np.bincount(flat[y[row] == k], minlength=FEATURES + 1)
+                        sums[v, t, k][_ALL] += int((y == k).sum())
+        for i, v in enumerate(VIEWS):
+            columns = [sums[v, t, k] for t in TARGETS for k in (0, 1)]
+            at = np.flatnonzero(sum(columns))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), *(pa.array(c[at]) for c in columns)], names=["v", "f", *marks])
+
+    marks = [f"{t}{k}" for t in TARGETS for k in (0, 1)]
+    rows = table.filter("fold = 0").select(*VIEWS, *TARGETS).mapInArrow(scan, ", ".join(["v int", "f long", *[f"{m} long" for m in marks]]))
+    found = rows.groupBy("v", "f").agg(*[F.sum(m).alias(m) for m in marks]).toArrow()
     out = {}
-    for t in TARGETS:
-        zero, one = np.zeros(FEATURES), np.zeros(FEATURES)
-        zero[found["f"].to_numpy()], one[found["f"].to_numpy()] = found[f"{t}0"].to_numpy(), found[f"{t}1"].to_numpy()
-        n0, n1 = n[f"{t}0"] or 0, n[f"{t}1"] or 0
-        if not n0 or not n1:
-            out[t] = np.zeros(FEATURES)
-            continue
-        share = n1 / (n0 + n1)
-        p = (one + SHRINK * share) / (one + zero + SHRINK)
-        out[t] = np.log(p / (1 - p)) - np.log(share / (1 - share))
+    for i, v in enumerate(VIEWS):
+        own = found.filter(pa.compute.equal(found["v"], i))
+        for t in TARGETS:
+            zero, one = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
+            zero[own["f"].to_numpy()], one[own["f"].to_numpy()] = own[f"{t}0"].to_numpy(), own[f"{t}1"].to_numpy()
+            out[v, t] = shrunken(zero[:_ALL], one[:_ALL], zero[_ALL], one[_ALL])
     return out
 
 
+def shrunken(zero: np.ndarray, one: np.ndarray, n0: float, n1: float) -> np.ndarray:
+    """The features' log-odds over those of all rows, from their counts by class; all 0 if a class is missing."""
+    if not n0 or not n1:
+        return np.zeros(len(zero))
+    share = n1 / (n0 + n1)
+    p = (one + SHRINK * share) / (one + zero + SHRINK)
+    return np.log(p / (1 - p)) - np.log(share / (1 - share))
+
+
 def trained(table: DataFrame, rounds: int = ROUNDS) -> tuple[dict[tuple[str, str], Model], dict[str, Curve]]:
     """Both views' models and the combining curves. table: features, fold (0 to count, 1 to calibrate if chosen) and labels (1, 0, -1)."""
     held = table.filter("fold = 1").filter(" or ".join(f"{t} >= 0" for t in TARGETS))
@@ -196,33 +264,21 @@ def trained(table: DataFrame, rounds: int = ROUNDS) -> tuple[dict[tuple[str, str
     # only the rows chosen are kept back; all other labelled ones are counted
     table = table.withColumn("fold", F.when((F.col("fold") == 1) & (F.xxhash64("doc_id") <= F.lit(edge).cast("long")), 1).otherwise(0))
     held = cut(table.filter("fold = 1").select("content", "meta", *TARGETS), "calibration")
-    given = [F.when(F.col("fold") == 0, F.col(t)).otherwise(-1).alias(f"{v}_{t}_y") for v in VIEWS for t in TARGETS]
-    rows = table.select("content", "meta", *given)
     models: dict[tuple[str, str], Model] = {}
-    for r in range(rounds + 1):
-        fresh = {(v, t): Model(lo, None) for v in VIEWS for t, lo in _counted(rows, v).items()}
+    for _ in range(rounds + 1):
+        fresh = {key: Model(lo, None) for key, lo in _counted(table, models).items()}
         sample = _with_told(held, fresh, list(TARGETS)).toArrow()
         for (v, t), m in fresh.items():
             y = sample[t].to_numpy()
             x = np.array(sample[f"{v}_{t}"].to_pylist()).reshape(-1, 3)[y >= 0]
             models[v, t] = Model(m.log_odds, fit_curve(x, y[y >= 0].astype(float)))
-        if r == rounds:
-            break
-        # each view's confident labels, for the other one; documents with a label keep it, held-back ones stay out
-        scored = _with_told(table.filter("fold = 0"), models, ["content", "meta", *TARGETS])
-        sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
-        pseudo = []
-        for v, other in zip(VIEWS, VIEWS[::-1]):
-            for t in TARGETS:
-                s = F.col(f"{other}_{t}")
-                pseudo.append(F.when(F.col(t) >= 0, F.col(t)).when(s > sure, 1).when(s < -sure, 0).otherwise(-1).alias(f"{v}_{t}_y"))
-        rows = scored.select("content", "meta", *pseudo)
     last = _with_told(held, models, list(TARGETS)).toArrow()
     combined = {}
     for t in TARGETS:
         y = last[t].to_numpy()
         x = np.column_stack([last[f"{v}_{t}"].to_numpy() for v in VIEWS])[y >= 0]
         combined[t] = fit_curve(x, y[y >= 0].astype(float))
+    drop(held)
     return models, combined
 
 
@@ -231,7 +287,8 @@ def scored(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Dat
     ready(documents.sparkSession)
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(*[F.avg(t).alias(t) for t in TARGETS])
     known = known.select("_id", *[F.when(F.col(t) >= 0.5, 1).when(F.col(t) < 0.5, 0).otherwise(-1).alias(t) for t in TARGETS])
-    table = features(documents).join(known, F.col("doc_id") == F.col("_id"), "left").drop("_id").fillna(-1, list(TARGETS))
+    # one plan at every size: labels may be as many as documents, so neither side is ever broadcast
+    table = features(documents).join(known.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id").fillna(-1, list(TARGETS))
     # one of three labelled documents may be kept back to calibrate; all others are counted
     fold = F.when((F.greatest(*TARGETS) >= 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0), 1).otherwise(0)
     table = cut(table.withColumn("fold", fold), "features")

@@ -9,7 +9,8 @@ Spans are (start, end) in code points, end exclusive. Matches are leftmost and n
 kind; those under the kind's least length are dropped afterwards.
 
 Defined results: a null text is the empty one and has no spans; a null path keeps its row; repeated rows
-each get theirs; empty tables give empty results; further columns are kept by scan(), whatever their names.
+each get theirs; empty tables give empty results; further columns, whatever their names, are kept by scan() and
+without_secrets().
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table_or_none
+from .common import Kept, kept, shared_dir, table_or_none
 
 
 class Rule(NamedTuple):
@@ -85,17 +86,22 @@ def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     once.select("blob", spans_of(F.col("text"), rules).alias("spans"), F.lit(version).alias("rule_version")).write.mode("append").partitionBy("rule_version").parquet(ledger)
 
 
-def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
-    """Every row of `versions` with its `secret_spans`; the ledger at path `ledger` is brought up to date first.
+def _scanned(own: Kept, ledger: str, rules: tuple[Rule, ...], version: str) -> DataFrame:
+    """The rows of `own` with their spans; the ledger is brought up to date first.
 
     Blobs that hold no secret stay out of the join, which is a sort-merge join that adaptive execution
     splits where one blob holds many versions.
     """
-    update_ledger(versions, ledger, rules, version)
-    found = _seen(versions.sparkSession, ledger, version).filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    addressed = versions.withColumn("_address", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    out = addressed.join(found, addressed["_address"] == found["_blob"], "left")
-    return out.select(*[addressed[f"`{c}`"] for c in versions.columns], F.coalesce("_spans", F.array().cast(_SPANS)).alias("secret_spans"))
+    update_ledger(own.table.select(own["text"].alias("text")), ledger, rules, version)
+    found = _seen(own.table.sparkSession, ledger, version).filter(F.size("spans") > 0).select("blob", "spans")
+    addressed = own.table.withColumn("address", F.sha2(F.coalesce(own["text"].cast("string"), F.lit("")), 256))
+    return addressed.join(found, F.col("address") == F.col("blob"), "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+
+
+def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
+    """Every row of `versions` with its spans as a last column `secret_spans`; the ledger at path `ledger` is brought up to date first."""
+    own = kept(versions)
+    return _scanned(own, ledger, rules, version).select(*own.table.columns, "spans").toDF(*own.names, "secret_spans")
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -116,14 +122,15 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def without_secrets(documents: DataFrame, ledger: str | None = None) -> DataFrame:
-    """The documents with their secrets redacted and n_chars brought up to date; every document stays."""
-    found = scan(documents, ledger or new_ledger(documents.sparkSession))
-    text = F.when(F.size("secret_spans") > 0, redacted(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in documents.columns:
-        n_chars = F.when(F.size("secret_spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", n_chars.cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    """The documents with their secrets redacted and n_chars, if there is one, brought up to date; every document and column stays."""
+    own = kept(documents)
+    found = _scanned(own, ledger or new_ledger(documents.sparkSession), RULES, RULES_VERSION)
+    text, hit = own["text"], F.size("spans") > 0
+    name = lambda c: own.table.columns[own.names.index(c)]
+    found = found.withColumn(name("text"), F.when(hit, redacted(text, F.col("spans"))).otherwise(text))
+    if "n_chars" in own.names:
+        found = found.withColumn(name("n_chars"), F.when(hit, F.length(text)).otherwise(own["n_chars"]).cast(documents.schema["n_chars"].dataType))
+    return own.back(found)
 
 
 def new_ledger(spark: SparkSession) -> str:

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,7 +145,7 @@ def test_components_of_any_number_of_links(spark, monkeypatch):
         found = graph.components(many)
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    assert len(written) > 2 and all(len(t.inputFiles()) > 1 for t in written[:-1]) and len(written[0].inputFiles()) > 2
+    assert len(written) > 2 and all(len(t.inputFiles()) > 1 for t in written[:-1])
     assert found.groupBy("root").count().groupBy("count").count().filter("count > 3").count() == 0 and found.filter("root > node").count() == 0
 
 
@@ -213,6 +215,30 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.digest(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_longest_matches_and_their_places(spark):
+    ready(spark)
+    w = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([("a", " ".join(w[:30])), ("b", " ".join(w[20:40]))], "item_id string, text string")
+    rows = [(1, " ".join(["x"] * 5 + w[3:25] + ["y"] + w[22:35])), (2, " ".join(w[:9])), (3, " ".join(w[15:45])), (4, None)]
+    got = {x.doc_id: x for x in rows_of(decontaminate.hits(spark.createDataFrame(rows, "doc_id long, text string"), bench, ["doc_id"]))}
+    # of document 1: words 3 to 24 of a, and 22 to 34 of b (8 words of them are of a too, too few for a window)
+    assert sorted((s.start, s.words) for s in got[1].spans) == [(5, 22), (28, 13)] and got[1].longest == 22
+    assert got[1].hit_words == [*range(5, 27), *range(28, 41)] and got[1].items == ["a", "b"]
+    assert not got[2].spans and got[2].longest == 0 and got[4].n_words == 0
+    assert sorted((s.start, s.words) for s in got[3].spans) == [(0, 15), (5, 20)] and got[3].n_hit == 25
+
+
+def test_one_line_of_many_items_and_documents(spark):
+    """A line that all items and all documents hold is found once for each, however often it occurs."""
+    ready(spark)
+    line = " ".join(f"l{i}" for i in range(12))
+    bench = spark.createDataFrame([(f"i{k:03}", f"own{k} {line} end{k}") for k in range(200)], "item_id string, text string")
+    df = spark.createDataFrame([(d, (line + f" d{d} ") * 20) for d in range(50)], "doc_id long, text string")
+    got = rows_of(decontaminate.digest(df, bench))
+    ids = hashlib.sha256(",".join(f"i{k:03}" for k in range(200)).encode()).hexdigest()
+    assert all((x.n_words, x.n_hit, x.n_items, x.items_sha256) == (260, 240, 200, ids) for x in got) and len(got) == 50
+
+
 def test_suffix_array_orders_suffixes():
     r = np.random.default_rng(3)
     for n in (1, 2, 50, 400):
@@ -233,7 +259,9 @@ def test_suffix_array_of_a_large_vocabulary():
 def test_fingerprints(spark, docs, none):
     got = rows_of(fingerprint.edited_fingerprints(docs))
     assert len(got) == docs.count()
-    given = sorted(((x.doc_id if x.doc_id is not None else -1, x.text or "", x.text is not None) for x in rows_of(docs)), key=lambda x: (-x[0], x[2], x[1]))
+    # rows of equal doc_id are ordered by their text's hash, so that a hot id can be split
+    hashed = rows_of(docs.select("doc_id", "text", F.xxhash64("text").alias("h")))
+    given = sorted(((x.doc_id if x.doc_id is not None else -1, x.text or "", x.h) for x in hashed), key=lambda x: (-x[0], -x[2]))
     want = collections.Counter()
     for (i, t, _), (_, nxt, _) in zip(given, given[1:] + given[:1]):
         e = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
@@ -245,6 +273,92 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.fingerprints(docs).columns == [*docs.columns, "fingerprint"]
 
 
+def _parsed_by_hand(text):
+    """Names of all phrases of all levels, symbol by symbol in plain Python."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    p = 0x9E3779B97F4A7C15
+    names, out, level = [ord(c) for c in text], [], 0
+    while names:
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [x if n == 1 else mix(x + n * p & mask) for x, n in runs]
+        label = list(names)
+        for i in range(4):
+            size = mask if i == 0 else 255
+            new = []
+            for j, x in enumerate(label):
+                d = x ^ (label[j - 1] if j else x ^ 1)
+                k = (d & -d).bit_length() - 1
+                new.append(2 * k + (x >> k & 1))
+            label = [x & size for x in new]
+        starts = [j for j in range(len(names)) if j == 0 or (0 < j < len(names) - 1 and label[j] > label[j - 1] and label[j] > label[j + 1])]
+        phrases = []
+        for a, b in zip(starts, [*starts[1:], len(names)]):
+            h = sum(mix(names[j] + p & mask) * pow(p, j - a, 1 << 64) for j in range(a, b))
+            phrases.append(mix(h + (b - 1 - a) & mask))
+        level += 1
+        out += [mix(x ^ level) >> 32 for x in phrases]
+        names = phrases if len(phrases) > 1 else []
+    return sorted(set(out))
+
+
+def test_parsing_by_brute_force():
+    r = random.Random(11)
+    for n in (0, 1, 2, 3, 7, 40, 300):
+        text = "".join(r.choice("ab ") if n % 2 else r.choice("abcdefgh éñ漢") for _ in range(n))
+        assert fingerprint.sketches([text])[0].tolist() == _parsed_by_hand(text)[: fingerprint.SKETCH]
+    many = ["".join(r.choice("abcd ") for _ in range(r.randrange(60))) for _ in range(30)]
+    assert [x.tolist() for x in fingerprint.sketches(many)] == [_parsed_by_hand(t)[: fingerprint.SKETCH] for t in many]
+
+
+def test_likeness_by_brute_force(spark, docs):
+    def like(x, y):
+        a, b = set(_parsed_by_hand(x)[: fingerprint.SKETCH]), set(_parsed_by_hand(y)[: fingerprint.SKETCH])
+        if not a or not b:
+            return float(len(a) == len(b))
+        union = sorted(a | b)
+        union = union[: fingerprint.SKETCH] if fingerprint.SKETCH in (len(a), len(b)) else union
+        return sum(x in a and x in b for x in union) / len(union)
+
+    some = docs.filter("doc_id between 10 and 30").dropDuplicates(["doc_id"])
+    got = {x.doc_id: x for x in rows_of(fingerprint.edited_fingerprints(some))}
+    given = sorted(((x.doc_id, x.text or "") for x in rows_of(some)), reverse=True)
+    for (i, t), (_, nxt) in zip(given, given[1:] + given[:1]):
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        assert got[i].near_edited == pytest.approx(like(t, edited)) and got[i].near_next == pytest.approx(like(t, nxt))
+
+
+def test_many_rows_of_one_id_are_dealt_out(spark):
+    """A hot doc_id, string ids and null ids: each row has its successor, in many ranges."""
+    ready(spark)
+    rows = [(7 if i % 3 else i, f"text number {i} " * (i % 5 + 1)) for i in range(300)] + [(None, f"no id {i}") for i in range(40)]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        dealt = fingerprint.with_next(df)
+        assert dealt.select("dest").distinct().count() > 8
+        hot = dealt.filter("not extra").groupBy("dest").count().agg(F.max("count")).first()[0]
+        assert hot < 60
+        got = rows_of(fingerprint.edited_fingerprints(df))
+        hashed = rows_of(df.select("doc_id", "text", F.xxhash64("text").alias("h")))
+        low = "" if kind == "string" else -1
+        given = sorted(((low if x.doc_id is None else x.doc_id, x.h, x.text) for x in hashed), key=lambda x: (x[0], x[1]), reverse=True)
+        want = collections.Counter()
+        for (i, _, t), (_, _, nxt) in zip(given, given[1:] + given[:1]):
+            e = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+            want[None if i == low else i, hashlib.sha256(e.encode()).hexdigest()] += 1
+        assert collections.Counter((x.doc_id, x.edited_sha256) for x in got) == want
+
+
 def test_equal_substrings_share_phrases():
     r = random.Random(1)
     text = "".join(r.choice("abcdefgh ") for _ in range(4000))
@@ -289,6 +403,36 @@ def test_html_keeps_short_and_linked_lines_of_unmarked_pages():
     assert html.main_text("<p><a>Home</a></p><p>Text</p><p><a>Next</a></p>") == "Text"
 
 
+def test_html_block_sums_by_brute_force():
+    r = random.Random(9)
+    for _ in range(300):
+        w = np.array([r.choice((0, 0, 1, 5, 40, 300)) for _ in range(r.randrange(1, 20))])
+        k = r.randrange(1, 8)
+        sums = [int(w[i : i + k].sum()) for i in range(max(1, len(w) - k + 1))]
+        assert html.block_sums(w, k).tolist() == sums
+        on = {j for i, s in enumerate(sums) if s >= 40 for j in range(i, min(i + k, len(w)))}
+        assert set(np.flatnonzero(html.covered(np.array(sums) >= 40, len(w), k)).tolist()) == on
+
+
+def test_html_finds_the_text_of_a_page_without_marks():
+    """No article, no telling name, no paragraphs: window and share of the blocks decide."""
+    long = "The text of the article, which goes on for a while and says one thing after the other, at some length."
+    menu = "".join(f"<div><a href=x{i}>Item {i}</a></div>" for i in range(8))
+    body = f"<div>{long}</div><div>Short.</div><div><a href=y>One link</a></div><div>{long} {long}</div><div>{long}</div>"
+    page = f"<body>{menu}<div>Menu end</div>{menu}{body}{menu}<div>Imprint 2020</div></body>"
+    want = "\n\n".join([long, "Short.", "One link", f"{long} {long}", long])
+    assert html.main_text(page) == want
+    assert html.main_text(page, window=1) != want and html.main_text(page, share=0.01) != want
+    light = f"<div>{long}</div>{menu}" + f"<div>{long} {long}</div>" * 3
+    assert html.main_text(light, share=0.1).count("\n\n") == 3 and html.main_text(light, share=0.9).count("\n\n") == 2
+    # paragraphs and headings end the text where lines of other kinds follow; lists of links between go
+    page = f"<div>Today's offer for you</div><h2>Head</h2><p>{long}</p>{menu}<p>{long}<p>Last.</p><div>All rights reserved by somebody</div>"
+    assert html.main_text(page) == "\n\n".join(["Head", long, long, "Last."])
+    # an article that is no text is not taken for it
+    assert html.main_text(f"<article>Teaser</article>{menu}<p>{long}</p><p>{long}</p>") == f"{long}\n\n{long}"
+    assert html.main_text(f"<article><p>{long}</p><p>End.</p></article><div>{long}</div>") == f"{long}\n\nEnd."
+
+
 def test_sharding(spark, docs, none):
     path = f"{shared_dir(spark)}/test-map-{random.random()}"
     got = rows_of(sharding.shard(docs, path, shards=4, slots=64))
@@ -375,3 +519,126 @@ def test_labelled_rows_beyond_the_calibration_sample_are_counted(spark, monkeypa
     monkeypatch.setattr(quality, "_counted", lambda rows, view: counted.append(rows.filter(f"{view}_quality_y >= 0").count()) or count(rows, view))
     assert quality.scored(spark.createDataFrame(rows, DOC), labels, rounds=0).count() == 120
     assert counted == [80, 80]
+
+
+def test_told_languages_by_brute_force(spark, docs):
+    """Sizes by zstandard's own calls, dictionary by dictionary, and the bounded sample by hand."""
+    import zstandard as z
+
+    rows = rows_of(docs)
+    found = langid.learn(docs)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    train = [x for x in rows if x.doc_id is not None and x.lang and not held(x.doc_id)]
+    count = collections.Counter(x.lang for x in train)
+    assert list(found) == sorted(found, key=lambda k: (-count[k], k)) and set(found) == set(count)
+    assert all(len(v) <= langid.DICTIONARY_BYTES + 200 for v in found.values())
+    every = b" ".join(langid.letters(x.text) for x in train if x.text and x.lang == "en")
+    assert all(part in every for part in found["en"].split(b"  ")[:3])
+
+    def told(text):
+        if not text or not re.search(r"[^\W\d_]", text):
+            return "und", True
+        raw = f" {re.sub(r'[\W\d_]+', ' ', text.lower())} ".encode()
+        pieces = [raw[i : i + langid.PIECE_BYTES] for i in range(0, len(raw), langid.PIECE_BYTES)]
+
+        def size(lang, level):
+            d = z.ZstdCompressionDict(found[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            coder = z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            return sum(len(coder.compress(p)) for p in pieces)
+
+        sizes = {k: size(k, langid.LEVEL) for k in found}
+        order = sorted(sizes.values())
+        if order[1] - order[0] < langid.NARROW * order[0]:
+            sizes = {k: v + sum(size(k, level) for level in langid.FURTHER_LEVELS) for k, v in sizes.items()}
+        best = min(found, key=lambda k: (sizes[k], list(found).index(k)))
+        rest = min(v for k, v in sizes.items() if k != best)
+        return best, (rest - sizes[best]) / sizes[best] < langid.MIN_MARGIN
+
+    got = rows_of(langid.identify(docs, found, ["doc_id", "text"]))
+    assert len(got) == len(rows)
+    for x in got:
+        assert (x.lang_pred, x.rejected) == told(x.text) and 0 <= x.score <= 1 and not math.isnan(x.score)
+    assert langid.identified(docs).count() == sum(not x.rejected for x in got)
+    assert langid.learn(docs.limit(0)) == {} and rows_of(langid.identify(docs.limit(5), {}, ["doc_id"]))[0].lang_pred == "und"
+
+
+def test_repeated_rows_do_not_widen_the_sample(spark):
+    ready(spark)
+    row = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    df = spark.range(3000).select(F.lit(row).alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("the words of it "), F.col("id").cast("string")).alias("text"))
+    assert langid.learn(df)["en"].count(b"the words") == 1
+
+
+def test_features_are_packed_and_told_by_brute_force():
+    r = np.random.default_rng(1)
+    log_odds = r.normal(size=quality.FEATURES)
+    for _ in range(60):
+        rows = [np.unique(r.integers(0, r.choice([5, 200, 20_000, quality.FEATURES]), r.choice([0, 1, 2, 5, 300]))) for _ in range(r.integers(1, 9))]
+        at = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
+        flat, back = quality.unpacked(quality.packed(np.concatenate(rows), at))
+        assert flat.tolist() == np.concatenate(rows).tolist() and back.tolist() == at.tolist()
+        for x, got in zip(rows, quality.told(log_odds, flat, back)):
+            lo = sorted(log_odds[x].tolist())
+            want = [sum(lo) / math.sqrt(len(lo)), sum(lo[-3:]) / len(lo[-3:]), sum(lo[:3]) / len(lo[:3])] if lo else [0, 0, 0]
+            assert got.tolist() == pytest.approx(want)
+
+
+def test_co_training_counts_by_brute_force(spark):
+    """Counts of both views, with and without the other view's pseudo-labels, row by row."""
+    ready(spark)
+    r = random.Random(4)
+    good, bad = "river stone light water".split(), "spam buy cheap click".split()
+    rows = [(i, " ".join(r.choice(good if i % 2 else bad) for _ in range(12)), "en", "a" if i % 2 else "b", 1) for i in range(120)]
+    df = spark.createDataFrame(rows, DOC)
+    labels = F.when(F.col("doc_id") < 60, (F.col("doc_id") % 2).cast("int")).otherwise(-1)
+    table = quality.features(df).withColumns({"quality": labels, "toxic": F.lit(-1), "fold": (F.col("doc_id") % 10 == 0).cast("int")}).cache()
+    held = {x.doc_id: (quality.unpacked(pa.array([x.content], pa.binary()))[0], quality.unpacked(pa.array([x.meta], pa.binary()))[0], x.quality, x.fold) for x in rows_of(table)}
+
+    def by_hand(view, label):
+        zero, one, n = np.zeros(quality.FEATURES), np.zeros(quality.FEATURES), [0, 0]
+        for i, (content, meta, y, fold) in held.items():
+            y = label(i, y)
+            if fold or y < 0:
+                continue
+            n[y] += 1
+            (one if y else zero)[content if view == "content" else meta] += 1
+        return quality.shrunken(zero, one, *n)
+
+    first = quality._counted(table, {})
+    for v in quality.VIEWS:
+        assert np.allclose(first[v, "quality"], by_hand(v, lambda i, y: y)) and not first[v, "toxic"].any()
+    flat_ = quality.Curve(np.zeros(4), np.zeros(3), np.ones(3))
+    steep = quality.Curve(np.array([0.0, 9.0, 0, 0]), np.zeros(3), np.ones(3))
+    models = {(v, t): quality.Model(first[v, t], steep if t == "quality" else flat_) for v in quality.VIEWS for t in quality.TARGETS}
+    sure = math.log(quality.CONFIDENT / (1 - quality.CONFIDENT))
+    second = quality._counted(table, models)
+    for k, (v, other) in enumerate(zip(quality.VIEWS, quality.VIEWS[::-1])):
+
+        def label(i, y):
+            own = held[i][1 - k]
+            z = 9.0 * first[other, "quality"][own].sum() / math.sqrt(len(own))
+            return y if y >= 0 else 1 if z > sure else 0 if z < -sure else -1
+
+        assert any(y < 0 and label(i, y) >= 0 for i, (_, _, y, _) in held.items())
+        assert np.allclose(second[v, "quality"], by_hand(v, label))
+
+
+CLASHES = "score lang_pred margin rejected told items n_words n_hit n_items hit_words longest spans secret_spans address blob _address _gone gone node n grp component_id n_shingles root doc_id_ _own0 _own1 h value Text_".split()
+
+
+def test_columns_of_any_name_are_kept(spark, docs):
+    ready(spark)
+    wide = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHES], F.lit(1).alias("with.dot"))
+    bench = spark.createDataFrame([("a", "an item that no document holds at all, not even in part of it")], "item_id string, text string")
+    for name, out in (
+        ("language", langid.identified(wide)), ("near", jaccard.deduplicated(wide)), ("bench", decontaminate.decontaminated(wide, bench)), ("secrets", secrets.without_secrets(wide)),
+    ):
+        assert out.columns == wide.columns, name
+        for x in rows_of(out):
+            assert all(x[c] == f"{c}:{'-' if x.doc_id is None else x.doc_id}" for c in CLASHES), name
+        assert [f.dataType for f in out.schema] == [f.dataType for f in wide.schema], name
+    for query in (langid.identify(wide, langid.learn(wide), ["doc_id"]), jaccard.linked(wide), fingerprint.edited_fingerprints(wide), sharding.shard(wide, f"{shared_dir(spark)}/clash-{random.random()}"), packing.pack(wide)):
+        assert query.count() >= docs.count()
+    for empty in (langid.identified(wide.limit(0)), jaccard.deduplicated(wide.limit(0)), decontaminate.decontaminated(wide.limit(0), bench), secrets.without_secrets(wide.limit(0))):
+        assert empty.columns == wide.columns and empty.count() == 0
