@@ -18,8 +18,8 @@ INFRASTRUCTURE = (
 INFRASTRUCTURE_PREFIXES = ("System.", "Collections.", "Arrays.", "Objects.", "Logger.", "log.", "logger.")
 TABLE_PARAMETERS = ("ByName", "ByTableName", "ByColumn")
 CLASS_SUFFIXES = (
-    ("CONTROLLER", "controller"), ("SERVICE", "service|serviceimpl"), ("REPOSITORY", "repository|dao|mapper"), ("HANDLER", "handler|listener|consumer"),
-    ("CONFIG", "config|configuration"), ("CLIENT", "client|feignclient"), ("MODEL", "dto|vo|bo|entity|model"), ("UTIL", "utils|helper"),
+    ("CONTROLLER", "controller"), ("SERVICE", "serviceimpl|service"), ("REPOSITORY", "repository|dao|mapper"), ("HANDLER", "handler|listener|consumer"),
+    ("CONFIG", "configuration|config"), ("CLIENT", "feignclient|client"), ("MODEL", "dto|vo|bo|entity|model"), ("UTIL", "utils|helper"),
 )
 PACKAGE_SEGMENTS = (
     ("CONTROLLER", ("controller", "api", "web")), ("SERVICE", ("service", "biz")), ("REPOSITORY", ("repository", "dao", "mapper")),
@@ -27,6 +27,9 @@ PACKAGE_SEGMENTS = (
     ("MODEL", ("model", "entity", "dto", "vo")),
 )
 RISK_SCORES = {"CERTAIN": 1.0, "HIGH": 0.8, "MEDIUM": 0.5, "LOW": 0.2}
+RISK_BASES = {"CERTAIN": "SOLID_ANALYSIS", "HIGH": "SOLID_ANALYSIS", "MEDIUM": "HEURISTIC", "LOW": "PARTIAL"}
+PLAIN_DATA = "(DTO|VO|BO|ENTITY|MODEL)$"
+WORDS_MOST = 550
 _ACCESSOR = r"^(get|set|is)\p{Lu}"
 
 
@@ -116,36 +119,44 @@ def layer_rank(layer: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in LAYERS]), layer)
 
 
+def stripped(text: Column) -> Column:
+    """Without blanks, tabs and control characters at both ends."""
+    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def is_comment_or_blank(line: Column) -> Column:
     """P19."""
-    t = F.trim(line)
+    t = stripped(line)
     return (t == "") | t.rlike(r"^(//|/\*|\*)")
 
 
 def is_import_comment_or_blank(line: Column) -> Column:
     """The lines that P18 counts as of no significance."""
-    return is_comment_or_blank(line) | F.trim(line).startswith("import ")
+    return is_comment_or_blank(line) | stripped(line).startswith("import ")
 
 
 def is_cross_object_call(target: Column) -> Column:
-    """P20: called on something other than this object."""
-    return target.contains(".") & (F.substring_index(target, ".", 1) != "this")
+    """P20: what stands before the last dot is something other than this object; null is none."""
+    before = F.regexp_replace(target, r"\.[^.]*$", "")
+    return F.coalesce(target.contains(".") & (before != "this"), F.lit(False))
 
 
 def normalised_method(target: Column) -> Column:
-    """P20: the last segment, without a parameter list."""
-    return F.substring_index(F.regexp_replace(target, r"\(.*$", ""), ".", -1)
+    """P20: the last segment, without a parameter list; a name that ends in a dot stays, an empty one is null."""
+    plain = F.regexp_replace(F.regexp_replace(target, r"(?s)\(.*$", ""), r"^this\.", "")
+    return F.when(target != "", F.when(plain.rlike(r"\.[^.]+$"), F.substring_index(plain, ".", -1)).otherwise(plain))
 
 
 def is_dto_like(name: Column) -> Column:
-    """P17."""
-    return name.rlike("(DTO|VO|BO|Entity|Model|Dto|Vo|Bo)$")
+    """By suffix, whatever the case."""
+    return F.coalesce(F.upper(name).rlike(PLAIN_DATA), F.lit(False))
 
 
-def route(name: Column, kind: Column, loc: Column, methods: Column) -> Column:
-    """SINGLE for small or plain classes, else MULTI."""
+def route(name: Column, kind: Column, loc: Column, methods: Column, has_default: Column | None = None) -> Column:
+    """SINGLE for plain data, enums, interfaces without default methods and small classes, else MULTI."""
     small = (loc <= 300) & (methods <= 8) | (loc <= 800) & (methods <= 15)
-    return F.when(is_dto_like(name) | kind.isin("enum") | small, "SINGLE").otherwise("MULTI")
+    plain = (kind == "interface") & ~F.coalesce(has_default if has_default is not None else F.lit(False), F.lit(False))
+    return F.when(is_dto_like(name) | (kind == "enum") | plain | small, "SINGLE").otherwise("MULTI")
 
 
 def should_verify(level: Column, threshold: str) -> Column:
@@ -162,9 +173,18 @@ def score_of(confidence: Column) -> Column:
     return out.otherwise(0.0)
 
 
+def basis_of(confidence: Column) -> Column:
+    """What a confidence rests on."""
+    out = F.when(confidence == "CERTAIN", RISK_BASES["CERTAIN"])
+    for level, basis in list(RISK_BASES.items())[1:]:
+        out = out.when(confidence == level, basis)
+    return out.otherwise("UNKNOWN")
+
+
 def dependency_name(name: Column) -> Column:
-    """Without call part, package and interface mark, first letter in lower case."""
-    plain = F.substring_index(F.regexp_replace(F.trim(name), r"\(.*$", ""), ".", -1)
+    """Without a call and its method name, package and interface mark, first letter in lower case."""
+    called = F.regexp_replace(F.regexp_replace(name, r"(?s)\(.*$", ""), r"\.[^.]*$", "")
+    plain = F.substring_index(F.when(name.contains("("), called).otherwise(name), ".", -1)
     plain = F.regexp_replace(plain, r"^I(?=\p{Lu})", "")
     return F.concat(F.lower(F.substring(plain, 1, 1)), F.substring(plain, 2, 1 << 20))
 
@@ -181,6 +201,55 @@ def name_in_line(name: Column, line: Column) -> Column:
     return line.contains(name) | line.contains(last_two) | F.regexp_like(line, word)
 
 
+def line_of_name(name: Column, lines: Column) -> Column:
+    """The number of the first line that has the name, else 0. lines: an array."""
+    return F.coalesce(F.array_position(F.transform(lines, lambda x: F.coalesce(name_in_line(name, x), F.lit(False))), F.lit(True)), F.lit(0)).cast("int")
+
+
+def json_escaped(text: Column) -> Column:
+    """The text as the inside of a JSON string; null is the empty one."""
+    whole = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t")))
+    return F.regexp_extract(whole, r'(?s)^\{"t":"(.*)"\}$', 1)
+
+
+def project_root(path: Column, marked: Column, built: Column) -> Column:
+    """Of the folders above a file, the nearest that is marked, else the nearest that has a build file, else null.
+
+    marked and built: arrays of folders that hold the mark of an analysed project, and a build file.
+    """
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
+    nearest = lambda folders: F.get(F.filter(above, lambda p: F.array_contains(folders, p)), F.lit(0))
+    return F.coalesce(nearest(marked), nearest(built))
+
+
+def source_root(path: Column) -> Column:
+    """The path up to the folder of main or test sources, else its own folder."""
+    root = F.regexp_extract(path, r"^(.*?src/(?:main|test)/java)/", 1)
+    return F.when(root != "", root).otherwise(F.regexp_replace(path, r"/?[^/]*$", ""))
+
+
+def too_many_words(text: Column) -> Column:
+    """More than WORDS_MOST words between white space."""
+    return F.coalesce(F.size(F.split(stripped(text), r"\s+")) > WORDS_MOST, F.lit(False))
+
+
+def effective_temperature(locked: Column, preset: Column, wanted: Column) -> Column:
+    """C20: a locked preset's own value, else what is wanted, else the preset's."""
+    return F.when(F.coalesce(locked, F.lit(False)), preset).otherwise(F.coalesce(wanted, preset))
+
+
+def profile_key(provider: Column, model: Column) -> Column:
+    """The key of a model's profile."""
+    return F.concat(F.lower(F.coalesce(provider, F.lit(""))), F.lit(":"), F.lower(F.coalesce(model, F.lit(""))))
+
+
+def profile_of(provider: Column, model: Column, profiles: Column, fallback: Column) -> Column:
+    """The profile under the key, or the fallback. profiles: a map."""
+    return F.coalesce(F.try_element_at(profiles, profile_key(provider, model)), fallback)
+
+
 def shortened(text: Column, n: int, mark: str = "...") -> Column:
     """C14: at most n characters and a mark."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(mark))).otherwise(text)
@@ -193,7 +262,7 @@ def sql_shortened(text: Column) -> Column:
 
 def has_field(csv: Column, field: str) -> Column:
     """C17: in the trimmed list; a null list has every field."""
-    return csv.isNull() | F.array_contains(F.transform(F.split(csv, ","), F.trim), field)
+    return csv.isNull() | F.array_contains(F.transform(F.split(csv, ","), lambda x: F.trim(x)), field)
 
 
 def token_estimate(text: Column) -> Column:

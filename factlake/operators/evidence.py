@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.functions.columns import is_comment_or_blank, name_in_line, normalised_method
+from factlake.functions.columns import is_comment_or_blank, is_cross_object_call, name_in_line, normalised_method, stripped
 
 SEVERITY_WEIGHTS = {"HIGH": 0.3, "MEDIUM": 0.15, "LOW": 0.05}
 SKIPPED = r"^@(Autowired|Resource|Inject)"
@@ -25,7 +26,7 @@ def checked_dependencies(claims: DataFrame, src_lines: DataFrame) -> DataFrame:
     first = F.col("line_number") == F.col("n")
     hit = name_in_line(F.col("name"), text)
     mapper = F.col("name").endswith("Mapper") & text.contains("@Mapper")
-    ok = F.when(first, hit | mapper | F.trim(text).rlike(r"^(//|\*)")).otherwise(hit & ~F.trim(text).rlike(SKIPPED))
+    ok = F.when(first, hit | mapper | stripped(text).rlike(r"^(//|\*)")).otherwise(hit & ~stripped(text).rlike(SKIPPED))
     found = seen.groupBy("doc", "pos", "name", "n").agg(F.bool_or(ok).alias("ok"), F.bool_or(first).alias("there"))
     out = c.join(found.select("doc", "pos", "ok", "there"), ["doc", "pos"], "left")
     inside = F.coalesce("there", F.lit(False))
@@ -35,14 +36,30 @@ def checked_dependencies(claims: DataFrame, src_lines: DataFrame) -> DataFrame:
 
 
 def checked_ranges(claims: DataFrame, totals: DataFrame) -> DataFrame:
-    """R2: whether claimed lines (doc, pos, line) lie in the source (doc, n_lines); null where the line is no number."""
+    """R2: whether claimed lines (doc, pos, line) lie in the source (doc, n_lines), and the LOW issue where not.
+
+    A line that is no number is an issue, but is not counted: passed is null.
+    """
     n = F.expr("try_cast(line as int)")
-    return claims.join(totals, "doc", "left").select("doc", "pos", "line", n.between(1, F.coalesce("n_lines", F.lit(0))).alias("passed"))
+    passed = n.between(1, F.coalesce("n_lines", F.lit(0)))
+    issue = F.when(n.isNull(), "BAD_LINE").when(~passed, "OUT_OF_RANGE")
+    return claims.join(totals, "doc", "left").select("doc", "pos", "line", passed.alias("passed"), issue.alias("issue"), F.when(issue.isNotNull(), "LOW").alias("confidence"))
+
+
+def contains_line(begin: Column, end: Column, line: Column) -> Column:
+    """Both ends count."""
+    return line.between(begin, end)
 
 
-def in_any_range(claims: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Claims (doc, pos, line) whose line lies in a method of theirs (doc, begin_line, end_line)."""
-    return claims.join(ranges, (claims["doc"] == ranges["doc"]) & claims["line"].between(ranges["begin_line"], ranges["end_line"]), "left_semi")
+def in_any_range(claims: DataFrame, ranges: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Claims (doc, pos, line) whose line lies in a method of theirs (doc, begin_line, end_line).
+
+    With totals (doc, n_lines), a doc without any method is one range, the whole file.
+    """
+    if totals is not None:
+        whole = totals.join(ranges.select("doc").distinct(), "doc", "left_anti")
+        ranges = ranges.select("doc", "begin_line", "end_line").unionByName(whole.select("doc", F.lit(1).alias("begin_line"), F.col("n_lines").cast("int").alias("end_line")))
+    return claims.join(ranges, (claims["doc"] == ranges["doc"]) & contains_line(ranges["begin_line"], ranges["end_line"], claims["line"]), "left_semi")
 
 
 def overall_confidence(checked: DataFrame) -> DataFrame:
@@ -78,11 +95,23 @@ def owning_method(items: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def closest_method(items: DataFrame, methods: DataFrame) -> DataFrame:
-    """Items with the method nearest to their line, the earlier of two; items without a line get the first method."""
-    joined = items.join(methods.select("doc", F.col("name").alias("_m"), F.col("line").alias("_l")), "doc")
-    d = F.coalesce(F.abs(F.col("line") - F.col("_l")), F.lit(0))
-    best = joined.groupBy("doc", "pos").agg(F.min(F.struct(d, F.col("_l"), F.col("_m"))).getField("_m").alias("method"))
-    return items.join(best, ["doc", "pos"], "left")
+    """Items (doc, pos, line) with the method nearest to their line, the earlier of two; items without a line get the first method.
+
+    Of methods that begin in one line the first by name counts, those without a line never. Two windows over items and
+    methods together find the neighbours; items never meet all methods of their document.
+    """
+    m = methods.filter("line is not null").groupBy("doc", "line").agg(F.min("name").alias("name"))
+    rows = m.select("doc", F.col("line").alias("_at"), F.lit(0).alias("_side"), F.struct("line", "name").alias("_m"), F.lit(None).alias("pos"))
+    own = items.select("doc", F.col("line").alias("_at"), F.lit(1).alias("_side"), F.lit(None).alias("_m"), "pos").filter("_at is not null")
+    w = Window.partitionBy("doc").orderBy("_at", "_side")
+    both = rows.unionByName(own).withColumns({
+        "_before": F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first("_m", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+    }).filter("_side = 1")
+    nearer = F.when(F.col("_before.line").isNull() | (F.col("_after.line") - F.col("_at") < F.col("_at") - F.col("_before.line")), F.col("_after.name")).otherwise(F.col("_before.name"))
+    best = both.select("doc", "pos", nearer.alias("_near")).distinct()
+    first = m.groupBy("doc").agg(F.min(F.struct("line", "name")).getField("name").alias("_first"))
+    out = items.join(best, ["doc", "pos"], "left").join(first, "doc", "left")
+    return out.withColumn("method", F.when(F.col("line").isNull(), F.col("_first")).otherwise(F.col("_near"))).drop("_near", "_first")
 
 
 def complexity_contradictions(methods: DataFrame) -> DataFrame:
@@ -104,7 +133,7 @@ def call_contradictions(methods: DataFrame) -> DataFrame:
 
     Calls on other objects and recursion are passed over; an empty list only counts as incomplete.
     """
-    calls = methods.select("doc", "name", F.explode("calls").alias("t")).filter(~F.col("t").contains(".") | F.col("t").startswith("this."))
+    calls = methods.select("doc", "name", F.explode("calls").alias("t")).filter(F.col("t").isNotNull() & ~is_cross_object_call(F.col("t")))
     calls = calls.select("doc", "name", normalised_method(F.col("t")).alias("target")).filter("name <> target").distinct()
     other = methods.select("doc", F.col("name").alias("target"), "called_by")
     bad = calls.join(other, ["doc", "target"]).filter(~F.exists(F.coalesce("called_by", F.array().cast("array<string>")), lambda x: normalised_method(x) == F.col("name")))
@@ -118,6 +147,43 @@ def risk_contradictions(risks: DataFrame, src_lines: DataFrame) -> DataFrame:
     return hit.filter(is_comment_or_blank(F.col("text"))).select(risks["doc"], F.col("method").alias("source"), F.lit(None).cast("string").alias("target"), F.lit("C3").alias("rule"), F.lit("HIGH").alias("severity"), F.lit(-0.5).alias("penalty"), F.lit("CONTRADICTORY").alias("status"))
 
 
+#: the order of the rules' findings
+RULE_ORDER = ("C5", "C3-top", "C4", "C2", "C1", "C3")
+
+
+def united(**findings: DataFrame) -> DataFrame:
+    """The findings of all rules, given by rule, as one table with rule_order; rules without any are left out."""
+    columns = ["doc", "source", "target", "rule", "severity", "penalty", "status"]
+    out = None
+    for i, rule in enumerate(RULE_ORDER):
+        found = findings.get(rule.replace("-", "_"))
+        if found is not None:
+            part = found.select(*columns, F.lit(i).alias("rule_order"))
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"no findings of the rules {RULE_ORDER}")
+    return out
+
+
+def cross_verified(claims: DataFrame, verdict, enabled: bool = True) -> DataFrame:
+    """Claims with the status of a verdict: true PASSED, false REJECTED, null or an error PENDING; SKIPPED if not enabled.
+
+    verdict: a function of a pandas series of claims that gives a series of booleans; a batch that raises stays PENDING.
+    """
+    if not enabled:
+        return claims.withColumn("status", F.lit("SKIPPED"))
+
+    @F.pandas_udf("boolean")
+    def told(claim: pd.Series) -> pd.Series:
+        try:
+            return verdict(claim)
+        except Exception:  # whatever a caller's verdict raises leaves its claims open
+            return pd.Series([None] * len(claim), dtype="object")
+
+    ok = told(F.col("claim"))
+    return claims.withColumn("_ok", ok).withColumn("status", F.when(F.col("_ok"), "PASSED").when(~F.col("_ok"), "REJECTED").otherwise("PENDING")).drop("_ok")
+
+
 def contradiction_scores(findings: DataFrame) -> DataFrame:
     """Per doc the severities' weights of contradictory findings, 1 at most, and the methods concerned."""
     weight = F.lit(0.0)

@@ -68,6 +68,14 @@ def detected(files: DataFrame, enabled: tuple[str, ...] = DIMENSIONS, implements
     return out
 
 
+def by_dimension(found: DataFrame, enabled: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """One row for each enabled dimension in its order, also where nothing was found: dimension, rank, n, findings of each kind of target."""
+    names = ", ".join(f"named_struct('dimension', '{x}', 'rank', {i})" for i, x in enumerate(DIMENSIONS) if x in enabled)
+    every = found.sparkSession.range(1).select(F.explode(F.expr(f"array({names})")).alias("d")).select("d.*")
+    each = found.groupBy("dimension").agg(F.count("*").alias("n"), F.count_distinct("target").alias("targets"))
+    return every.join(each, "dimension", "left").select("dimension", "rank", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("targets", F.lit(0)).alias("targets"))
+
+
 def summarised(found: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """Dimensions, those with and without findings, findings in all."""
     each = found.groupBy("dimension").agg(F.count("*").alias("n"))

@@ -48,6 +48,17 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
 
 
+def short_key(*parts: Column) -> Column:
+    """The MD5 variant, of the texts one behind the other; nulls are passed over."""
+    return F.md5(F.concat_ws("", *parts))
+
+
+def file_name(name: Column, model: Column, *parts: Column) -> Column:
+    """The name of a cache file: the key of its parts, and name and model without anything but letters, digits, dots and dashes."""
+    plain = lambda x: F.regexp_replace(x, r"[^A-Za-z0-9.\-]", "_")
+    return F.concat_ws("_", short_key(*parts), plain(name), plain(model))
+
+
 def alive(entries: DataFrame, now: Column | None = None, days: int = TTL_DAYS) -> DataFrame:
     """K9: entries that have not expired."""
     return entries.filter((now if now is not None else F.current_timestamp()) - F.make_dt_interval(F.lit(days)) <= F.col("created_at"))

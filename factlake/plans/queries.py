@@ -1,6 +1,7 @@
 """Named queries of operators, over the tables or the views derived from them, with their SQL where SQL can say it; README.md lists what has none.
 
-Keys begin with the identifiers of the operators that a query exercises.
+Keys begin with the identifiers of the operators that a query exercises. Queries over source texts and reports are in
+text_queries.py and report_queries.py.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions import columns as c
 from factlake.operators import evidence, facts, impact, reports, sqltext, stores
+from factlake.session import shared_folder
 from factlake.sources.views import TABLES, view, with_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,11 @@ def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "db_operations").withColumn("fields", F.split("fields_csv", ","))
 
 
+def _first_mapper(rows: DataFrame) -> str | None:
+    """The argument of a look-up: the first mapper that there is."""
+    return rows.agg(F.min("mapper_interface")).first()[0]
+
+
 _CALL = "caller_class, caller_method, callee_class, callee_method, call_type, file_path, line_number"
 _CALLS = _CALL.split(", ")
 
@@ -48,9 +55,9 @@ def _(s, d):
     return facts.find_by_class(_t(s, d, "code_terms"), "com.pkg.Brand11")
 
 
-@_query("p2_find_callers", "SELECT * FROM code_terms WHERE lower(term) LIKE '%.promo\\_brushed\\_steel' ESCAPE '\\' AND term_type = 'CALLEE'", ("code_terms",))
+@_query("p2_find_callers", "SELECT * FROM code_terms WHERE lower(term) LIKE '%.promo' AND term_type = 'CALLEE'", ("code_terms",))
 def _(s, d):
-    return facts.find_callers(_t(s, d, "code_terms"), "PROMO_brushed_steel")
+    return facts.find_callers(_t(s, d, "code_terms"), "PROMO")
 
 
 @_query("p3_find_by_prefix", "SELECT * FROM code_terms WHERE lower(term) LIKE 'svc1%' AND term_type = 'METHOD'", ("code_terms",))
@@ -87,20 +94,20 @@ def _(s, d):
     return facts.operations_on(_ops(s, d), TABLE).select(*_OPC)
 
 
-@_query("p12_operations_on_field", f"SELECT {_OPS} FROM db_operations WHERE table_name = '{TABLE}' AND (list_contains(string_split(fields_csv, ','), 'steel') OR fields_csv = 'WILDCARD')", ("db_operations",))
+@_query("p12_operations_on_field", f"SELECT {_OPS} FROM db_operations WHERE table_name = '{TABLE}' AND (list_contains(string_split(fields_csv, ','), 'promo') OR fields_csv = 'WILDCARD')", ("db_operations",))
 def _(s, d):
-    return facts.operations_on_field(_ops(s, d), TABLE, "steel").select(*_OPC)
+    return facts.operations_on_field(_ops(s, d), TABLE, "promo").select(*_OPC)
 
 
-@_query("p12_operations_on_field_strict", f"SELECT {_OPS} FROM db_operations WHERE table_name = '{TABLE}' AND list_contains(string_split(fields_csv, ','), 'steel')", ("db_operations",))
+@_query("p12_operations_on_field_strict", f"SELECT {_OPS} FROM db_operations WHERE table_name = '{TABLE}' AND list_contains(string_split(fields_csv, ','), 'promo')", ("db_operations",))
 def _(s, d):
-    return facts.operations_on_field(_ops(s, d), TABLE, "steel", strict=True).select(*_OPC)
+    return facts.operations_on_field(_ops(s, d), TABLE, "promo", strict=True).select(*_OPC)
 
 
-@_query("p13_operations_of_mapper_method", f"SELECT {_OPS} FROM db_operations WHERE mapper_interface LIKE '%.Mapper1' AND method_name = 'q1'", ("db_operations",))
+@_query("p13_operations_of_mapper_method", f"SELECT {_OPS} FROM db_operations WHERE mapper_interface = (SELECT min(mapper_interface) FROM db_operations) AND method_name = 'q1'", ("db_operations",))
 def _(s, d):
     ops = _ops(s, d)
-    return ops.filter(ops.mapper_interface.endswith(".Mapper1") & (ops.method_name == "q1")).select(*_OPC)
+    return facts.operations_of(ops, _first_mapper(ops), "q1").select(*_OPC)
 
 
 @_query("p15_mappings_by_column", "SELECT * FROM db_field_mappings WHERE column_name = 'col_7'", ("db_field_mappings",))
@@ -111,12 +118,14 @@ def _(s, d):
 @_query("p14_field_mappings", "SELECT * FROM db_field_mappings WHERE mapper_interface = (SELECT min(mapper_interface) FROM db_field_mappings)", ("db_field_mappings",))
 def _(s, d):
     m = _t(s, d, "db_field_mappings")
-    return m.join(F.broadcast(m.agg(F.min("mapper_interface").alias("mapper_interface"))), "mapper_interface").select(*m.columns)
+    return facts.field_mappings(m, _first_mapper(m)).select(*m.columns)
 
 
-@_query("p16_null_argument", f"SELECT {_OPS} FROM db_operations WHERE false", ("db_operations",))
+@_query("p16_null_argument", f"SELECT {_OPS} FROM db_operations WHERE table_name = '{TABLE}'", ("db_operations",))
 def _(s, d):
-    return facts.operations_on(_ops(s, d), None).select(*_OPC)
+    # a null argument adds nothing to what a table gives
+    ops = _ops(s, d)
+    return facts.operations_on(ops, None).unionByName(facts.operations_of(ops, None, "q1")).unionByName(facts.operations_on(ops, TABLE)).select(*_OPC)
 
 
 @_query("j1_mappings_by_table", f"SELECT * FROM db_field_mappings m WHERE EXISTS (SELECT 1 FROM db_operations o WHERE o.mapper_interface = m.mapper_interface AND o.table_name = '{TABLE}')", ("db_operations", "db_field_mappings"))
@@ -125,11 +134,11 @@ def _(s, d):
     return facts.field_mappings_by_table(m, _ops(s, d), TABLE).select(*m.columns)
 
 
-@_query("j2_operations_for_calls", """, calls AS (SELECT DISTINCT mapper_interface, method_name FROM db_operations WHERE method_name IN ('q1', 'q2') AND mapper_interface LIKE '%1')
-SELECT DISTINCT mapper_interface, method_name, table_name, sql_type FROM db_operations JOIN calls USING (mapper_interface, method_name)""", ("db_operations",))
+@_query("j2_operations_for_calls", "SELECT DISTINCT mapper_interface, method_name, table_name, sql_type FROM db_operations", ("db_operations",))
 def _(s, d):
+    # one list of calls for each mapper: all its methods
     ops = _ops(s, d)
-    some = ops.filter(F.col("method_name").isin("q1", "q2") & F.col("mapper_interface").endswith("1")).select("mapper_interface", "method_name").distinct()
+    some = ops.select("mapper_interface", "method_name").distinct()
     calls = some.groupBy("mapper_interface").agg(F.array_sort(F.collect_list("method_name")).alias("methods")).select(F.transform("methods", lambda _: F.col("mapper_interface")).alias("mappers"), "methods")
     return facts.operations_for_calls(ops, calls).select("mapper_interface", "method_name", "table_name", "sql_type")
 
@@ -196,10 +205,12 @@ _BFS = f""", bfs AS (
 ), best AS (SELECT k AS class_name, m AS method_name, min(hop) AS hop FROM bfs GROUP BY ALL HAVING min(hop) > 0) """
 
 
+def _seed(s):
+    return s.range(1).select(F.lit("com.p2.C7").alias("class_name"), F.lit("m1").alias("method_name"), F.array(F.lit("com.p2.C7.m1")).alias("path"))
+
+
 def _impact(s, d):
-    edges = _t(s, d, "call_edges")
-    seed = s.range(1).select(F.lit("com.p2.C7").alias("class_name"), F.lit("m1").alias("method_name"), F.array(F.lit("com.p2.C7.m1")).alias("path"))
-    return impact.impacts(seed, edges, per_node=None, total=None)
+    return impact.impacts(_seed(s), _t(s, d, "call_edges"), per_node=None, total=None)
 
 
 _LAYER = """CASE WHEN class_name LIKE '%Controller' THEN 'CONTROLLER' WHEN class_name LIKE '%ServiceImpl' THEN 'SERVICE' WHEN class_name LIKE '%Mapper' THEN 'REPOSITORY' ELSE 'UNKNOWN' END"""
@@ -210,9 +221,23 @@ def _(s, d):
     return _impact(s, d).select("class_name", "method_name", "hop", "level", "layer")
 
 
-@_query("a5_impact_summary", _BFS + "SELECT coalesce(count(*) FILTER (hop = 1), 0) AS direct, coalesce(count(*) FILTER (hop > 1), 0) AS indirect FROM best", ("call_edges",))
+_FIRST = "SELECT *, row_number() OVER (ORDER BY line_number, caller_class, caller_method, call_type) AS rn FROM call_edges WHERE callee_class = 'com.p2.C7' AND callee_method = 'm1'"
+
+
+@_query("g1_capped_impact", f"SELECT DISTINCT caller_class AS class_name, caller_method AS method_name FROM ({_FIRST}) x WHERE rn <= 4 AND NOT (caller_class = 'com.p2.C7' AND caller_method = 'm1')", ("call_edges",))
+def _(s, d):
+    return impact.impacts(_seed(s), _t(s, d, "call_edges"), max_hops=1, per_node=4).select("class_name", "method_name")
+
+
+@_query("k7_impact_markdown", _BFS + """, heat AS (SELECT regexp_replace(class_name, '\\.[^.]*$', '') AS package, count(*) FILTER (hop = 1) AS d, count(*) FILTER (hop > 1) AS i, count(*) AS t FROM best GROUP BY 1)
+SELECT CAST(2 + row_number() OVER (ORDER BY t DESC, package) AS INT) AS at, '| ' || package || ' | ' || CAST(d AS VARCHAR) || ' | ' || CAST(i AS VARCHAR) || ' | ' || CAST(t AS VARCHAR) || ' |' AS line FROM heat""".replace("best GROUP BY ALL HAVING", "best GROUP BY ALL HAVING"), ("call_edges",))
+def _(s, d):
+    return impact.markdown(_impact(s, d)).filter("line like '| com%'")
+
+
+@_query("a5_impact_summary", _BFS + f"SELECT {_LAYER} AS layer, count(*) AS n, (SELECT count(*) FROM best WHERE hop = 1) AS direct, (SELECT count(*) FROM best WHERE hop > 1) AS indirect FROM best GROUP BY 1", ("call_edges",))
 def _(s, d):
-    return impact.summary(_impact(s, d)).select("direct", "indirect")
+    return impact.summary(_impact(s, d)).select("direct", "indirect", F.explode("layers").alias("layer", "n"))
 
 
 @_query("a6_heat_map", _BFS + "SELECT regexp_replace(class_name, '\\.[^.]*$', '') AS package, count(*) FILTER (hop = 1) AS direct, count(*) FILTER (hop > 1) AS indirect, count(*) AS total FROM best GROUP BY 1", ("call_edges",))
@@ -220,7 +245,9 @@ def _(s, d):
     return impact.heat_map(_impact(s, d))
 
 
-@_query("t2_g4_high_risk_paths")
+@_query("t2_g4_high_risk_paths", """, h AS (SELECT caller_class AS c, caller_method AS m, arg_min(call_type, line_number) AS t FROM call_edges WHERE callee_class = 'com.p2.C7' AND callee_method = 'm1' AND NOT (caller_class = 'com.p2.C7' AND caller_method = 'm1') GROUP BY ALL),
+r AS (SELECT *, CASE t WHEN 'DIRECT' THEN 3 WHEN 'REFLECTION' THEN 1 ELSE 2 END AS risk FROM h)
+SELECT CAST(risk AS INT) AS risk, 1 AS hop, CASE WHEN risk >= 3 THEN '🔴 ' ELSE '🟡 ' END || 'com.p2.C7.m1 → ' || c || '.' || m AS path FROM r WHERE risk >= 2 ORDER BY risk DESC, c, m LIMIT 5""", ("call_edges",))
 def _(s, d):
     return impact.high_risk_paths(_impact(s, d))
 
@@ -252,14 +279,18 @@ def _(s, d):
     return impact.package_layers(_classes(s, d)).select("package_name", "total", "layer")
 
 
-@_query("a8_layer_composition")
+@_query("a8_layer_composition", f""", l AS (SELECT package_name, {_CLASS_LAYER} AS layer, count(*) AS n FROM class_facts GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY package_name) AS total, max(n) OVER (PARTITION BY package_name) AS most FROM l)
+SELECT package_name, CAST(max(total) AS BIGINT) AS total, 'UNKNOWN' AS layer, string_agg(printf('%.1f%% %s', floor(n * 1000.0 / total + 0.5) / 10, layer), ' + ' ORDER BY n DESC, list_position(['CONTROLLER','SERVICE','REPOSITORY','HANDLER','CONFIG','CLIENT','MODEL','UTIL','UNKNOWN'], layer)) AS composition FROM t WHERE most * 2 < total GROUP BY package_name""", ("class_facts",))
 def _(s, d):
     return impact.package_layers(_classes(s, d)).filter("composition is not null")
 
 
-@_query("p17_route", "SELECT class_name, CASE WHEN (loc <= 300 AND n_methods <= 8) OR (loc <= 800 AND n_methods <= 15) THEN 'SINGLE' ELSE 'MULTI' END AS mode FROM class_facts", ("class_facts",))
+@_query("p17_route", """, k AS (SELECT class_name || CASE WHEN loc % 7 = 0 THEN 'Vo' ELSE '' END AS class_name, CASE loc % 5 WHEN 0 THEN 'interface' WHEN 1 THEN 'enum' ELSE 'class' END AS kind, loc, n_methods, loc % 2 = 0 AS d FROM class_facts)
+SELECT class_name, CASE WHEN class_name LIKE '%Vo' OR kind = 'enum' OR (kind = 'interface' AND NOT d) OR (loc <= 300 AND n_methods <= 8) OR (loc <= 800 AND n_methods <= 15) THEN 'SINGLE' ELSE 'MULTI' END AS mode FROM k""", ("class_facts",))
 def _(s, d):
-    return _t(s, d, "class_facts").select("class_name", c.route(c.simple_name(F.col("class_name")), F.lit("class"), F.col("loc"), F.col("n_methods")).alias("mode"))
+    f = _t(s, d, "class_facts").withColumn("class_name", F.concat("class_name", F.when(F.col("loc") % 7 == 0, "Vo").otherwise("")))
+    kind = F.when(F.col("loc") % 5 == 0, "interface").when(F.col("loc") % 5 == 1, "enum").otherwise("class")
+    return f.select("class_name", c.route(c.simple_name(F.col("class_name")), kind, F.col("loc"), F.col("n_methods"), F.col("loc") % 2 == 0).alias("mode"))
 
 
 @_query("p6_p8_method_filters", "SELECT name, regexp_matches(name, '^(get|set|is)[A-Z]') OR name IN ('toString','hashCode','equals','getClass','valueOf','add','size','contains','remove','iterator','toArray','startPage','getDataTable','toAjax','error','success') AS trivial, "
@@ -340,31 +371,24 @@ def _(s, d):
     return evidence.nearest_offset(_claims(s, d), _src(s, d)).select("doc", "line", "name", "line_offset")
 
 
-@_query("p19_comment_or_blank_lines", _LINES.replace(", src", "WITH src", 1) + "SELECT doc, count(*) AS n_lines, count(*) FILTER (trim(line) = '' OR regexp_matches(trim(line), '^(//|/\\*|\\*)')) AS n_blank FROM src GROUP BY doc")
-def _(s, d):
-    return _src(s, d).groupBy("doc").agg(F.count("*").alias("n_lines"), F.count_if(c.is_comment_or_blank(F.col("line"))).alias("n_blank"))
+_STRIPPED = r"regexp_replace(line, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 
 
-@_query("j9_r7_risk_contradictions", _LINES + "SELECT doc_id AS doc, name AS source, 'C3' AS rule, 'HIGH' AS severity, CAST(-0.5 AS DOUBLE) AS penalty, 'CONTRADICTORY' AS status FROM claims c JOIN (SELECT doc AS sd, line_number, line AS txt FROM src) s ON sd = doc_id AND line_number = c.line WHERE trim(txt) = '' OR regexp_matches(trim(txt), '^(//|/\\*|\\*)')", ("claims",))
+@_query("p19_comment_or_blank_lines", _LINES.replace(", src", "WITH src", 1) + f"SELECT doc, count(*) AS n_lines, count(*) FILTER ({_STRIPPED} = '' OR regexp_matches({_STRIPPED}, '^(//|/\\*|\\*)')) AS n_blank FROM src GROUP BY doc")
 def _(s, d):
-    risks = _claims(s, d).withColumn("method", F.col("name"))
-    return evidence.risk_contradictions(risks, _src(s, d)).select("doc", "source", "rule", "severity", "penalty", "status")
+    return _src(s, d).groupBy("doc").agg(F.count("*").alias("n_lines"), F.count_if(c.is_comment_or_blank(F.col("line"))).alias("n_blank"))
 
 
-@_query("n5_json_props", "SELECT user_id, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS total FROM events GROUP BY user_id")
+@_query("n5_json_props", "SELECT user_id, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY user_id")
 def _(s, d):
-    k = F.from_json("props", "k string")["k"].try_cast("bigint")
-    return _t(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
-
+    found = reports.objects_of(_t(s, d, "events").select("user_id", "props"), "props")
+    return found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("object")["k"].try_cast("bigint")).alias("total"))
 
-_CACHE = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events"
 
-
-@_query("k9_cache_recent", f"SELECT user_id, event_id FROM ({_CACHE}) x WHERE rn = 1 ORDER BY ts DESC, event_id DESC LIMIT 1000")
+@_query("k9_cache_recent", "SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS event_id FROM events GROUP BY user_id ORDER BY max(ts) DESC, key LIMIT 1000")
 def _(s, d):
-    e = _t(s, d, "events")
-    last = e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("l")).select("user_id", "l.ts", "l.event_id")
-    return last.orderBy(F.desc("ts"), F.desc("event_id")).limit(stores.MOST_ENTRIES).select("user_id", "event_id")
+    entries = _t(s, d, "events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.max("ts").alias("last_used"), F.max("event_id").alias("event_id"))
+    return stores.kept_recent(entries).select("key", "event_id")
 
 
 @_query("k9_cache_alive", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
@@ -379,12 +403,13 @@ def _(s, d):
     return _t(s, d, "events").select("event_id", stores.cache_key(F.col("event_type"), F.col("user_id")).alias("key"))
 
 
-@_query("s3_changed_files", "SELECT doc_id, md5(text) AS file_hash FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL")
+@_query("s3_changed_files", "SELECT doc_id, md5(text) AS file_hash FROM documents WHERE lang = 'en' AND text IS NOT NULL")
 def _(s, d):
     from factlake.sources.files import changed
 
-    files = _t(s, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("file_hash"), "doc_id")
-    meta = files.filter("doc_id % 3 = 0").select(F.col("path").alias("file_path"), "file_hash")
+    # an index of all files, in which those of one language have another hash
+    files = _t(s, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("file_hash"), "doc_id", "lang")
+    meta = files.select(F.col("path").alias("file_path"), F.when(F.col("lang") == "en", "old").otherwise(F.col("file_hash")).alias("file_hash"))
     return changed(files, meta).select("doc_id", "file_hash")
 
 
@@ -400,14 +425,18 @@ def _(s, d):
     return _t(s, d, "orders").groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY o_totalprice)").alias("p90"), F.count("*").alias("n"))
 
 
-@_query("j5_enclosing_range", "SELECT o_orderkey, (SELECT max(p_partkey) FROM part WHERE p_partkey % 10 = 0 AND p_partkey <= o_orderkey % 500 AND o_orderkey % 500 <= p_partkey + p_size) AS owner FROM orders")
+@_query("j5_enclosing_range", """WITH r AS (SELECT l_suppkey, l_returnflag || l_linestatus AS name, min(l_orderkey) AS b, max(l_orderkey) AS e FROM lineitem GROUP BY ALL), c AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)
+SELECT CAST(c.l_suppkey AS VARCHAR) AS path, l_orderkey AS line, arg_max(name, b * 1000000000 - e) AS caller_method FROM c JOIN r ON r.l_suppkey = c.l_suppkey AND l_orderkey BETWEEN b AND e GROUP BY c.l_suppkey, l_orderkey HAVING count(*) FILTER (b * 1000000000 - e = (SELECT max(z.b * 1000000000 - z.e) FROM r z WHERE z.l_suppkey = c.l_suppkey AND c.l_orderkey BETWEEN z.b AND z.e)) = 1""")
 def _(s, d):
-    # ranges of at most 50 lines: each is laid into the blocks of 64 lines that it meets, so that the join is on equal blocks
-    o = _t(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 500).alias("line"))
-    r = _t(s, d, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("begin"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
-    r = r.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / 64), F.floor(F.col("end") / 64))))
-    hit = o.withColumn("block", F.floor(F.col("line") / 64)).join(r, "block", "left")
-    return hit.groupBy("o_orderkey").agg(F.max(F.when(F.col("line").between(F.col("begin"), F.col("end")), F.col("begin"))).alias("owner"))
+    from factlake.sources.java_facts import enclosing_methods
+
+    # the orders between the first and last one of a kind are its range; lines that two kinds begin and end alike are left out
+    items = _t(s, d, "lineitem").withColumn("path", F.col("l_suppkey").cast("string"))
+    kind = F.concat("l_returnflag", "l_linestatus").alias("name")
+    ranges = items.groupBy("path", kind).agg(F.min("l_orderkey").alias("begin_line"), F.max("l_orderkey").alias("end_line"), F.lit("").alias("class_name"))
+    tied = ranges.groupBy("path", "begin_line", "end_line").agg(F.count("*").alias("n")).filter("n > 1").select("path").distinct()
+    calls = items.select("path", F.col("l_orderkey").alias("line")).distinct().join(tied, "path", "left_anti")
+    return enclosing_methods(calls, ranges).select("path", "line", "caller_method")
 
 
 @_query("j6_owning_method", """, m AS (SELECT conv_id, turn FROM conversations WHERE role = 'user') SELECT conv_id AS doc, CAST(turn AS INT) AS pos, turn AS line, (SELECT 'u' || CAST(max(m.turn) AS VARCHAR) FROM m WHERE m.conv_id = c.conv_id AND m.turn <= c.turn) AS method FROM conversations c WHERE role <> 'user'""".replace(", m AS", "WITH m AS", 1))
@@ -426,9 +455,19 @@ def _(s, d):
 
 @_query("t5_distinct_calls", "SELECT doc, name, line, pos FROM (SELECT l_suppkey AS doc, l_returnflag AS name, l_linenumber AS line, l_orderkey AS pos, row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_linenumber ORDER BY l_orderkey) AS rn FROM lineitem) x WHERE rn = 1")
 def _(s, d):
-    l = _t(s, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_returnflag").alias("name"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("pos"))  # noqa: E741
-    # the first of a group by one ordered column is a minimum, which is summed up before the shuffle
-    return l.groupBy("doc", "name", "line").agg(F.min("pos").alias("pos"))
+    calls = _t(s, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_returnflag").alias("name"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("pos"))
+    return reports.distinct_calls(calls)
+
+
+@_query("k2_k5_k6_published", "SELECT n_nationkey, n_name, count(*) AS n FROM (SELECT * FROM nation UNION ALL SELECT * FROM nation) x GROUP BY ALL")
+def _(s, d):
+    # a new version of a table, rows appended to it, and a table that is not there yet
+    rows = _t(s, d, "nation").select("n_nationkey", "n_name")
+    folder = shared_folder(s)
+    path = stores.publish(rows, f"{folder}/nation")
+    stores.append(rows, path)
+    none = stores.table_or_empty(s, f"{folder}/no-such-table", rows.schema)
+    return stores.table_or_empty(s, path, rows.schema).unionByName(none).groupBy("n_nationkey", "n_name").agg(F.count("*").alias("n"))
 
 
 @_query("a9_contradiction_scores", "SELECT doc, CASE WHEN s > 1 THEN 1.0 ELSE s END AS score FROM (SELECT o_custkey AS doc, round(sum(CASE o_orderpriority WHEN '1-URGENT' THEN 0.3 WHEN '2-HIGH' THEN 0.15 ELSE 0.05 END)::DOUBLE, 6) AS s FROM orders GROUP BY 1) x")

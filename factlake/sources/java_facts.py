@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.columns import is_infrastructure_call, is_trivial_call, package_of
+from factlake.session import checkpointed
 
 _BLANKED = re.compile(r'//[^\n]*|/\*.*?\*/|"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
 _TYPE = re.compile(r"((?:@\w+(?:\([^)]*\))?\s*|(?:public|private|protected|static|final|abstract|sealed)\s+)*)\b(class|interface|enum|record)\s+(\w+)(?:\s*<[^{]*?>)?(?:\s+extends\s+([\w.]+))?[^{;]*$")
@@ -72,7 +73,7 @@ def facts(path: str, content: str) -> Iterator[tuple]:
             yield path, "field", owner, t[4], re.sub(r"<.*>", "", t[3]).strip(), re.findall(r"@(\w+)", t[1] or ""), visible, line(lead), line(m.start())
     for m in _CALL.finditer(text):
         before = text[: m.start()].rstrip()[-12:]
-        if m[2] in _WORDS or before.endswith("new") or re.match(r"[\s\S]*[\w>\]]$", before) and not re.search(r"\b(return|throw|else|case|assert|do)$", before):
+        if m[2] in _WORDS or before.endswith(("new", "@")) or re.match(r"[\s\S]*[\w>\]]$", before) and not re.search(r"\b(return|throw|else|case|assert|do)$", before):
             continue
         yield path, "call", "", m[2], m[1] or "", [], "", line(m.start(2)), line(m.start(2))
 
@@ -135,17 +136,33 @@ def call_edges(found: DataFrame) -> DataFrame:
     return out.filter(~is_infrastructure_call(F.col("callee_method"), F.col("callee_class")))
 
 
-def injected_fields(found: DataFrame, rounds: int = 5) -> DataFrame:
-    """Injected fields of each class, those of the types it extends included, up a chain of so many."""
+def superclasses(found: DataFrame) -> DataFrame:
+    """class_name and parent_class of each class whose parent is among the sources: as it is imported, else of its own package, else as it is written."""
+    classes = found.filter("kind = 'class'")
+    imported = found.filter("kind = 'import'").groupBy("path", F.substring_index("name", ".", -1).alias("type")).agg(F.min("name").alias("fqn"))
+    own = classes.filter("type <> ''").join(imported, ["path", "type"], "left")
+    local = F.when(F.col("type").contains("."), F.col("type")).otherwise(F.concat_ws(".", F.nullif(package_of(F.col("name")), F.lit("")), "type"))
+    up = own.select(F.col("name").alias("class_name"), F.coalesce("fqn", local).alias("parent_class"))
+    return up.join(classes.select(F.col("name").alias("parent_class")).distinct(), "parent_class", "left_semi").distinct()
+
+
+def injected_fields(found: DataFrame, rounds: int = 6) -> DataFrame:
+    """Injected fields of each class, those of all classes above it included.
+
+    Ways up are doubled in each round, so that 2 ** rounds classes above one another are reached, and written, as the next
+    round reads them twice; a class never inherits from itself, should sources claim so.
+    """
     own = found.filter("kind = 'field'").filter(F.arrays_overlap("annotations", F.array(*[F.lit(a) for a in INJECTED]))).select("class_name", F.col("name").alias("field"), F.col("type").alias("field_type"))
-    parents = found.filter("kind = 'class' and type <> ''").select(F.col("name").alias("class_name"), F.substring_index("type", ".", -1).alias("parent"))
-    named = found.filter("kind = 'class'").select(F.col("name").alias("parent_class"), F.substring_index("name", ".", -1).alias("parent"))
-    up = parents.join(named, "parent").select("class_name", "parent_class")
-    out, chain = own, up
+    ways = checkpointed(superclasses(found))
+    n = ways.count()
     for _ in range(rounds):
-        out = out.unionByName(chain.join(own.withColumnRenamed("class_name", "parent_class"), "parent_class").select("class_name", "field", "field_type"))
-        chain = chain.join(up.select(F.col("class_name").alias("parent_class"), F.col("parent_class").alias("next")), "parent_class").select("class_name", F.col("next").alias("parent_class"))
-    return out.distinct()
+        further = ways.join(ways.select(F.col("class_name").alias("parent_class"), F.col("parent_class").alias("top")), "parent_class").select("class_name", F.col("top").alias("parent_class"))
+        ways = checkpointed(ways.unionByName(further).filter("class_name <> parent_class").distinct())
+        if (now := ways.count()) == n:
+            break
+        n = now
+    inherited = ways.join(own.withColumnRenamed("class_name", "parent_class"), "parent_class").select("class_name", "field", "field_type")
+    return own.unionByName(inherited).distinct()
 
 
 def method_body(methods: DataFrame, files: DataFrame) -> DataFrame:

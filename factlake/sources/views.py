@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factlake.sources import texts
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -71,6 +73,7 @@ FROM {{customer}}""",
     "claims": """
 SELECT l.doc_id, CAST(1 + (l.doc_id * 7 + l.quality) % 12 AS INT) AS line, CASE WHEN l.toxic = 1 THEN 'moron' ELSE 'the' END AS name
 FROM {labels} l""",
+    **texts.VIEWS,
 }
 
 
