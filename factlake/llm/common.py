@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,22 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))
 
 
+def trimmed(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """scan, which at its end gives free memory back to the machine: workers are used again, and the next stage has its own needs."""
+
+    @functools.wraps(scan)
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where a local session names none (tests), a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)

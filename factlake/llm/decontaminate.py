@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, kept, ready
+from .common import cut, kept, ready, trimmed
 from .words import ALNUM, chunks, mix, words
 
 WINDOW = 10
@@ -272,6 +272,7 @@ _STATE = "n_words long, n_hit long, items array<string>, hit_words array<long>,
 def _searched(text: Column, items: Block, detail: bool) -> Column:
     """What each text holds of the block; hit_words, longest and spans are left out (null) unless asked for."""
 
+    @trimmed
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             n = len(batch)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas import types as pa_types
 
-from .common import kept, ready
+from .common import kept, ready, trimmed
 from .words import mix
 
 SKETCH = 64
@@ -144,6 +144,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def printed(text: Column) -> Column:
     """The fingerprint of each text; only texts are sent to Python, and only fingerprints come back."""
 
+    @trimmed
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([written(s) for s in sketches([t or "" for t in batch.to_pylist()])], pa.string())
@@ -198,6 +199,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     #: each range's first row also ends the range before it, in descending order
     before = {x: (i + 1) % len(largest) for i, x in enumerate(largest)}
 
+    @trimmed
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = set()
         names = ["dest", "extra", "key", "h", "doc_id", "text"]
@@ -240,6 +242,7 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
         types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, types)], names=names)
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[tuple] = []
         size = 0

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, trimmed
 
 #: links that a task holds at once
 HELD = 100_000
@@ -26,6 +26,7 @@ def _contracted(links: DataFrame) -> DataFrame:
         pairs = [(x, y) for x, y in pairs if x != y]
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], schema.types[i]) for i in (0, 1)], names=["a", "b"])
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top: dict = {}
         held, schema = 0, None

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, trimmed
 
 BETWEEN = "\n\n"
 #: lines of a block
@@ -219,6 +219,7 @@ def extract(pages: DataFrame) -> DataFrame:
     given = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, cut, cut_by, kept, ready
+from .common import Tables, cut, cut_by, kept, ready, trimmed
 from .graph import merged
 from .words import mix, shingle_sets
 
@@ -59,6 +59,7 @@ REMEMBERED = 1 << 16
 def _levels(documents: DataFrame, size: int) -> np.ndarray:
     """By hash bucket, the logarithm of how often its locally frequent shingles occur: BUCKETS bytes, whatever the input."""
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -128,6 +129,7 @@ def _documents(documents: DataFrame, levels: np.ndarray, size: int, per_cent: in
     """doc_id, node, n, grp and parities of every row; node is null for an empty set."""
     kind = documents.select("doc_id").schema.fields[0].dataType.simpleString()
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, n, grp, odd = [], [], [], []
@@ -148,6 +150,7 @@ def _shared(documents: DataFrame, levels: np.ndarray, size: int, per_cent: int)
     place is the shingle's place in the global order of its set, in 256ths of the set's size, rounded down.
     """
 
+    @trimmed
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
@@ -171,6 +174,7 @@ def _shared(documents: DataFrame, levels: np.ndarray, size: int, per_cent: int)
             if n:
                 yield _pairs_batch(tokens, groups)
 
+    @trimmed
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, open_, sent = None, None, False  # the bucket at the end of what has been read, its first group
         for batch in batches:
@@ -227,6 +231,7 @@ def _sets(wanted: DataFrame, documents: DataFrame, size: int) -> DataFrame:
     bits = min(WANTED_BITS, max(1 << 12, 1 << (WANTED_SHARE * n - 1).bit_length()))
     wanted_bits = _filter_of(wanted, bits)
 
+    @trimmed
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for batch in batches:
@@ -255,6 +260,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
     both = pairs.join(one.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b")), "b")
     both = both.join(one.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a")), "a").select("a", "b", "n_a", "n_b", "odd_a", "odd_b")
 
+    @trimmed
     def could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
@@ -270,6 +276,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
     both = both.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").select("a", "b", "ma", "mb")
 
+    @trimmed
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, ready
+from .common import kept, ready, trimmed
 
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = 2048
@@ -140,6 +140,7 @@ class Classifier:
 def told(text: Column, dictionaries: dict[str, bytes]) -> Column:
     """struct(lang_pred, score, margin, rejected) of each text; only texts are sent to Python, and only this comes back."""
 
+    @trimmed
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classify = Classifier(dictionaries)
         for batch in batches:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ready
+from .common import cut, ready, trimmed
 from .words import LOWER, chunks, span_hashes
 
 MAX_TOKENS = 2048
 END_ID = 0
 #: ids held by a worker's cache of segments before it starts afresh
-CACHE_IDS = 6 << 20
+CACHE_IDS = 1 << 20
 #: pieces of one length beyond which they are split by hash into several ranges
 RANGE_ROWS = 100_000
 
@@ -179,6 +179,7 @@ def pieces(documents: DataFrame, path: str, max_tokens: int = MAX_TOKENS, keep_i
     kind = documents.select("doc_id").schema.fields[0].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         for batch in batches:
@@ -287,6 +288,7 @@ def _placed(ranked: DataFrame, plan: np.ndarray, offsets: np.ndarray, columns: l
     plan_key = (run["length"] << 44) + run["rank"]
     range_key, range_first = (offsets[:, 0] << 40) + offsets[:, 1], offsets[:, 2]
 
+    @trimmed
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, bucket, rank = (batch.column(n).to_numpy() for n in ("length", "bucket", "rank"))

@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, ready
+from .common import cut, drop, ready, trimmed
 from .words import ALNUM, chunks, words
 
 FEATURES = 1 << 18
@@ -118,6 +118,7 @@ def features(documents: DataFrame) -> DataFrame:
     kind = documents.select("doc_id").schema.fields[0].dataType.simpleString()
     given = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -190,6 +191,7 @@ def _with_told(table: DataFrame, models: dict[tuple[str, str], Model], keep: lis
     raw = any(m.curve is None for m in models.values())
     fields += [f"{n} {'array<double>' if raw else 'double'}" for n in names]
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed = {v: unpacked(batch.column(v)) for v in VIEWS}
@@ -214,6 +216,7 @@ def _counted(table: DataFrame, models: dict[tuple[str, str], Model]) -> dict[tup
     """
     sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {(v, t, y): np.zeros(FEATURES + 1, np.int64) for v in VIEWS for t in TARGETS for y in (0, 1)}
         for batch in batches:
