@@ -6,9 +6,9 @@ shingles of their prefixes, the first n - ceil(t n) + L in that order, for any L
 
 1. _levels(): how often shingles occur, as a table of fixed size by hash. It only shapes the order.
 2. Documents of equal sets are one node; nodes of identical prefix and size are one group.
-3. The prefix join runs on groups. Two groups are a group pair if they share so many prefix shingles, if their sizes,
-   and a shared shingle's places in both, leave room for the similarity, and unless all nodes of both are of one
-   component already: only links between components can still change any. Groups that share too few with all others together go at once.
+3. The prefix join runs on groups. Groups that share fewer than L of their prefix shingles with all others together go
+   at once. Groups that share a prefix shingle are a group pair if their sizes, and the shingle's places in both,
+   leave room for the similarity, and unless all nodes of both are of one component already: only links between components can still change any.
 4. Group pairs that pass are expanded into pairs of nodes. Those first meet the parity filter: a node keeps the
    parity of its shingles' number in each of about as many hash buckets as it has shingles, and two sets differ
    by at least as many shingles as parities. What passes is verified on whole sets, which are written once, in buckets by node.
@@ -307,13 +307,13 @@ def linked(documents: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT)
     groups = made.cut(nodes.groupBy("grp").agg(F.min("node").alias("rep"), F.max("node").alias("last"), F.first("n").alias("n")), "groups")
 
     # the prefix shingles that groups share, of groups that share enough for their smallest partner; those that the very same groups
-    # share, as of one passage, are one: at the first of their places, and as heavy as they are many
+    # share, as of one passage, are one: at the first of their places
     need = lambda n: F.least(F.lit(COMMON), F.ceil(n * per_cent / 100))
     found = made.cut(_shared(documents, levels, size, per_cent), "found")
     common = found.groupBy("grp").agg(F.count("*").alias("common")).join(groups.select("grp", "n", "rep"), "grp").filter(F.col("common") >= need(F.ceil(F.col("n") * per_cent / 100)))
     found = found.join(made.cut(common, "common"), "grp")
     lists = found.groupBy("token").agg(F.bit_xor(F.xxhash64("grp")).alias("list"))
-    one = found.join(lists, "token").groupBy(F.col("list").alias("token"), "grp").agg(F.min("place").alias("place"), F.count("*").alias("w"), *[F.first(c).alias(c) for c in ("common", "n", "rep")])
+    one = found.join(lists, "token").groupBy(F.col("list").alias("token"), "grp").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("common", "n", "rep")])
     shared = made.cut(one, "shared")
     several = groups.filter("rep <> last")
 
@@ -323,7 +323,6 @@ def linked(documents: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT)
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * per_cent
     # what a set has before its first shared shingle cannot be shared
     shares = F.ceil((F.col("n_a") + F.col("n_b")) * per_cent / (100 + per_cent))
-    enough = (F.sum("w_b") >= need(F.min(F.least("n_a", "n_b")))).alias("enough")
     room = (F.col("place_a") * F.col("n_a") / 256 <= F.col("n_a") - shares) & (F.col("place_b") * F.col("n_b") / 256 <= F.col("n_b") - shares)
     members = lambda x: settled.select(F.col("grp").alias(f"grp_{x}"), F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     roots = None
@@ -347,9 +346,8 @@ def linked(documents: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT)
         at = own.cut(at.join(open_, "token", "left_semi"), "open")
         pick = F.min if k == PIVOT_ROUNDS - 1 else F.max
         pivots = at.groupBy("token").agg(pick(F.struct(*["common"] * (k == 0), "rep", "grp", "place", "n", "lo", "hi")).alias("p"))
-        met = at.join(pivots, "token").select(*[F.col(f"p.{c}").alias(f"{c}_a") for c in ("rep", "grp", "place", "n", "lo", "hi")], *[F.col(c).alias(f"{c}_b") for c in ("grp", "place", "n", "lo", "hi", "w")])
-        met = met.filter("grp_a <> grp_b and (lo_a <> hi_a or lo_b <> hi_b or lo_a <> lo_b)").filter(fits)
-        met = met.groupBy(F.col("rep_a").alias("a"), "grp_b").agg(enough, F.bool_or(room).alias("room")).filter("enough and room").select("a", "grp_b")
+        met = at.join(pivots, "token").select(*[F.col(f"p.{c}").alias(f"{c}_a") for c in ("rep", "grp", "place", "n", "lo", "hi")], *[F.col(c).alias(f"{c}_b") for c in ("grp", "place", "n", "lo", "hi")])
+        met = met.filter("grp_a <> grp_b and (lo_a <> hi_a or lo_b <> hi_b or lo_a <> lo_b)").filter(fits & room).select(F.col("rep_a").alias("a"), "grp_b")
         own_group = several.join(spread.filter("lo <> hi"), "grp").select(F.col("rep").alias("a"), F.col("grp").alias("grp_b"))
         pairs = met.unionByName(own_group).distinct().join(members("b"), "grp_b").join(settled.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a")
         pairs = pairs.filter("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -361,10 +359,9 @@ def linked(documents: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT)
     at = shared.join(spread, "grp")
     open_ = at.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("token")
     at = made.cut(at.join(open_, "token", "left_semi").withColumn("band", _band(F.col("n"), per_cent)), "open")
-    left, right = (at.select("token", "band", *[F.col(c).alias(f"{c}_{x}") for c in ("grp", "place", "n", "lo", "hi", "w")]) for x in "ab")
+    left, right = (at.select("token", "band", *[F.col(c).alias(f"{c}_{x}") for c in ("grp", "place", "n", "lo", "hi")]) for x in "ab")
     right = right.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    across = left.join(right, ["token", "band"]).filter("grp_a < grp_b and (lo_a <> hi_a or lo_b <> hi_b or lo_a <> lo_b)").filter(fits)
-    across = across.groupBy("grp_a", "grp_b").agg(enough, F.bool_or(room).alias("room")).filter("enough and room").select("grp_a", "grp_b")
+    across = left.join(right, ["token", "band"]).filter("grp_a < grp_b and (lo_a <> hi_a or lo_b <> hi_b or lo_a <> lo_b)").filter(fits & room).select("grp_a", "grp_b").distinct()
     within = spread.filter("lo <> hi").select(F.col("grp").alias("grp_a"), F.col("grp").alias("grp_b"))
     pairs = across.unionByName(within).join(members("a"), "grp_a").join(members("b"), "grp_b").filter("root_a <> root_b and (grp_a <> grp_b or a < b)")
     pairs = made.cut(_possible(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, per_cent), "candidates")
