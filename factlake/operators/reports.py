@@ -241,6 +241,25 @@ def to_json(reports: DataFrame) -> DataFrame:
     return reports.select("doc", F.to_json(F.struct(*[c for c in reports.columns if c != "doc"])).alias("json"))
 
 
+def nested_form(reports: DataFrame, traces: DataFrame | None = None) -> DataFrame:
+    """Reports (class, overall_complexity, methods) in the nested form, as JSON: a summary line, methods with their calls as of
+    the same file and their risks, dependencies; fields and risks of the file stay empty.
+
+    traces (doc, task_id, status, cache_hit, retries) are put in by task, if there are any.
+    """
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    calls = lambda m: F.transform(F.coalesce(m["calls"], empty("struct<target:string,line:string,type:string>")), lambda c: F.struct(c["target"].alias("target"), F.coalesce(c["line"].try_cast("int"), F.lit(0)).alias("line"), F.lit("same_file").alias("type")))
+    methods = F.transform("methods", lambda m: F.struct(F.coalesce(m["name"], F.lit("")).alias("name"), F.coalesce(m["line"].try_cast("int"), F.lit(0)).alias("line"), calls(m).alias("calls"), m["risks"].alias("risks")))
+    complexity = F.when(F.coalesce("overall_complexity", F.lit("")) != "", F.concat(F.lit(", Complexity: "), F.col("overall_complexity"))).otherwise("")
+    summary = F.concat(F.lit("Class: "), F.coalesce("class", F.lit("")), complexity).alias("summary")
+    out = reports.join(dependencies_of(reports), "doc")
+    parts = [summary, F.lit("").alias("framework"), empty("string").alias("fields"), methods.alias("methods"), empty("string").alias("risks"), F.col("dependencies")]
+    if traces is not None:
+        each = traces.groupBy("doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("task_id", F.struct("status", F.col("cache_hit").alias("cacheHit"), F.col("retries").alias("retryCount")))))).alias("executionTrace"))
+        out, parts = out.join(each, "doc", "left"), [*parts, F.col("executionTrace")]
+    return out.select("doc", F.to_json(F.struct(*parts)).alias("json"))
+
+
 def risk_overview(risks: DataFrame, most: int = 5) -> DataFrame:
     """Risks (doc, top_level, pos, severity, description) by severity, unknown ones as LOW, and the first five texts, top-level ones first.
 

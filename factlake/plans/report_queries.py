@@ -215,6 +215,17 @@ def _(s, d):
     return reports.to_json(_t(s, d, "customer").select(F.col("c_custkey").alias("doc"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n")))
 
 
+@_query("n8_nested_form", _M + """SELECT doc, 'Class: ' || (json ->> 'class') || ', Complexity: ' || (json ->> 'overall_complexity') AS summary, CAST((SELECT count(*) FROM mc WHERE mc.doc = r.doc) AS INT) AS calls, CASE WHEN doc % 2 = 0 THEN 'COMPLETED' END AS status, '[]' AS risks FROM report_texts r""", _REP)
+def _(s, d):
+    r = _reports(s, d)
+    traces = r.filter("doc % 2 = 0").select("doc", F.lit("t1").alias("task_id"), F.lit("COMPLETED").alias("status"), F.lit(False).alias("cache_hit"), F.lit(0).alias("retries"))
+    out = reports.nested_form(r, traces)
+    member = lambda name: F.get_json_object("json", f"$.{name}")
+    calls = F.flatten(F.transform(F.from_json(member("methods"), "array<struct<calls:array<struct<type:string>>>>"), lambda m: m["calls"]))
+    same = F.size(F.filter(calls, lambda c: c["type"] == "same_file"))
+    return out.select("doc", member("summary").alias("summary"), same.alias("calls"), member("executionTrace.t1.status").alias("status"), member("risks").alias("risks"))
+
+
 @_query("n11_verified_risks", _M + "SELECT doc, pos, pos % 2 = 0 AS verified FROM tr", _REP)
 def _(s, d):
     r = _reports(s, d)
