@@ -19,8 +19,8 @@ def _each(spark, values, expression, kind="string"):
 
 def test_dependency_names(spark):
     given = {
-        "com.stream.ecs.bill.service.IEcsBillMainService": "ecsBillMainService", "IEcsBillMainService": "ecsBillMainService",
-        "com.stream.bill.api.IBillInfoCmd.queryBillInfoById()": "billInfoCmd", "queryRefBillService": "queryRefBillService", "Item": "item", "I": "i", "a.b.run(x.y(1))": "b",
+        "com.shop.order.service.IOrderMainService": "orderMainService", "IOrderMainService": "orderMainService",
+        "com.shop.api.IOrderInfoCmd.findOrderById()": "orderInfoCmd", "findOrderService": "findOrderService", "Item": "item", "I": "i", "a.b.run(x.y(1))": "b",
         "run(1)": "run", "": "",
     }
     assert _each(spark, list(given), c.dependency_name) == list(given.values())
@@ -43,10 +43,10 @@ def test_types_of_dependencies_and_risks(spark):
 
 
 def test_cross_object_calls(spark):
-    given = {"deptMapper.selectDeptList": True, "this.selectDeptList": False, "selectDeptList": False, "this.dao.save": True, ".x": True, "": False}
+    given = {"itemMapper.selectItems": True, "this.selectItems": False, "selectItems": False, "this.dao.save": True, ".x": True, "": False}
     assert _each(spark, list(given), c.is_cross_object_call) == list(given.values())
     assert _each(spark, [None], c.is_cross_object_call) == [False]
-    assert _each(spark, ["deptMapper.selectDeptList", "this.a", "a(b.c)", "x.", "", None], c.normalised_method) == ["selectDeptList", "a", "a", "x.", None, None]
+    assert _each(spark, ["itemMapper.selectItems", "this.a", "a(b.c)", "x.", "", None], c.normalised_method) == ["selectItems", "a", "a", "x.", None, None]
 
 
 def test_routes(spark):
