@@ -72,13 +72,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like cut(), as a table of buckets by `key`: joins on it shuffle the other side only, however often it is read."""
+def cut_by(df: DataFrame, name: str, key: str, dealt: bool = False) -> DataFrame:
+    """Like cut(), as a table of buckets by `key`: joins on it shuffle the other side only, however often it is read.
+
+    Rows that are few and large are `dealt` where they are: each task writes them to their buckets, without a shuffle or an order.
+    """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"factlake_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/factlake/{table}"
-    df.repartition(parts, key).write.format("parquet").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(table)
+    rows = df.write if dealt else df.repartition(parts, key).write
+    rows = rows.format("parquet").option("path", path).bucketBy(parts, key)
+    (rows if dealt else rows.sortBy(key)).saveAsTable(table)
     if not _written:
         atexit.register(_sweep)
     _written.append((spark, path))
@@ -126,6 +131,18 @@ def kept(df: DataFrame) -> Kept:
     return Kept(df.toDF(*[f"_own{i}" for i in range(len(df.columns))]), df.columns)
 
 
+def over_rows(table: DataFrame, columns: list[str], schema: str, each: Callable[[Iterator[tuple]], Iterator[list]]) -> DataFrame:
+    """A narrow pass: the column arrays that `each` gives for a task's rows, which it gets one by one as Arrow scalars of the columns named."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    @trimmed
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrays in each(tuple(c[i] for c in batch.columns) for batch in batches for i in range(batch.num_rows)):
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return table.select(*columns).mapInArrow(scan, schema)
+
+
 def table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """The Parquet table at path, or None where there is none yet."""
     try:

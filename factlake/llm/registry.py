@@ -15,6 +15,7 @@ from .fingerprint import op6_locally_consistent_parsing
 from .html import op7_html_extraction
 from .jaccard import op2_ngram_jaccard_join
 from .langid import op9_language_id
+from .maxent import op11_maxent_scores
 from .packing import op1_best_fit_packing
 from .quality import op5_co_training
 from .search import op13_ranked_search
@@ -35,7 +36,7 @@ def _readied(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     found = [
         op1_best_fit_packing, op2_ngram_jaccard_join, op3_secret_scan, op4_decontaminate, op5_co_training, op6_locally_consistent_parsing,
-        op7_html_extraction, op8_virtual_slots, op9_language_id, op10_perspective_rotation, op12_filter_audit, op13_ranked_search,
+        op7_html_extraction, op8_virtual_slots, op9_language_id, op10_perspective_rotation, op11_maxent_scores, op12_filter_audit, op13_ranked_search,
     ]
     return {f.__name__: _readied(f) for f in found}
 

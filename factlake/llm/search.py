@@ -21,7 +21,7 @@ tables give no rows; further columns are ignored. The index takes every document
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, cut, ready, trimmed
+from .common import Tables, cut, over_rows, ready, trimmed
 from .words import ALNUM, chunks, words
 
 #: documents of a range at most, and terms at which it ends before, beyond one longer document
@@ -150,18 +150,6 @@ def _found(terms: bytes, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return has, at[has]
 
 
-def _over_ranges(table: DataFrame, columns: list[str], schema: str, each: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """A narrow pass: what `each` gives for every range, from the columns named."""
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
-
-    @trimmed
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in each(tuple(c[i] for c in batch.columns) for batch in batches for i in range(batch.num_rows)):
-            yield pa.RecordBatch.from_arrays(rows, names=names)
-
-    return table.select(*columns).mapInArrow(scan, schema)
-
-
 def _weights(found: Index, queries: Block) -> np.ndarray:
     """The weight of each term of the block, 0 for those that no document has."""
 
@@ -173,7 +161,7 @@ def _weights(found: Index, queries: Block) -> np.ndarray:
         at = np.flatnonzero(df)
         yield [pa.array(at), pa.array(df[at])]
 
-    sums = _over_ranges(found.table, ["terms", "df"], "term long, df long", each).groupBy("term").agg(F.sum("df").alias("df"))
+    sums = over_rows(found.table, ["terms", "df"], "term long, df long", each).groupBy("term").agg(F.sum("df").alias("df"))
     out = np.zeros(len(queries.terms), np.int64)
     for r in sums.collect():  # at most as many as the block has terms
         out[r.term] = math.floor(1000 * math.log((2 * found.documents + 2) / (2 * r.df + 1)))
@@ -203,7 +191,7 @@ def _best_ranges(found: Index, queries: Block, weight: np.ndarray, first: int) -
         j, q = np.nonzero(best_bound)
         yield [pa.array(q), pa.array(best[j, q]), pa.array(best_bound[j, q])]
 
-    rows = _over_ranges(found.table, ["range", "terms", "tops"], "query long, range long, bound long", each)
+    rows = over_rows(found.table, ["range", "terms", "tops"], "query long, range long, bound long", each)
     highest = Window.partitionBy("query").orderBy(F.desc("bound"), "range")
     chosen = rows.withColumn("n", F.row_number().over(highest)).filter(F.col("n") <= first)
     return [(r.query, r.range) for r in chosen.select("query", "range").collect()]
@@ -291,7 +279,7 @@ def _searched(found: Index, queries: Block, weight: np.ndarray, k: int, least: n
     if only:
         ranges = table.sparkSession.createDataFrame([(r,) for r in of], "range long")  # FIRST for each query of the block at most
         table = table.join(F.broadcast(ranges), "range", "left_semi")
-    return _over_ranges(table, ["range", "doc_id", "m", "terms", "df", "tops", "ordinals", "tf"], f"query long, doc_id {kind}, score long", each)
+    return over_rows(table, ["range", "doc_id", "m", "terms", "df", "tops", "ordinals", "tf"], f"query long, doc_id {kind}, score long", each)
 
 
 def _ranked(rows: DataFrame, key: str, k: int) -> DataFrame:
