@@ -50,8 +50,10 @@ FIRST_STEP, FIRST_SMOOTHING = 0.4, 8.0
 STEP, SMOOTHING = 0.3, 32.0
 #: updates after the first, each from a slice of the blocks
 SLICES = 2
-#: tokens whose probabilities are computed at once
-TOKENS = 1 << 15
+#: tokens whose features are held, and whose probabilities are computed, at once
+RUN, TOKENS = 1 << 18, 1 << 15
+#: blocks of a task that counts for an update, so that its sums of ROWS x 32 numbers are small against what it read
+TASK_BLOCKS = 16
 #: the end of a text; its ending, 0, is that of no word
 END = np.uint64(0x9D5C_03A1_6F2E_B847)
 _OTHER = 255
@@ -343,20 +345,23 @@ def untrained(blocks: DataFrame, words: DataFrame) -> Model:
 # --- the softmaxes --------------------------------------------------------------------------------------------------
 
 
-def contexts(b: Block) -> list[np.ndarray]:
-    """Hashes of every token's context features."""
+def contexts(b: Block) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """For runs of a block's tokens: hashes of every token's context features."""
     word = b.terms[b.ids]
     first = np.cumsum(b.size) - b.size
     place = np.arange(len(word)) - np.repeat(first, b.size)
-    before = []
-    for k in (1, 2, 3):
-        w = np.zeros(len(word), np.uint64)
-        w[k:] = word[:-k]
-        w[place < k] = 0
-        before.append(w)
-    one, two, three = before
     odd = np.uint64(0x9E3779B97F4A7C15)
-    return [mix(one + np.uint64(1)), mix(two + np.uint64(2)), mix(three + np.uint64(3)), mix(one * odd + two), mix(three * odd + one + np.uint64(5))]
+    for a in range(0, len(word), RUN):
+        run = slice(a, min(a + RUN, len(word)))
+        before = []
+        for k in (1, 2, 3):
+            w = np.zeros(run.stop - a, np.uint64)
+            lead = max(0, k - a)
+            w[lead:] = word[a + lead - k : run.stop - k]
+            w[place[run] < k] = 0
+            before.append(w)
+        one, two, three = before
+        yield run, [mix(one + np.uint64(1)), mix(two + np.uint64(2)), mix(three + np.uint64(3)), mix(one * odd + two), mix(three * odd + one + np.uint64(5))]
 
 
 def rows_of(features: list[np.ndarray], superclass: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -406,23 +411,25 @@ def _sums(blocks: DataFrame, model: Model, first: bool) -> DataFrame:
         o1, x1, o2, x2 = (np.zeros(ROWS * 16, np.int64) for _ in range(4))
         for number, *row in rows:
             b = read(*row)
-            at = np.flatnonzero(b.trained)
-            if not len(at):
-                continue
-            leaf = model.classes.of(b.terms, b.ending)[b.ids][at]
-            outer, inner = leaf >> 4, leaf & 15
-            rows1, rows2 = rows_of([f[at] for f in contexts(b)], outer)
-            o1 += _bins(rows1, outer)
-            o2 += _bins(rows2, inner)
-            if first:
-                x2 += _bins(rows2, outer)
+            if not b.trained.any():
                 continue
+            leaf = model.classes.of(b.terms, b.ending)[b.ids]
             random = np.random.default_rng(number.as_py())
-            d1, d2 = np.empty(len(leaf), np.int64), np.empty(len(leaf), np.int64)
-            for run, (e1, _), (e2, _) in probabilities(model, leaf, rows1, rows2):
-                d1[run], d2[run] = _drawn(e1, random), _drawn(e2, random)
-            x1 += _bins(rows1, d1)
-            x2 += _bins(rows2, d2)
+            for part, features in contexts(b):
+                own = b.trained[part]
+                of = leaf[part][own]
+                outer, inner = of >> 4, of & 15
+                rows1, rows2 = rows_of([f[own] for f in features], outer)
+                o1 += _bins(rows1, outer)
+                o2 += _bins(rows2, inner)
+                if first:
+                    x2 += _bins(rows2, outer)
+                    continue
+                d1, d2 = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
+                for run, (e1, _), (e2, _) in probabilities(model, of, rows1, rows2):
+                    d1[run], d2[run] = _drawn(e1, random), _drawn(e2, random)
+                x1 += _bins(rows1, d1)
+                x2 += _bins(rows2, d2)
         size = ROWS * 16 // CHUNKS
         yield [pa.array(range(CHUNKS), pa.int32()), *(pa.array([x[k * size : (k + 1) * size].astype(np.int32).tobytes() for k in range(CHUNKS)], pa.binary()) for x in (o1, x1, o2, x2))]
 
@@ -461,9 +468,12 @@ def updated(blocks: DataFrame, model: Model, first: bool = False) -> Model:
 
 def trained(blocks: DataFrame, model: Model, slices: int = SLICES) -> Model:
     """The model after the first update, from all blocks, and `slices` further ones, in which each block takes part once."""
-    model = updated(blocks, model, True)
+    n, cores = blocks.count(), blocks.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n, max(cores, n // TASK_BLOCKS)))
+    model = updated(blocks.coalesce(tasks), model, True)
+    tasks = max(1, min(tasks, max(cores, tasks // max(1, slices))))
     for k in range(slices):
-        model = updated(blocks if slices == 1 else blocks.filter(F.pmod(F.xxhash64("block"), F.lit(slices)) == k), model)
+        model = updated((blocks if slices == 1 else blocks.filter(F.pmod(F.xxhash64("block"), F.lit(slices)) == k)).coalesce(tasks), model)
     return model
 
 
@@ -486,11 +496,12 @@ def scored(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             leaf_of = model.classes.of(b.terms, b.ending)
             leaf = leaf_of[b.ids]
             score = log_within(model, leaf_of, c)[b.ids]
-            rows1, rows2 = rows_of(contexts(b), leaf >> 4)
-            for run, (e1, z1), (e2, z2) in probabilities(model, leaf, rows1, rows2):
-                at = np.arange(len(e1))
-                log = z1[at, leaf[run] >> 4] - np.log(e1.sum(1)) + z2[at, leaf[run] & 15] - np.log(e2.sum(1))
-                score[run] += log.astype(float) / np.log(10)
+            for part, features in contexts(b):
+                of, own = leaf[part], score[part]
+                for run, (e1, z1), (e2, z2) in probabilities(model, of, *rows_of(features, of >> 4)):
+                    at = np.arange(len(e1))
+                    log = z1[at, of[run] >> 4] - np.log(e1.sum(1)) + z2[at, of[run] & 15] - np.log(e2.sum(1))
+                    own[run] += log.astype(float) / np.log(10)
             first = np.cumsum(b.size) - b.size
             total = lambda x: np.add.reduceat(x, first)
             n = len(b.size)
