@@ -316,8 +316,8 @@ def halved(own: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return np.concatenate((halved(order[:half], matrix), halved(order[half:], matrix)))
 
 
-def untrained(blocks: DataFrame, words: DataFrame) -> Model:
-    """The model without features: classes, their shares, and the discounted shares of words."""
+def untrained(blocks: DataFrame, words: DataFrame, size: int = ROWS) -> Model:
+    """The model without features: classes, their shares, and the discounted shares of words; size: rows of its weights, a power of 2."""
     classes = classes_of(blocks, words)
 
     def by_leaf(rows: Iterator[tuple]) -> Iterator[list]:
@@ -338,7 +338,7 @@ def untrained(blocks: DataFrame, words: DataFrame) -> Model:
     inner = np.log(n.reshape(16, 16) + 0.5)
     outer = np.log(n.reshape(16, 16).sum(1) + 1.0)
     inner, outer = inner - np.log(np.exp(inner).sum(1, keepdims=True)), outer - np.log(np.exp(outer).sum())
-    zero = np.zeros((ROWS, 16), np.float32)
+    zero = np.zeros((size, 16), np.float32)
     return Model(classes, int(n.sum()), int(types.sum()), n, types, discount, outer.astype(np.float32), inner.astype(np.float32), zero, zero)
 
 
@@ -364,10 +364,10 @@ def contexts(b: Block) -> Iterator[tuple[slice, list[np.ndarray]]]:
         yield run, [mix(one + np.uint64(1)), mix(two + np.uint64(2)), mix(three + np.uint64(3)), mix(one * odd + two), mix(three * odd + one + np.uint64(5))]
 
 
-def rows_of(features: list[np.ndarray], superclass: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def rows_of(features: list[np.ndarray], superclass: np.ndarray, size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each feature's row of weights, for both softmaxes."""
     salt = mix(np.arange(16, dtype=np.uint64) + np.uint64(77))[superclass]
-    last = np.uint64(ROWS - 1)
+    last = np.uint64(size - 1)
     return [(f & last).astype(np.int64) for f in features], [((f >> np.uint64(20) ^ salt) & last).astype(np.int64) for f in features]
 
 
@@ -399,16 +399,18 @@ def _drawn(e: np.ndarray, random: np.random.Generator) -> np.ndarray:
 _SUMS = "chunk int, o1 binary, x1 binary, o2 binary, x2 binary"
 
 
-def _bins(rows: list[np.ndarray], outcome: np.ndarray) -> np.ndarray:
-    return sum(np.bincount(r * 16 + outcome, minlength=ROWS * 16) for r in rows)
+def _bins(rows: list[np.ndarray], outcome: np.ndarray, size: int) -> np.ndarray:
+    return sum(np.bincount(r * 16 + outcome, minlength=size * 16) for r in rows)
 
 
 def _sums(blocks: DataFrame, model: Model, first: bool) -> DataFrame:
     """Observed (o) and expected (x) counts of every row and outcome, by task and chunk. In the first update x2 counts superclasses, as the
     expectation of the model without features follows from them, and x1 is left empty."""
 
+    total = len(model.w1)
+
     def each(rows: Iterator[tuple]) -> Iterator[list]:
-        o1, x1, o2, x2 = (np.zeros(ROWS * 16, np.int64) for _ in range(4))
+        o1, x1, o2, x2 = (np.zeros(total * 16, np.int64) for _ in range(4))
         for number, *row in rows:
             b = read(*row)
             if not b.trained.any():
@@ -419,18 +421,18 @@ def _sums(blocks: DataFrame, model: Model, first: bool) -> DataFrame:
                 own = b.trained[part]
                 of = leaf[part][own]
                 outer, inner = of >> 4, of & 15
-                rows1, rows2 = rows_of([f[own] for f in features], outer)
-                o1 += _bins(rows1, outer)
-                o2 += _bins(rows2, inner)
+                rows1, rows2 = rows_of([f[own] for f in features], outer, total)
+                o1 += _bins(rows1, outer, total)
+                o2 += _bins(rows2, inner, total)
                 if first:
-                    x2 += _bins(rows2, outer)
+                    x2 += _bins(rows2, outer, total)
                     continue
                 d1, d2 = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
                 for run, (e1, _), (e2, _) in probabilities(model, of, rows1, rows2):
                     d1[run], d2[run] = _drawn(e1, random), _drawn(e2, random)
-                x1 += _bins(rows1, d1)
-                x2 += _bins(rows2, d2)
-        size = ROWS * 16 // CHUNKS
+                x1 += _bins(rows1, d1, total)
+                x2 += _bins(rows2, d2, total)
+        size = total * 16 // CHUNKS
         yield [pa.array(range(CHUNKS), pa.int32()), *(pa.array([x[k * size : (k + 1) * size].astype(np.int32).tobytes() for k in range(CHUNKS)], pa.binary()) for x in (o1, x1, o2, x2))]
 
     return over_rows(blocks, ["block", *_READ], _SUMS, each)
@@ -458,7 +460,7 @@ def updated(blocks: DataFrame, model: Model, first: bool = False) -> Model:
 
     rows = over_rows(_sums(blocks, model, first).repartition("chunk"), ["chunk", "o1", "x1", "o2", "x2"], "chunk int, s1 binary, s2 binary", steps)
     w1, w2 = model.w1.copy(), model.w2.copy()
-    size = ROWS // CHUNKS
+    size = len(w1) // CHUNKS
     for r in rows.collect():  # ROWS x 32 numbers in all
         own = slice(r.chunk * size, (r.chunk + 1) * size)
         w1[own] += np.frombuffer(r.s1, np.float32).reshape(-1, 16)
@@ -498,7 +500,7 @@ def scored(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             score = log_within(model, leaf_of, c)[b.ids]
             for part, features in contexts(b):
                 of, own = leaf[part], score[part]
-                for run, (e1, z1), (e2, z2) in probabilities(model, of, *rows_of(features, of >> 4)):
+                for run, (e1, z1), (e2, z2) in probabilities(model, of, *rows_of(features, of >> 4, len(model.w1))):
                     at = np.arange(len(e1))
                     log = z1[at, of[run] >> 4] - np.log(e1.sum(1)) + z2[at, of[run] & 15] - np.log(e2.sum(1))
                     own[run] += log.astype(float) / np.log(10)

@@ -125,7 +125,10 @@ class Block(NamedTuple):
 
 def block(found: list[tuple]) -> Block:
     """Of (id, text) rows, those with a term."""
-    sets = [np.unique(words(data, off, ALNUM)[0]) for _, data, off in chunks(pa.array([t for _, t in found], pa.string()), 0)]
+    sets = []
+    for _, data, off in chunks(pa.array([t for _, t in found], pa.string())):
+        h, at = words(data, off, ALNUM)
+        sets += [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:])]
     own = [(i, s) for (i, _), s in zip(found, sets) if len(s)]
     flat = np.concatenate([s for _, s in own]) if own else np.zeros(0, np.uint64)
     terms, term = np.unique(flat, return_inverse=True)
