@@ -100,6 +100,33 @@ def _(s, d):
     return java_facts.enclosing_methods(calls, found.filter("kind = 'method'"))
 
 
+#: what the texts of several shapes say in comments about themselves
+_SAID = r""", said AS (SELECT path, n, string_split(e, '|') AS e FROM (SELECT path, n, unnest(string_split(regexp_extract(raw, '//= (.*)$', 1), ';')) AS e FROM (
+  SELECT path, unnest(string_split(content, chr(10))) AS raw, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INT) AS n FROM java_shapes) y WHERE contains(raw, '//= ')) z),
+heirs AS (SELECT DISTINCT unnest(regexp_extract_all(content, '//\+ ([^|\n]*)', 1)) AS interface, unnest(regexp_extract_all(content, '//\+ [^|\n]*\|([^\n]*)', 1)) AS class FROM java_shapes) """
+_SHAPES = ("java_shapes",)
+
+
+@_query("x8_j4_scoped_calls", _SAID + "SELECT DISTINCT e[1] AS caller_class, e[2] AS caller_method, e[3] AS callee_class, e[4] AS callee_method, path AS file_path, n AS line_number FROM said", _SHAPES)
+def _(s, d):
+    found = java_facts.java_facts(view(s, d, "java_shapes"))
+    return java_facts.call_edges(found).drop("call_type", "confidence")
+
+
+@_query("j11_implementors", _SAID + "SELECT interface, class FROM heirs", _SHAPES)
+def _(s, d):
+    return java_facts.implementors(java_facts.java_facts(view(s, d, "java_shapes")))
+
+
+@_query("j11_x16_derived_impls", _SAID + r""", used AS (SELECT path, unnest(regexp_extract_all(content, '@Autowired\s*(?:private\s+)?(\w+)\s+\w+', 1)) AS u FROM java_shapes),
+simple AS (SELECT DISTINCT regexp_extract(interface, '([^.]*)$', 1) AS i, class FROM heirs)
+SELECT path, 'INTERFACE_IMPL' AS dimension, class AS target, CASE WHEN count(*) OVER (PARTITION BY path, u) > 1 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM used JOIN simple ON u = i""", _SHAPES)
+def _(s, d):
+    files_ = view(s, d, "java_shapes")
+    heirs = java_facts.implementors(java_facts.java_facts(files_))
+    return implicit.interface_impls(files_, heirs.select(F.substring_index("interface", ".", -1).alias("interface"), "class").distinct())
+
+
 @_query("x9_method_bodies", _LINES + "SELECT path, class_name, name, string_agg(raw, chr(10) ORDER BY n) AS body FROM meth JOIN jl USING (path) WHERE n BETWEEN begin_line AND end_line GROUP BY path, class_name, name, begin_line", _JAVA)
 def _(s, d):
     return java_facts.method_body(_facts(s, d).filter("kind = 'method'"), _files(s, d))

@@ -63,6 +63,123 @@ public class C<<k>>ServiceImpl extends C<<h>>ServiceImpl implements I<<k % 9>> {
 }
 """
 
+#: Java files of several shapes for each key. What a call resolves to stands behind it: `//= class|method|callee class|callee method`, several parted by
+#: a semicolon; `//+ interface|class` says who implements what. Both are comments, which Java's readers skip.
+SHAPES = {
+    "Base": """package com.g<<k>>;
+public abstract class Base<<k>><T extends Comparable<T>> implements J<<k>> { //+ com.g<<k>>.J<<k>>|com.g<<k>>.Base<<k>>
+    protected Repo<<k>> repo;
+    @Autowired private Dao<<k>> dao;
+    abstract T open(int a);
+    void load(Dao<<k>> other) {
+        other.find(1); //= com.g<<k>>.Base<<k>>|load|com.g<<k>>.Dao<<k>>|find
+        /* dao.lost(); */ String s = "dao.lost(1)"; char c = '"';
+        dao.find(2); //= com.g<<k>>.Base<<k>>|load|com.g<<k>>.Dao<<k>>|find
+    }
+}
+interface J<<k>> { }
+interface I<<k>> extends J<<k>>, java.io.Closeable { default void shut(Repo<<k>> r) { r.save(0); } } //= com.g<<k>>.I<<k>>|shut|com.g<<k>>.Repo<<k>>|save
+class Repo<<k>> { }
+class Dao<<k>> { }
+""",
+    "Child": """package com.g<<k>>;
+import com.w<<k>>.*;
+import com.v<<k % 3>>.Mail;
+import static com.v<<k % 3>>.Mail.send;
+//+ com.g<<k>>.I<<k>>|com.g<<k>>.Child<<k>>
+//+ com.g<<k>>.J<<k>>|com.g<<k>>.Child<<k>>
+//+ java.io.Closeable|com.g<<k>>.Child<<k>>
+//+ com.g<<k>>.Runnable|com.g<<k>>.Child<<k>>
+@Service(value = "a{b}", names = {"x", "y"})
+public class Child<<k>> extends Base<<k>><String> implements I<<k>>, Runnable {
+    private final Map<String, List<Dao<<k>>>> known = new HashMap<>(), other;
+    Mail mail, spare;
+    @Autowired
+    I<<k>> self;
+    int[] sizes = {1, count(2), 3}; //= com.g<<k>>.Child<<k>>||UNKNOWN|count
+    static { Mail.warm(); } //= com.g<<k>>.Child<<k>>||com.v<<k % 3>>.Mail|warm
+    Child<<k>>(Dao<<k>> mail) { super(); mail.find(3); } //= com.g<<k>>.Child<<k>>||com.g<<k>>.Dao<<k>>|find
+    public void run() {
+        repo.save(1); this.mail.post(); //= com.g<<k>>.Child<<k>>|run|com.g<<k>>.Repo<<k>>|save;com.g<<k>>.Child<<k>>|run|com.v<<k % 3>>.Mail|post
+        spare.post(); //= com.g<<k>>.Child<<k>>|run|com.v<<k % 3>>.Mail|post
+        if (spare != null) {
+            Mail repo = spare;
+            repo.draft(); //= com.g<<k>>.Child<<k>>|run|com.v<<k % 3>>.Mail|draft
+        }
+        repo.drop(); //= com.g<<k>>.Child<<k>>|run|com.g<<k>>.Repo<<k>>|drop
+        Tool<<k>> tool = new Tool<<k>>(), more;
+        tool.use(); //= com.g<<k>>.Child<<k>>|run|com.w<<k>>.Tool<<k>>|use
+        send("m"); helper(); //= com.g<<k>>.Child<<k>>|run|com.v<<k % 3>>.Mail|send;com.g<<k>>.Child<<k>>|run|UNKNOWN|helper
+        this.helper(); super.load(null); //= com.g<<k>>.Child<<k>>|run|com.g<<k>>.Child<<k>>|helper;com.g<<k>>.Child<<k>>|run|com.g<<k>>.Child<<k>>|load
+        nobody.knows(); //= com.g<<k>>.Child<<k>>|run|UNKNOWN|knows
+    }
+    void params(Dao<<k>> mail, Mail... all) throws java.io.IOException, Gone {
+        mail.find(3); //= com.g<<k>>.Child<<k>>|params|com.g<<k>>.Dao<<k>>|find
+        for (Mail m : all) { m.post(); } //= com.g<<k>>.Child<<k>>|params|com.v<<k % 3>>.Mail|post
+        try (Tool<<k>> t = tool(1)) { //= com.g<<k>>.Child<<k>>|params|UNKNOWN|tool
+            t.use(); //= com.g<<k>>.Child<<k>>|params|com.w<<k>>.Tool<<k>>|use
+        } catch (Lost | Gone e) {
+            e.report(); //= com.g<<k>>.Child<<k>>|params|com.g<<k>>.Lost|report
+        }
+    }
+}
+""",
+    "Flow": """package com.g<<k>>;
+import com.v<<k % 3>>.Mail;
+class Flow<<k>> {
+    Mail mail;
+    private final Runnable job = new Runnable() {
+        Repo<<k>> inner = new Repo<<k>>();
+        @Override public void run() {
+            inner.save(2); mail.post(); //= com.g<<k>>.Flow<<k>>|run|com.g<<k>>.Repo<<k>>|save;com.g<<k>>.Flow<<k>>|run|com.v<<k % 3>>.Mail|post
+        }
+    };
+    <R extends Repo<<k>>> List<R> each(List<R> rows, Dao<<k>> dao) {
+        rows.order((a, mail) -> { mail.none(); return dao.rank(a); }); //= com.g<<k>>.Flow<<k>>|each|com.g<<k>>.List|order;com.g<<k>>.Flow<<k>>|each|UNKNOWN|none;com.g<<k>>.Flow<<k>>|each|com.g<<k>>.Dao<<k>>|rank
+        mail.post(); //= com.g<<k>>.Flow<<k>>|each|com.v<<k % 3>>.Mail|post
+        Mail.make("y").later(); //= com.g<<k>>.Flow<<k>>|each|com.v<<k % 3>>.Mail|make;com.g<<k>>.Flow<<k>>|each|com.v<<k % 3>>.Mail|later
+        var r = new Repo<<k>>();
+        rows.order(mail -> mail.none()); r.save(3); //= com.g<<k>>.Flow<<k>>|each|com.g<<k>>.List|order;com.g<<k>>.Flow<<k>>|each|UNKNOWN|none;com.g<<k>>.Flow<<k>>|each|com.g<<k>>.Repo<<k>>|save
+        switch (rows.count()) { //= com.g<<k>>.Flow<<k>>|each|com.g<<k>>.List|count
+            case 1: Dao<<k>> d = dao; d.find(4); break; //= com.g<<k>>.Flow<<k>>|each|com.g<<k>>.Dao<<k>>|find
+            default: r.drop(); //= com.g<<k>>.Flow<<k>>|each|com.g<<k>>.Repo<<k>>|drop
+        }
+        return new Keep<R>() { void kept() { r.keep(); } }; //= com.g<<k>>.Flow<<k>>|kept|com.g<<k>>.Repo<<k>>|keep
+    }
+}
+""",
+    "Nest": """package com.g<<k>>;
+public class Nest<<k>> {
+    Repo<<k>> repo;
+    enum Kind { ONE { void go(Dao<<k>> a) { a.find(7); } }, TWO(2); Kind(int... n) { } } //= com.g<<k>>.Nest<<k>>.Kind|go|com.g<<k>>.Dao<<k>>|find
+    record Pair(Repo<<k>> left, int n) implements J<<k>> { Pair { check(n); } void t() { left.save(n); } } //= com.g<<k>>.Nest<<k>>.Pair||UNKNOWN|check;com.g<<k>>.Nest<<k>>.Pair|t|com.g<<k>>.Repo<<k>>|save
+    //+ com.g<<k>>.J<<k>>|com.g<<k>>.Nest<<k>>.Pair
+    static class Inner extends Child<<k>> {
+        Kind kind;
+        //+ com.g<<k>>.I<<k>>|com.g<<k>>.Nest<<k>>.Inner
+        //+ com.g<<k>>.J<<k>>|com.g<<k>>.Nest<<k>>.Inner
+        //+ java.io.Closeable|com.g<<k>>.Nest<<k>>.Inner
+        //+ com.g<<k>>.Runnable|com.g<<k>>.Nest<<k>>.Inner
+        void all() {
+            mail.post(); repo.save(8); kind.go(null); //= com.g<<k>>.Nest<<k>>.Inner|all|com.v<<k % 3>>.Mail|post;com.g<<k>>.Nest<<k>>.Inner|all|com.g<<k>>.Repo<<k>>|save;com.g<<k>>.Nest<<k>>.Inner|all|com.g<<k>>.Nest<<k>>.Kind|go
+        }
+    }
+    void text() {
+        String s = """ + '"' * 3 + """
+            class Fake { void y() { no.no(); } } """ + '"' * 3 + """; // no.never()
+        class Local { Dao<<k>> q; void h() { q.find(9); } } //= com.g<<k>>.Nest<<k>>.Local|h|com.g<<k>>.Dao<<k>>|find
+        repo.save(10); //= com.g<<k>>.Nest<<k>>|text|com.g<<k>>.Repo<<k>>|save
+    }
+}
+""",
+    "Tool": """package com.w<<k>>;
+@interface Mark { String value() default "{"; }
+public class Tool<<k>> implements AutoCloseable { //+ com.w<<k>>.AutoCloseable|com.w<<k>>.Tool<<k>>
+    @Mark("}") int use() { return this.use(); } //= com.w<<k>>.Tool<<k>>|use|com.w<<k>>.Tool<<k>>|use
+}
+""",
+}
+
 MAPPER = """<?xml version="1.0"?>
 <!DOCTYPE mapper PUBLIC "-//x//DTD Mapper 3.0//EN" "http://x/mapper.dtd">
 <mapper namespace="com.p<<k % 7>>.C<<k>>Mapper">
@@ -141,6 +258,7 @@ _JAVA_PATH = "'app' || CAST(k % 3 AS STRING) || '/src/main/java/com/p' || CAST(k
 _XML_PATH = "'mapper/m' || CAST(k % 3 AS STRING) || '/C' || CAST(k AS STRING) || 'Mapper.xml'"
 VIEWS = {
     "java_files": _source(JAVA, _JAVA_PATH, "path", "content") + _SUPPLIERS,
+    "java_shapes": " UNION ALL ".join(_source(t, f"'src/main/java/com/g' || CAST(k AS STRING) || '/{n}' || CAST(k AS STRING) || '.java'", "path", "content") + "(SELECT s_suppkey AS k FROM {supplier}) x" for n, t in SHAPES.items()),
     "mapper_files": _source(MAPPER, _XML_PATH, "path", "content") + _SUPPLIERS,
     "diff_texts": _source(DIFF, "k", "diff_id", "diff") + _CUSTOMERS,
     "report_texts": _source(REPORT, "k", "doc", "json") + _CUSTOMERS,
