@@ -142,8 +142,8 @@ def is_cross_object_call(target: Column) -> Column:
 
 
 def normalised_method(target: Column) -> Column:
-    """P20: the last segment, without a parameter list; a name that ends in a dot stays, an empty one is null."""
-    plain = F.regexp_replace(F.regexp_replace(target, r"(?s)\(.*$", ""), r"^this\.", "")
+    """P20: the last segment, whatever it is; a name that ends in a dot stays, an empty one is null."""
+    plain = F.regexp_replace(target, r"^this\.", "")
     return F.when(target != "", F.when(plain.rlike(r"\.[^.]+$"), F.substring_index(plain, ".", -1)).otherwise(plain))
 
 
@@ -207,9 +207,12 @@ def line_of_name(name: Column, lines: Column) -> Column:
 
 
 def json_escaped(text: Column) -> Column:
-    """The text as the inside of a JSON string; null is the empty one."""
-    whole = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t")))
-    return F.regexp_extract(whole, r'(?s)^\{"t":"(.*)"\}$', 1)
+    """The text as the inside of a JSON string; null is the empty one. Line feed, carriage return and tab have names, other control characters go by number."""
+    out = F.coalesce(text, F.lit(""))
+    named = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    for c, escape in [*named.items(), *((chr(n), f"\\u{n:04x}") for n in range(32) if chr(n) not in "\n\r\t")]:
+        out = F.replace(out, F.lit(c), F.lit(escape))
+    return out
 
 
 def project_root(path: Column, marked: Column, built: Column) -> Column:

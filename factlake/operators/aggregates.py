@@ -65,6 +65,10 @@ def corrected_statistics(outputs: DataFrame, input_files: DataFrame, said_layers
     )
 
 
+#: fixed value: what stands for an overview that was not written
+RISK_SENTENCE = "该包存在 %d 个高风险、%d 个中风险问题，建议优先处理高风险项。"
+
+
 def corrected_summary(summary: Column) -> Column:
     """A summary of SUMMARY_CHARS at most; an empty one is marked as such."""
     return F.when(F.trim(F.coalesce(summary, F.lit(""))) == "", "（无摘要）").otherwise(F.substring(summary, 1, SUMMARY_CHARS))
@@ -73,7 +77,7 @@ def corrected_summary(summary: Column) -> Column:
 def corrected_refactoring(text: Column, high: Column, medium: Column) -> Column:
     """At most REFACTOR_CHARS; where there are risks and nothing was written, a sentence that counts them."""
     empty = F.trim(F.coalesce(text, F.lit(""))) == ""
-    counted = F.format_string("%d HIGH and %d MEDIUM risks; mend the HIGH ones first.", high.cast("long"), medium.cast("long"))
+    counted = F.format_string(RISK_SENTENCE, high.cast("long"), medium.cast("long"))
     return F.when((high + medium > 0) & empty, counted).otherwise(F.substring(text, 1, REFACTOR_CHARS))
 
 

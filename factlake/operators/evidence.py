@@ -128,15 +128,20 @@ def summary_contradictions(reports: DataFrame, methods: DataFrame) -> DataFrame:
     return bad.select("doc", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"), F.lit("C2").alias("rule"), F.lit("HIGH").alias("severity"), F.lit(-0.3).alias("penalty"), F.lit("CONTRADICTORY").alias("status"))
 
 
+def _without_arguments(target: Column) -> Column:
+    """As cleaned reports have it; raw ones may still name parameters."""
+    return F.regexp_replace(target, r"(?s)\(.*$", "")
+
+
 def call_contradictions(methods: DataFrame) -> DataFrame:
     """J8, R6 (rule C1): a call within a report that the called method does not list. methods: doc, name, calls (targets), called_by (callers).
 
     Calls on other objects and recursion are passed over; an empty list only counts as incomplete.
     """
     calls = methods.select("doc", "name", F.explode("calls").alias("t")).filter(F.col("t").isNotNull() & ~is_cross_object_call(F.col("t")))
-    calls = calls.select("doc", "name", normalised_method(F.col("t")).alias("target")).filter("name <> target").distinct()
+    calls = calls.select("doc", "name", normalised_method(_without_arguments(F.col("t"))).alias("target")).filter("name <> target").distinct()
     other = methods.select("doc", F.col("name").alias("target"), "called_by")
-    bad = calls.join(other, ["doc", "target"]).filter(~F.exists(F.coalesce("called_by", F.array().cast("array<string>")), lambda x: normalised_method(x) == F.col("name")))
+    bad = calls.join(other, ["doc", "target"]).filter(~F.exists(F.coalesce("called_by", F.array().cast("array<string>")), lambda x: normalised_method(_without_arguments(x)) == F.col("name")))
     empty = F.coalesce(F.size("called_by"), F.lit(0)) <= 0
     return bad.select("doc", F.col("name").alias("source"), "target", F.lit("C1").alias("rule"), F.lit("MEDIUM").alias("severity"), F.when(empty, 0.0).otherwise(-0.2).alias("penalty"), F.when(empty, "INCOMPLETE").otherwise("CONTRADICTORY").alias("status"))
 
@@ -200,10 +205,14 @@ def injected(methods: DataFrame, findings: DataFrame) -> DataFrame:
     return out.withColumn("score", F.when(F.col("score").isNotNull(), F.greatest(F.lit(0.1), F.col("score") + F.coalesce("penalty", F.lit(0.0)))))
 
 
-def voted(votes: DataFrame) -> DataFrame:
-    """Per claim the majority of votes that contain yes or no; a tie is PENDING."""
-    yes, no = F.count_if(F.lower("vote").contains("yes")), F.count_if(F.lower("vote").contains("no"))
-    counted = votes.groupBy("claim_id").agg(yes.alias("yes"), no.alias("no"))
+#: fixed values: the words that confirm and deny a claim
+CONFIRMS, DENIES = "确认", "否认"
+
+
+def voted(votes: DataFrame, confirms: str = CONFIRMS, denies: str = DENIES) -> DataFrame:
+    """Per claim the majority of votes; a vote that has both words confirms, one with neither counts for none, and a tie is PENDING."""
+    side = F.when(F.col("vote").contains(confirms), 1).when(F.col("vote").contains(denies), 0)
+    counted = votes.groupBy("claim_id").agg(F.count_if(side == 1).alias("yes"), F.count_if(side == 0).alias("no"))
     return counted.withColumn("status", F.when(F.col("yes") > F.col("no"), "PASSED").when(F.col("no") > F.col("yes"), "REJECTED").otherwise("PENDING"))
 
 

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.session import checkpointed
+
 #: positions of one key that a sweep takes at once; a key with more is cut into slices of its range, each a sweep of its own
 SLICE_ROWS = 1_000_000
 
@@ -26,14 +28,18 @@ def innermost(uses: DataFrame, intervals: DataFrame, keys: list[str], at: str, b
     known = known.dropna(subset=[*own, "_at", "_end"])
     # of the keys, only those with more rows than a slice come into this table
     hot = given.groupBy(*own).agg(F.count("_at").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")).filter(F.col("_n") > slice_rows)
-    hot = hot.select(*own, F.ceil(F.col("_n") / slice_rows).alias("_n"), "_lo", "_hi")
+    hot = checkpointed(hot.select(*own, F.ceil(F.col("_n") / slice_rows).alias("_n"), "_lo", "_hi"))
 
     def sliced(position: Column) -> Column:
         wide = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_n")))
         return F.coalesce(F.least(F.greatest(F.floor((position - F.col("_lo")) / wide), F.lit(0)), F.col("_n") - 1), F.lit(0))
 
-    given = given.join(hot, own, "left").select("_use", *own, "_at", F.lit(None).cast("long").alias("_end"), sliced(F.col("_at")).alias("_slice"))
-    known = known.join(hot, own, "left").select("_found", *own, "_at", "_end", F.explode(F.sequence(sliced(F.col("_at")), sliced(F.greatest("_at", "_end")))).alias("_slice"))
+    if hot.isEmpty():
+        given, known = given.withColumns({"_end": F.lit(None).cast("long"), "_slice": F.lit(0)}), known.withColumn("_slice", F.lit(0))
+    else:
+        given = given.join(hot, own, "left").select("_use", *own, "_at", F.lit(None).cast("long").alias("_end"), sliced(F.col("_at")).cast("int").alias("_slice"))
+        reached = F.sequence(sliced(F.col("_at")).cast("int"), sliced(F.greatest("_at", "_end")).cast("int"))
+        known = known.join(hot, own, "left").select("_found", *own, "_at", "_end", F.explode(reached).alias("_slice"))
     both = known.withColumn("_use", F.lit(None).cast(given.schema["_use"].dataType)).unionByName(given.withColumn("_found", F.lit(None).cast(known.schema["_found"].dataType)))
     # at one position intervals open before uses, the longest first, so that the last one open is the answer
     order = [*own, "_slice", "_at", F.col("_use").isNotNull(), F.col("_end").desc(), "_found"]

@@ -31,80 +31,91 @@ _ORDER = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
 
 
 def repaired(text: str | None) -> str | None:
-    """Control characters, then unescaped quotes, then truncation; the first step that gives valid JSON ends it, null if none does."""
-    if text is None:
-        return None
-    steps = (lambda t: t, _without_controls, lambda t: _quoted(_without_controls(t)), lambda t: _closed(_without_controls(t)), lambda t: _closed(_quoted(_without_controls(t))))
-    for step in steps:
-        candidate = step(text)
-        try:
-            json.loads(candidate)
-            return candidate
-        except ValueError:
-            continue
-    return None
+    """Control characters, then unescaped quotes, then truncation, each on top of the one before; the first result that is a JSON object or array, else the text as it came.
+
+    Of a text cut off, what follows its last whole object or array goes, and what is open there is closed.
+    """
+    if text is None or not text.strip():
+        return text
+    out = text
+    for step in (_without_controls, _quoted, _closed):
+        out = step(out)
+        if _is_json(out):
+            return out
+    return text
+
+
+def _is_json(t: str) -> bool:
+    if not t.strip().startswith(("{", "[")):
+        return False
+    try:
+        json.loads(t, strict=False)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+#: a run of a string's characters, an escape, a quote, or anything between strings
+_PIECES = re.compile(r'\\.|"|[^"\\]+|\\', re.S)
 
 
 def _without_controls(t: str) -> str:
-    out, inside, escaped = [], False, False
-    for c in t:
-        if inside and c < " ":
-            out.append({"\n": "\\n", "\t": "\\t", "\r": "\\r"}.get(c, ""))
-            escaped = False
-            continue
-        if inside and c == '"' and not escaped or not inside and c == '"':
+    """Line ends and tabs inside strings, escaped."""
+    out, inside = [], False
+    for m in _PIECES.finditer(t):
+        piece = m[0]
+        if not inside and piece[0] == "\\":  # between strings nothing is escaped
+            inside ^= piece.count('"') == 1
+        elif piece == '"':
             inside = not inside
-        escaped = inside and c == "\\" and not escaped
-        out.append(c)
+        elif inside and piece[0] != "\\":
+            piece = piece.replace("\n", "\\n").replace("\r", "\\n").replace("\t", "\\t")
+        out.append(piece)
     return "".join(out)
 
 
 def _quoted(t: str) -> str:
-    """A quote inside a string that nothing JSON-like follows is one of the text."""
-    out, inside, i = [], False, 0
-    while i < len(t):
-        c = t[i]
-        if c == "\\" and inside:
-            out.append(t[i : i + 2])
-            i += 2
-            continue
-        if c == '"':
+    """A quote inside a value that neither a comma, a colon, a closing bracket nor the end follows is one of the text."""
+    out, inside, value, colon = [], False, False, False
+    for m in _PIECES.finditer(t):
+        piece = m[0]
+        if not inside and piece[0] == "\\":
+            colon = False
+            if piece[-1] == '"':
+                inside, value = True, False
+        elif piece == '"':
             if not inside:
-                inside = True
-            elif re.match(r"\s*([,:\]}]|\Z)", t[i + 1 :]):
+                inside, value, colon = True, colon, False
+            elif not value or _ENDS.match(t, m.end()):
                 inside = False
             else:
                 out.append("\\")
-        out.append(c)
-        i += 1
+        elif not inside and (seen := piece.strip(_BLANK)):
+            colon = seen[-1] == ":"
+        out.append(piece)
     return "".join(out)
 
 
+#: what counts as blank: every character up to the space
+_BLANK = "".join(map(chr, range(33)))
+_ENDS = re.compile(r"[\x00-\x20]*(?:[,}\]:]|\Z)")
+
+
 def _closed(t: str) -> str:
-    """What was cut off is closed; a member that is not whole is dropped."""
-    stack, inside, escaped, safe = [], False, False, [(0, "")]
-    for i, c in enumerate(t):
-        if inside:
-            inside, escaped = not (c == '"' and not escaped), c == "\\" and not escaped
-        elif c == '"':
-            inside, escaped = True, False
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-            safe.append((i + 1, "".join(reversed(stack))))
-        elif c in "}]" and stack:
-            stack.pop()
-            safe.append((i + 1, "".join(reversed(stack))))
-        elif c == ",":
-            safe.append((i, "".join(reversed(stack))))
-    whole = t + '"' * inside + "".join(reversed(stack))
-    for at, tail in [(None, None), *reversed(safe)]:
-        candidate = whole if at is None else t[:at] + tail
-        try:
-            json.loads(candidate)
-            return candidate
-        except ValueError:
-            continue
-    return t
+    """One scan with a stack of what is open, up to the last whole object or array."""
+    body = t[: max(t.rfind("}"), t.rfind("]")) + 1] or t
+    stack, inside = [], False
+    for m in _PIECES.finditer(body):
+        piece = m[0]
+        if piece == '"' or not inside and piece == '\\"':
+            inside = not inside
+        elif not inside:
+            for c in re.findall(r"[{}\[\]]", piece):
+                if c in "{[":
+                    stack.append("}" if c == "{" else "]")
+                elif stack and stack[-1] == c:
+                    stack.pop()
+    return body + "".join(reversed(stack))
 
 
 @F.pandas_udf(StringType())

@@ -328,7 +328,8 @@ def _(s, d):
     return _t(s, d, "sql_texts").select("sql_id", sqltext.without_tags(F.col("sql_text")).alias("text"))
 
 
-@_query("a18_votes", "SELECT claim_id, count(*) FILTER (vote = 'yes') AS yes, count(*) FILTER (vote = 'no') AS no, CASE WHEN count(*) FILTER (vote = 'yes') > count(*) FILTER (vote = 'no') THEN 'PASSED' WHEN count(*) FILTER (vote = 'no') > count(*) FILTER (vote = 'yes') THEN 'REJECTED' ELSE 'PENDING' END AS status FROM votes GROUP BY claim_id", ("votes",))
+@_query("a18_votes", """, v AS (SELECT claim_id, CASE WHEN contains(vote, '确认') THEN 1 WHEN contains(vote, '否认') THEN 0 END AS side FROM votes), n AS (SELECT claim_id, count(*) FILTER (side = 1) AS yes, count(*) FILTER (side = 0) AS no FROM v GROUP BY claim_id)
+SELECT *, CASE WHEN yes > no THEN 'PASSED' WHEN no > yes THEN 'REJECTED' ELSE 'PENDING' END AS status FROM n""", ("votes",))
 def _(s, d):
     return evidence.voted(_t(s, d, "votes"))
 

@@ -44,16 +44,11 @@ def _methods(s: SparkSession, d: str) -> DataFrame:
     return m.select("doc", "m.name", "m.complexity", F.col("m.complexity_value").try_cast("int").alias("complexity_value"), names("calls", "target").alias("calls"), names("called_by", "caller").alias("called_by"))
 
 
-@_query("n4_repaired_json", "SELECT doc, 'say \"hi\" ' || CAST(doc AS VARCHAR) AS a, CAST(doc % 7 AS INT) AS b FROM (SELECT c_custkey AS doc FROM customer) x WHERE doc % 3 <> 2 UNION ALL SELECT c_custkey, 'x' || chr(10) || 'y', NULL FROM customer WHERE c_custkey % 3 = 2")
+@_query("n4_repaired_json", r""", w AS (SELECT doc, text, regexp_replace(text, '[^}\]]*$', '') AS whole FROM broken_json)
+SELECT doc, CASE WHEN json_valid(text) OR NOT contains(text, '{') THEN text WHEN contains(text, chr(10)) THEN replace(replace(text, chr(10), '\n'), chr(9), '\t') WHEN json_valid(regexp_replace(text, '([a-z]) "(\w+)" ', '\1 \\"\2\\" ')) THEN regexp_replace(text, '([a-z]) "(\w+)" ', '\1 \\"\2\\" ')
+  ELSE whole || repeat(']', len(whole) - len(replace(whole, '[', '')) - len(whole) + len(replace(whole, ']', ''))) || repeat('}', len(whole) - len(replace(whole, '{', '')) - len(whole) + len(replace(whole, '}', ''))) END AS json FROM w""", ("broken_json",))
 def _(s, d):
-    # unescaped quotes, a text cut off, and a line break inside a string
-    k = F.col("c_custkey")
-    quoted = F.concat(F.lit('{"a": "say "hi" '), k.cast("string"), F.lit('", "b": '), (k % 7).cast("string"), F.lit("}"))
-    cut = F.concat(F.lit('{"a": "say \\"hi\\" '), k.cast("string"), F.lit('", "b": '), (k % 7).cast("string"), F.lit(', "c": ["z'))
-    broken = F.lit('{"a": "x\ny"}')
-    text = F.when(k % 3 == 0, quoted).when(k % 3 == 1, cut).otherwise(broken)
-    fixed = _t(s, d, "customer").select(k.alias("doc"), F.from_json(reports.repair_json(text), "a string, b int").alias("r"))
-    return fixed.select("doc", "r.a", "r.b")
+    return view(s, d, "broken_json").select("doc", reports.repair_json(F.col("text")).alias("json"))
 
 
 @_query("n5_n7_read_methods", _M + "SELECT doc, name, m ->> 'line' AS line, complexity, CAST(v AS VARCHAR) AS complexity_value, CAST(json_array_length(m -> 'calls') AS INT) AS calls FROM m", _REP)
@@ -106,7 +101,7 @@ def _(s, d):
     return every.select("doc", "mp", reports.clean_risk_confidence(F.col("x.confidence")).alias("confidence"))
 
 
-@_query("p20_cross_object_calls", _M + r", t AS (SELECT doc, mp, pos, x ->> 'target' AS t FROM mc) SELECT doc, mp, pos, t LIKE '%.%' AND regexp_replace(t, '\.[^.]*$', '') <> 'this' AS cross_object, regexp_extract(regexp_replace(t, '\(.*$', ''), '([^.]*)$', 1) AS method FROM t", _REP)
+@_query("p20_cross_object_calls", _M + r", t AS (SELECT doc, mp, pos, x ->> 'target' AS t FROM mc) SELECT doc, mp, pos, t LIKE '%.%' AND regexp_replace(t, '\.[^.]*$', '') <> 'this' AS cross_object, regexp_extract(t, '([^.]*)$', 1) AS method FROM t", _REP)
 def _(s, d):
     t = _reports(s, d).select("doc", F.posexplode("methods").alias("mp", "m")).select("doc", F.col("mp").cast("long").alias("mp"), F.posexplode("m.calls").alias("pos", "x"))
     return t.select("doc", "mp", "pos", c.is_cross_object_call(F.col("x.target")).alias("cross_object"), c.normalised_method(F.col("x.target")).alias("method"))
@@ -380,7 +375,7 @@ def _(s, d):
 
 @_query("r12_t7_validated_aggregates", """SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'package' WHEN p_partkey % 5 = 1 THEN 'layer' END AS failure,
   CASE WHEN p_partkey % 7 = 0 THEN '（无摘要）' WHEN p_partkey % 7 = 1 THEN repeat('s', 100) || '…' ELSE 's' || p_name END AS summary, CASE p_partkey % 7 WHEN 2 THEN 5 ELSE 1 END::INT AS n_entries,
-  CASE WHEN p_size > 0 AND p_partkey % 7 <> 1 THEN CAST(p_size AS VARCHAR) || ' HIGH and 0 MEDIUM risks; mend the HIGH ones first.' WHEN p_partkey % 7 = 1 THEN repeat('r', 500) END AS refactoring FROM part""")
+  CASE WHEN p_size > 0 AND p_partkey % 7 <> 1 THEN '该包存在 ' || CAST(p_size AS VARCHAR) || ' 个高风险、0 个中风险问题，建议优先处理高风险项。' WHEN p_partkey % 7 = 1 THEN repeat('r', 500) END AS refactoring FROM part""")
 def _(s, d):
     k = F.col("p_partkey")
     many = F.array_repeat(F.lit("e"), 9)
@@ -495,10 +490,12 @@ def _(s, d):
     )
 
 
-@_query("c15_json_escaped", r"""SELECT doc_id, trim(CAST(to_json(coalesce(text, '')) AS VARCHAR), '"') AS escaped FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '[\x00-\x08\x0B-\x1F\x7F-\x9F"\\/]')""")
+@_query("c15_json_escaped", r"""SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(t, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t'), chr(8), '\u0008'), chr(31), '\u001f') AS escaped
+FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN chr(8) || chr(31) || chr(13) || '\' ELSE '' END AS t FROM documents) x WHERE NOT regexp_matches(t, '[\x00-\x07\x0B\x0C\x0E-\x1E]')""")
 def _(s, d):
-    given = _t(s, d, "documents").filter(F.col("text").isNull() | ~F.col("text").rlike(r'[\x00-\x08\x0B-\x1F\x7F-\x9F"\\/]'))
-    return given.select("doc_id", c.json_escaped(F.col("text")).alias("escaped"))
+    more = F.when(F.col("doc_id") % 2 == 0, F.lit("\b\x1f\r\\")).otherwise("")
+    given = _t(s, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("t")).filter(~F.col("t").rlike(r"[\x00-\x07\x0B\x0C\x0E-\x1E]"))
+    return given.select("doc_id", c.json_escaped(F.col("t")).alias("escaped"))
 
 
 @_query("c18_roots", "SELECT k, CASE WHEN k % 3 = 0 THEN 'w/app' WHEN k % 3 = 1 THEN 'w' END AS project, 'w/app/m' || CAST(k AS VARCHAR) || '/src/main/java' AS source FROM (SELECT c_custkey AS k FROM customer) x")

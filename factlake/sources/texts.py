@@ -11,7 +11,7 @@ import re
 
 _MARK = re.compile(r"<<(.*?)>>", re.S)
 #: characters that one of the engines would read in a literal, by number
-_NUMBERED = {c: f"chr({ord(c)})" for c in "{}$\\\n'#"}
+_NUMBERED = {c: f"chr({ord(c)})" for c in "{}$\\\n\t'#"}
 
 
 def text_sql(template: str) -> str:
@@ -21,7 +21,7 @@ def text_sql(template: str) -> str:
         if i % 2:
             parts.append(f"CAST({piece} AS STRING)")
             continue
-        for run in re.split(r"([{}$\\\n'#])", piece):
+        for run in re.split(r"([{}$\\\n\t'#])", piece):
             if run:
                 parts.append(_NUMBERED.get(run, f"'{run}'"))
     return " || ".join(parts)
@@ -248,6 +248,12 @@ REPORT = """{"class": "com.p<<k % 7>>.C<<k>>", "overall_complexity": "<<CASE k %
  "keyMethods": [{"name": "m1", "line": 10, "calls": [{"target": "z(1)"}]}, {"name": "m2", "line": "30"}, {"name": "m3", "line": "?"}]}"""
 
 
+BROKEN = (
+    """{"a": "say "hi" <<k>>", "b": <<k % 7>>}""", """{"m": [{"a": 1}, {"n": <<k>>}, {"b": 2, "c": "cut of <<k>>""", """{"a": "x
+y\tz<<k>>"}""", """no json <<k>>""", """{"a": {"b": <<k>>}}""",
+)
+
+
 def _source(template: str, key: str, name: str, select: str) -> str:
     return f"SELECT {key} AS {name}, {text_sql(template)} AS {select} FROM "
 
@@ -259,6 +265,7 @@ _XML_PATH = "'mapper/m' || CAST(k % 3 AS STRING) || '/C' || CAST(k AS STRING) ||
 VIEWS = {
     "java_files": _source(JAVA, _JAVA_PATH, "path", "content") + _SUPPLIERS,
     "java_shapes": " UNION ALL ".join(_source(t, f"'src/main/java/com/g' || CAST(k AS STRING) || '/{n}' || CAST(k AS STRING) || '.java'", "path", "content") + "(SELECT s_suppkey AS k FROM {supplier}) x" for n, t in SHAPES.items()),
+    "broken_json": "SELECT k AS doc, CASE k % 5 " + " ".join(f"WHEN {i} THEN {text_sql(t)}" for i, t in enumerate(BROKEN)) + " END AS text FROM " + _CUSTOMERS,
     "mapper_files": _source(MAPPER, _XML_PATH, "path", "content") + _SUPPLIERS,
     "diff_texts": _source(DIFF, "k", "diff_id", "diff") + _CUSTOMERS,
     "report_texts": _source(REPORT, "k", "doc", "json") + _CUSTOMERS,

@@ -69,7 +69,7 @@ SELECT {_class("c_custkey")} AS class_name, CASE c_custkey % 11 WHEN 0 THEN 'Res
   'com.' || CASE c_nationkey % 6 WHEN 0 THEN 'web' WHEN 1 THEN 'biz' WHEN 2 THEN 'dao' WHEN 3 THEN 'dto' WHEN 4 THEN 'feign' ELSE 'core' END || '.n' || {_s("c_nationkey")} AS package_name,
   CAST(c_custkey % 900 AS INT) AS loc, CAST(c_custkey % 20 AS INT) AS n_methods
 FROM {{customer}}""",
-    "votes": "SELECT conv_id AS claim_id, CASE WHEN role = 'user' THEN 'yes' WHEN role = 'assistant' THEN 'no' ELSE 'unsure' END AS vote, turn FROM {conversations}",
+    "votes": "SELECT conv_id AS claim_id, CASE WHEN role = 'user' THEN 'I 确认 turn ' || CAST(turn AS STRING) WHEN role = 'assistant' THEN CASE WHEN turn % 4 = 1 THEN '否认' ELSE '否认? 确认' END ELSE 'yes, no doubt' END AS vote, turn FROM {conversations}",
     "claims": """
 SELECT l.doc_id, CAST(1 + (l.doc_id * 7 + l.quality) % 12 AS INT) AS line, CASE WHEN l.toxic = 1 THEN 'moron' ELSE 'the' END AS name
 FROM {labels} l""",

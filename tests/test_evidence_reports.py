@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -52,18 +53,34 @@ def test_contradictions(spark):
 
 
 def test_votes_and_constraints(spark):
-    v = spark.createDataFrame([(1, "Yes"), (1, "no"), (1, "yes!"), (2, "yes"), (2, "no"), (3, "no")], "claim_id int, vote string")
-    assert {r.claim_id: r.status for r in evidence.voted(v).collect()} == {1: "PASSED", 2: "PENDING", 3: "REJECTED"}
+    v = spark.createDataFrame([(1, "我确认"), (1, "否认"), (1, "先否认后确认"), (2, "确认"), (2, "否认"), (3, "否认"), (4, "yes, no doubt"), (4, None)], "claim_id int, vote string")
+    assert {r.claim_id: (r.yes, r.no, r.status) for r in evidence.voted(v).collect()} == {1: (2, 1, "PASSED"), 2: (1, 1, "PENDING"), 3: (0, 1, "REJECTED"), 4: (0, 0, "PENDING")}
+    assert {r.claim_id: r.status for r in evidence.voted(v, "yes", "no").collect()}[4] == "PASSED"
     c = spark.createDataFrame([("Foo.bar(x) is called",), ("Foo.baz() too",), ("nothing",)], "claim string")
     assert [r.status for r in evidence.constraint_checked(c, ["must call Foo.bar() first"]).collect()] == ["PASSED", "REJECTED", "PENDING"]
 
 
-def test_json_repair():
+def test_json_repair(spark):
     assert json.loads(reports.repaired('{"a": "x\ny"}')) == {"a": "x\ny"}
     assert json.loads(reports.repaired('{"a": "say "hi" now", "b": 1}')) == {"a": 'say "hi" now', "b": 1}
-    assert json.loads(reports.repaired('{"a": [1, 2, {"b": "c')) is not None
-    assert reports.repaired(None) is None
+    assert reports.repaired('{"m":[{"a":1},{"b":2,"c":3') == '{"m":[{"a":1}]}'
+    assert reports.repaired('{"a":{"b":1},"c":"cut of') == '{"a":{"b":1}}'
+    assert reports.repaired('{"a": {"k": "}"}, "b": [1, {"c": "d"') == '{"a": {"k": "}"}}'
+    assert reports.repaired('{"a": "x\ty", "m": [{"n": "say "hi" now"}, {"o": "p') == '{"a": "x\\ty", "m": [{"n": "say \\"hi\\" now"}]}'
+    for same in ("no json", "12", '"text"', "", "  ", '{"a": ', None, '{"a": [1, 2], "b": }'):
+        assert reports.repaired(same) == same
     assert list(reports.objects_in('x {"a": 1} y {"b": 2} {')) == [{"a": 1}, {"b": 2}]
+    began = time.perf_counter()
+    reports.repaired('{"m": [' + '{"a": "x "q" y", "n": {"b": "c"}}, ' * 100_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_json_escapes(spark):
+    from factlake.functions import columns
+
+    text = 'a"b\\c\nd\re\tf' + "".join(map(chr, (1, 8, 12, 31))) + "é/😀"
+    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(columns.json_escaped(F.col("t")).alias("e")).collect()
+    assert [x.e for x in got] == ['a\\"b\\\\c\\nd\\re\\tf\\u0001\\u0008\\u000c\\u001fé/😀', "", ""]
 
 
 def test_reports(spark):

