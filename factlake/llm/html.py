@@ -3,13 +3,13 @@
 Markup is stripped, with the elements that are page furniture by their kind or name, and every other block
 element's text becomes a line. A line weighs as much as it has text outside links. The weights are summed over
 sliding windows of WINDOW lines, the blocks. Where a block first reaches SHARE of the page's own typical block
-(the mean of block sums, weighted by themselves) the text surges, where the last such block ends it dives, and
+(the median of the blocks that have any text) the text surges, where the last such block ends it dives, and
 all between is kept, short lines and lines of links too. Only windows without any text of their own, which are lists
-of links, go.
+of links outside marked articles, go. So blocks find the text on every page.
 
-Blocks reach up to WINDOW - 1 lines beyond the text. Ties at the edges are broken by markup: if most of the text found is
-in headings, paragraphs and the like, the text ends where these end, and else at the first and last line that weighs a
-block's share. Where the page marks articles, those that hold a block that heavy are kept whole, and nothing outside.
+A block covers up to WINDOW - 1 lines beside the text, so an edge may be moved by fewer than WINDOW lines, and only there markup decides:
+to the edge of a marked article, or else of the headings and paragraphs that the text is in; without either, lines lighter
+than a block's share are left out.
 
 Furniture is told by element (navigation, footers, forms, scripts, ...) and by the words of class, id and
 role. Unclosed and crossed elements end where their parent ends; a page cut off in a tag ends there.
@@ -72,6 +72,10 @@ class Line:
         #: article: the number of the article that holds the line, from 1, or 0
         self.furniture, self.article, self.tag = furniture, article, tag
 
+    @property
+    def written(self) -> bool:
+        return self.tag in HEADINGS or self.tag in PARAGRAPHS
+
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
@@ -183,30 +187,43 @@ def covered(blocks: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
+def moved(lines: list[Line], weights: np.ndarray, edge: int, window: int, light: float, step: int) -> int:
+    """The first (step 1) or last (step -1) line of the text, less than a window away from the line where blocks put it.
+
+    Markup that lies within that reach decides: the edge of a marked article, or else of the headings and paragraphs that the text is in; else
+    lines lighter than `light` are left out.
+    """
+    n = len(lines)
+    reach = [i for i in range(edge - step * (window - 1), edge + step * window, step) if 0 <= i < n]  # from outside to inside
+    article = lines[edge].article or next((lines[i].article for i in reach[reach.index(edge) :] if lines[i].article), 0)
+    if article:
+        return next(i for i in reach if lines[i].article == article)
+    written = [lines[i].written for i in reach]
+    at = reach.index(edge)
+    text = [x and w > 0 for x, w in zip(written, weights[reach])]
+    if 2 * sum(weights[i] for i, x in zip(reach[at:], written[at:]) if x) > sum(weights[i] for i in reach[at:]):
+        at = text.index(True, at)
+        while any(text[:at]) and written[at - 1]:  # lines of links stay only between lines of text
+            at -= 1
+        return reach[at]
+    return next((i for i in reach[at:] if weights[i] >= light), edge)
+
+
 def kept_lines(lines: list[Line], window: int = WINDOW, share: float = SHARE) -> list[Line]:
     """The lines of the main text, by the distribution of their blocks."""
     lines = [x for x in lines if x.chars and not x.furniture]
     weights = np.array([x.chars - x.linked for x in lines], np.int64)
     if not weights.any():
         return [x for x in lines if x.article]
+    n, window = len(lines), min(window, len(lines))
     sums = block_sums(weights, window)
-    least = max(1.0, share * float((sums.astype(float) ** 2).sum()) / float(sums.sum()))
-    on = covered(sums >= least, len(lines), window)
-    heavy = weights * min(window, len(lines)) >= least
-    holds = {x.article for x, o in zip(lines, on & (weights > 0)) if o and x.article}
-    dense = {k for k in holds if block_sums(np.array([w for x, w in zip(lines, weights) if x.article == k]), window).max() >= least}
-    if holds:
-        return [x for x in lines if x.article in (dense or holds)]
-    first, last = np.flatnonzero(on)[[0, -1]]
-    written = (weights > 0) & np.array([x.tag in HEADINGS or x.tag in PARAGRAPHS for x in lines])
-    if 2 * weights[first : last + 1][written[first : last + 1]].sum() > weights[first : last + 1].sum():
-        first, last = first + np.flatnonzero(written[first : last + 1])[[0, -1]]
-        first = np.flatnonzero(~written[:first])[-1:].sum() + 1 if not written[:first].all() else 0
-        last = last + np.flatnonzero(~np.append(written[last + 1 :], False))[0]
-    elif (heavy & on).any():
-        first, last = np.flatnonzero(heavy & on)[[0, -1]]
-    links = covered(sums == 0, len(lines), window)
-    return [lines[i] for i in range(first, last + 1) if not links[i]]
+    least = max(1.0, share * float(np.median(sums[sums > 0])))
+    surge, dive = np.flatnonzero(sums >= least)[[0, -1]]
+    some = np.flatnonzero(weights)
+    first, last = some[np.searchsorted(some, surge)], some[np.searchsorted(some, dive + window) - 1]
+    first, last = moved(lines, weights, int(first), window, least / window, 1), moved(lines, weights, int(last), window, least / window, -1)
+    links = covered(sums == 0, n, window)
+    return [lines[i] for i in range(first, last + 1) if lines[i].article or not links[i]]
 
 
 def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:

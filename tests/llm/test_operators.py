@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -644,3 +645,45 @@ def test_columns_of_any_name_are_kept(spark, docs):
         assert query.count() >= docs.count()
     for empty in (langid.identified(wide.limit(0)), jaccard.deduplicated(wide.limit(0)), decontaminate.decontaminated(wide.limit(0), bench), secrets.without_secrets(wide.limit(0))):
         assert empty.columns == wide.columns and empty.count() == 0
+
+
+def test_html_blocks_decide_where_the_text_is():
+    """The window changes what is found; edges move by less than a window; without any marks most lines are still found."""
+    r = random.Random(9)
+    line = lambda k: " ".join(r.choice(WORDS) for _ in range(k))
+    hit = miss = wrong = changed = 0
+    for _ in range(60):
+        text = [line(5), *[line(r.choice((30, 60, 9))) for _ in range(r.randrange(5, 12))], line(3)]
+        links = "".join(f"<div><a href=x>{line(2)}</a></div>" for _ in range(8))
+        plain = f"<body>{links}<div>{line(3)}</div>{''.join(f'<div>{t}</div>' for t in text)}{links}<div>{line(2)}</div></body>"
+        got = html.main_text(plain).split("\n\n")
+        both = sum((collections.Counter(got) & collections.Counter(text)).values())
+        hit, miss, wrong = hit + both, miss + len(text) - both, wrong + len(got) - both
+        marked = f"<body>{links}<article>{''.join(f'<p>{t}</p>' for t in text)}</article>{links}</body>"
+        assert html.main_text(marked) == "\n\n".join(text)
+        changed += html.main_text(marked, window=1) != html.main_text(marked)
+    assert 2 * hit / (2 * hit + miss + wrong) >= 0.9 and changed > 10
+    long = " ".join(WORDS * 3)
+    far = "<article>" + "<p>Hm.</p>" * 9 + f"<p>{long}</p>" * 9 + "</article>"
+    assert html.main_text(far).count("Hm.") == 2 * (html.WINDOW - 1) and html.main_text(far, window=3).count("Hm.") == 4
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/pages.parquet"), reason="no pages")
+def test_html_on_given_pages():
+    """Marks taken out step by step: articles, names, all elements' kinds."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    full = [html.main_text(p) for p in pages]
+    assert sum(html.main_text(p, window=1) != t for p, t in zip(pages, full)) > 50
+    bare = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in pages]
+    assert [html.main_text(p) for p in bare] == full
+    bare = [re.sub(r"""\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", p) for p in bare]
+    assert sum(html.main_text(p) == t for p, t in zip(bare, full)) >= 0.99 * len(full)
+    kinds = "address|aside|blockquote|dd|dialog|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|li|menu|nav|ol|p|pre|section|summary|ul|button|label"
+    counts = [0, 0, 0]
+    for p, t in zip(bare, full):
+        got, want = (collections.Counter(x.split("\n\n")) for x in (html.main_text(re.sub(rf"<(/?)({kinds})\b[^>]*>", r"<\1div>", p)), t))
+        both = sum((got & want).values())
+        counts = [a + b for a, b in zip(counts, (both, sum(got.values()), sum(want.values())))]
+    assert 2 * counts[0] / (counts[1] + counts[2]) >= 0.9
