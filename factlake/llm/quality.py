@@ -1,8 +1,8 @@
 """Quality classification by co-training two views of a document.
 
-The content view sees the words of the text, the metadata view its source, language and layout (length,
-lines, letters' case, marks, repetition). Each view has a naive Bayes model of hashed features, whose
-shrunken log-odds give a document three numbers; a logistic curve, fitted on labelled documents that the
+The content view sees the text: its words, and its layout (length, lines, letters' case, marks, repetition). The metadata view sees the
+other columns only: source, language and n_chars. Features of words, layout and metadata each have naive Bayes models of hashed features, whose
+shrunken log-odds give a document three numbers for each; a logistic curve for each view, fitted on labelled documents that the
 counts have not seen, turns them into a probability. In each round a view counts, besides the labelled
 documents, those that the other view is confident about. At last both views' calibrated log-odds are
 combined by a further fitted curve, and every document is scored.
@@ -10,14 +10,14 @@ combined by a further fitted curve, and every document is scored.
 A document's feature numbers are kept as sorted differences of one to three bytes, so that they are a small part of its text;
 only they meet the labels, by one sort-merge join. A round is one narrow pass over them: it labels by the last round's models
 and counts both views. Feature counts are taken over all labelled and pseudo-labelled documents but those held back; a model
-is two tables of at most FEATURES numbers for each view. The curves are fitted on a bounded sample, and only it is held back: of a third
-of the labelled documents, the CALIBRATION_ROWS with the smallest hash of doc_id.
+is two tables of at most FEATURES numbers for each part of a view. The curves are fitted on a bounded sample, and only it is held back: of a third
+of the labelled documents, the CALIBRATION_ROWS with the smallest hash of doc_id, each once.
 
 Two targets run side by side: `quality` and `toxic`; a document is kept if it is good and not toxic.
 
 Defined results: a null text is the empty one, null metadata is a value of its own; several labels of one
 doc_id count as their mean, half or more as 1; labels of unknown documents and null labels are ignored; without
-labels of both classes a target has score 0.5 everywhere, and then decides nothing; repeated rows are all
+labels of both classes a target has score 0.5 everywhere, and then decides nothing; repeated rows are all counted and
 scored; an empty table gives no rows; further columns are ignored.
 """
 
@@ -43,7 +43,9 @@ CONFIDENT = 0.98
 #: pseudo-count with which a feature's log-odds shrink towards none
 SHRINK = 8.0
 TARGETS = ("quality", "toxic")
-VIEWS = ("content", "meta")
+#: each view's parts, whose features are counted apart
+VIEWS = {"content": ("words", "layout"), "meta": ("meta",)}
+PARTS = tuple(p for parts in VIEWS.values() for p in parts)
 
 
 def packed(flat: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -114,25 +116,27 @@ def _rows(row: np.ndarray, feature: np.ndarray, n: int) -> pa.Array:
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """doc_id and both views' packed feature numbers of every document."""
+    """doc_id and the packed feature numbers of every document's parts."""
     kind = documents.select("doc_id").schema.fields[0].dataType.simpleString()
-    given = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+    given = documents.select("doc_id", *[F.col(c).cast(t).alias(c) for c, t in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "double"))])
 
     @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            source, lang, size = (batch.column(c).to_pylist() for c in ("source", "lang", "n_chars"))
             for row, data, off in chunks(batch.column(1)):
                 h, at = words(data, off, ALNUM)
                 n = len(off) - 1
-                meta = []
+                layout, meta = [], []
                 for i in range(n):
-                    named = [("source", source[row + i]), ("lang", lang[row + i]), *_layout(data[off[i] : off[i + 1]], h[at[i] : at[i + 1]])]
-                    meta += [_hashed(k, v) for k, v in named]
-                arrays = [batch.column(0).slice(row, n), _rows(np.repeat(np.arange(n), np.diff(at)), (h >> np.uint64(46)).astype(np.int64), n), _rows(np.repeat(np.arange(n), len(meta) // n), np.array(meta), n)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "content", "meta"])
+                    layout += [_hashed(k, v) for k, v in _layout(data[off[i] : off[i + 1]], h[at[i] : at[i + 1]])]
+                    long = None if size[row + i] is None else int(2 * np.log2(max(0.0, size[row + i]) + 1))
+                    meta += [_hashed(k, v) for k, v in (("source", source[row + i]), ("lang", lang[row + i]), ("n_chars", long))]
+                several = [_rows(np.repeat(np.arange(n), len(x) // n), np.array(x), n) for x in (layout, meta)]
+                arrays = [batch.column(0).slice(row, n), _rows(np.repeat(np.arange(n), np.diff(at)), (h >> np.uint64(46)).astype(np.int64), n), *several]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *PARTS])
 
-    return given.mapInArrow(scan, f"doc_id {kind}, content binary, meta binary")
+    return given.mapInArrow(scan, f"doc_id {kind}, " + ", ".join(f"{p} binary" for p in PARTS))
 
 
 class Curve(NamedTuple):
@@ -165,11 +169,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Curve:
 
 
 class Model(NamedTuple):
-    """One view's classifier for one target."""
+    """One view's classifier for one target: the log-odds of its parts' features, and the curve over what they tell."""
 
-    log_odds: np.ndarray
+    log_odds: tuple[np.ndarray, ...]
     curve: Curve | None
 
+    def told(self, listed: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return np.column_stack([told(lo, *x) for lo, x in zip(self.log_odds, listed)])
+
 
 def told(log_odds: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each row's features: the scaled sum of log-odds and the means of the three highest and lowest."""
@@ -184,8 +191,13 @@ def told(log_odds: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.column_stack((of(at[:-1], at[1:]) / np.sqrt(some), of(at[1:] - three, at[1:]) / np.maximum(three, 1), of(at[:-1], at[:-1] + three) / np.maximum(three, 1)))
 
 
+def _listed(batch: pa.RecordBatch) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+    """Each view's features, part by part."""
+    return {v: [unpacked(batch.column(p)) for p in parts] for v, parts in VIEWS.items()}
+
+
 def _with_told(table: DataFrame, models: dict[tuple[str, str], Model], keep: list[str]) -> DataFrame:
-    """`keep` columns and, for each view and target, the three numbers (no curve yet) or the calibrated log-odds."""
+    """`keep` columns and, for each view and target, the numbers told (no curve yet) or the calibrated log-odds."""
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in table.select(*keep).schema.fields]
     names = [f"{v}_{t}" for v, t in models]
     raw = any(m.curve is None for m in models.values())
@@ -194,60 +206,60 @@ def _with_told(table: DataFrame, models: dict[tuple[str, str], Model], keep: lis
     @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = {v: unpacked(batch.column(v)) for v in VIEWS}
+            listed = _listed(batch)
             arrays = [batch.column(c) for c in keep]
             for (v, _), m in models.items():
-                x = told(m.log_odds, *listed[v])
+                x = m.told(listed[v])
                 arrays.append(pa.array(list(x), pa.list_(pa.float64())) if m.curve is None else pa.array(m.curve.logit(x)))
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
-    return table.select(*dict.fromkeys([*VIEWS, *keep])).mapInArrow(scan, ", ".join(fields))
+    return table.select(*dict.fromkeys([*PARTS, *keep])).mapInArrow(scan, ", ".join(fields))
 
 
 #: the place where the number of labelled rows is counted, behind all features
 _ALL = FEATURES
 
 
-def _counted(table: DataFrame, models: dict[tuple[str, str], Model]) -> dict[tuple[str, str], np.ndarray]:
+def _counted(table: DataFrame, models: dict[tuple[str, str], Model]) -> dict[tuple[str, str], tuple[np.ndarray, ...]]:
     """Shrunken log-odds by view and target, from the rows with fold 0, in one pass.
 
     A row's label counts for both views; without one, a view counts what the other one is confident about. A
-    task sends on at most FEATURES rows a view.
+    task sends on at most FEATURES rows for each part.
     """
     sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
 
     @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {(v, t, y): np.zeros(FEATURES + 1, np.int64) for v in VIEWS for t in TARGETS for y in (0, 1)}
+        sums = {(p, t, y): np.zeros(FEATURES + 1, np.int64) for p in PARTS for t in TARGETS for y in (0, 1)}
         for batch in batches:
-            listed = {v: unpacked(batch.column(v)) for v in VIEWS}
-            for v, other in zip(VIEWS, VIEWS[::-1]):
-                flat, at = listed[v]
-                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            listed = _listed(batch)
+            for v, other in zip(VIEWS, reversed(VIEWS)):
                 for t in TARGETS:
                     y = batch.column(t).to_numpy()
                     if models:
-                        z = models[other, t].curve.logit(told(models[other, t].log_odds, *listed[other]))
+                        z = models[other, t].curve.logit(models[other, t].told(listed[other]))
                         y = np.where(y >= 0, y, np.where(z > sure, 1, np.where(z < -sure, 0, -1)))
-                    for k in (0, 1):
-                        sums[v, t, k] += np.bincount(flat[y[row] == k], minlength=FEATURES + 1)
-                        sums[v, t, k][_ALL] += int((y == k).sum())
-        for i, v in enumerate(VIEWS):
-            columns = [sums[v, t, k] for t in TARGETS for k in (0, 1)]
+                    for p, (flat, at) in zip(VIEWS[v], listed[v]):
+                        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                        for k in (0, 1):
+                            sums[p, t, k] += np.bincount(flat[y[row] == k], minlength=FEATURES + 1)
+                            sums[p, t, k][_ALL] += int((y == k).sum())
+        for i, p in enumerate(PARTS):
+            columns = [sums[p, t, k] for t in TARGETS for k in (0, 1)]
             at = np.flatnonzero(sum(columns))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), *(pa.array(c[at]) for c in columns)], names=["v", "f", *marks])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), *(pa.array(c[at]) for c in columns)], names=["p", "f", *marks])
 
     marks = [f"{t}{k}" for t in TARGETS for k in (0, 1)]
-    rows = table.filter("fold = 0").select(*VIEWS, *TARGETS).mapInArrow(scan, ", ".join(["v int", "f long", *[f"{m} long" for m in marks]]))
-    found = rows.groupBy("v", "f").agg(*[F.sum(m).alias(m) for m in marks]).toArrow()
-    out = {}
-    for i, v in enumerate(VIEWS):
-        own = found.filter(pa.compute.equal(found["v"], i))
+    rows = table.filter("fold = 0").select(*PARTS, *TARGETS).mapInArrow(scan, ", ".join(["p int", "f long", *[f"{m} long" for m in marks]]))
+    found = rows.groupBy("p", "f").agg(*[F.sum(m).alias(m) for m in marks]).toArrow()
+    odds = {}
+    for i, p in enumerate(PARTS):
+        own = found.filter(pa.compute.equal(found["p"], i))
         for t in TARGETS:
             zero, one = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
             zero[own["f"].to_numpy()], one[own["f"].to_numpy()] = own[f"{t}0"].to_numpy(), own[f"{t}1"].to_numpy()
-            out[v, t] = shrunken(zero[:_ALL], one[:_ALL], zero[_ALL], one[_ALL])
-    return out
+            odds[p, t] = shrunken(zero[:_ALL], one[:_ALL], zero[_ALL], one[_ALL])
+    return {(v, t): tuple(odds[p, t] for p in parts) for v, parts in VIEWS.items() for t in TARGETS}
 
 
 def shrunken(zero: np.ndarray, one: np.ndarray, n0: float, n1: float) -> np.ndarray:
@@ -266,14 +278,15 @@ def trained(table: DataFrame, rounds: int = ROUNDS) -> tuple[dict[tuple[str, str
     edge = chosen.agg(F.max("h")).first()[0]
     # only the rows chosen are kept back; all other labelled ones are counted
     table = table.withColumn("fold", F.when((F.col("fold") == 1) & (F.xxhash64("doc_id") <= F.lit(edge).cast("long")), 1).otherwise(0))
-    held = cut(table.filter("fold = 1").select("content", "meta", *TARGETS), "calibration")
+    # a document that is there many times is held once
+    held = cut(table.filter("fold = 1").select("doc_id", *PARTS, *TARGETS).dropDuplicates(["doc_id"]).drop("doc_id"), "calibration")
     models: dict[tuple[str, str], Model] = {}
     for _ in range(rounds + 1):
         fresh = {key: Model(lo, None) for key, lo in _counted(table, models).items()}
         sample = _with_told(held, fresh, list(TARGETS)).toArrow()
         for (v, t), m in fresh.items():
             y = sample[t].to_numpy()
-            x = np.array(sample[f"{v}_{t}"].to_pylist()).reshape(-1, 3)[y >= 0]
+            x = np.array(sample[f"{v}_{t}"].to_pylist()).reshape(-1, 3 * len(VIEWS[v]))[y >= 0]
             models[v, t] = Model(m.log_odds, fit_curve(x, y[y >= 0].astype(float)))
     last = _with_told(held, models, list(TARGETS)).toArrow()
     combined = {}

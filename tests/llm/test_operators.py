@@ -596,35 +596,52 @@ def test_co_training_counts_by_brute_force(spark):
     df = spark.createDataFrame(rows, DOC)
     labels = F.when(F.col("doc_id") < 60, (F.col("doc_id") % 2).cast("int")).otherwise(-1)
     table = quality.features(df).withColumns({"quality": labels, "toxic": F.lit(-1), "fold": (F.col("doc_id") % 10 == 0).cast("int")}).cache()
-    held = {x.doc_id: (quality.unpacked(pa.array([x.content], pa.binary()))[0], quality.unpacked(pa.array([x.meta], pa.binary()))[0], x.quality, x.fold) for x in rows_of(table)}
+    held = {x.doc_id: ({p: quality.unpacked(pa.array([x[p]], pa.binary()))[0] for p in quality.PARTS}, x.quality, x.fold) for x in rows_of(table)}
 
-    def by_hand(view, label):
+    def by_hand(part, label):
         zero, one, n = np.zeros(quality.FEATURES), np.zeros(quality.FEATURES), [0, 0]
-        for i, (content, meta, y, fold) in held.items():
+        for i, (parts, y, fold) in held.items():
             y = label(i, y)
             if fold or y < 0:
                 continue
             n[y] += 1
-            (one if y else zero)[content if view == "content" else meta] += 1
+            (one if y else zero)[parts[part]] += 1
         return quality.shrunken(zero, one, *n)
 
     first = quality._counted(table, {})
-    for v in quality.VIEWS:
-        assert np.allclose(first[v, "quality"], by_hand(v, lambda i, y: y)) and not first[v, "toxic"].any()
-    flat_ = quality.Curve(np.zeros(4), np.zeros(3), np.ones(3))
-    steep = quality.Curve(np.array([0.0, 9.0, 0, 0]), np.zeros(3), np.ones(3))
-    models = {(v, t): quality.Model(first[v, t], steep if t == "quality" else flat_) for v in quality.VIEWS for t in quality.TARGETS}
+    for v, parts in quality.VIEWS.items():
+        assert all(np.allclose(odds, by_hand(p, lambda i, y: y)) for p, odds in zip(parts, first[v, "quality"])) and not np.any(first[v, "toxic"])
+    numbers = {v: 3 * len(parts) for v, parts in quality.VIEWS.items()}
+    flat_ = {v: quality.Curve(np.zeros(n + 1), np.zeros(n), np.ones(n)) for v, n in numbers.items()}
+    steep = {v: quality.Curve(np.array([0.0, 9.0] + [0.0] * (n - 1)), np.zeros(n), np.ones(n)) for v, n in numbers.items()}
+    models = {(v, t): quality.Model(first[v, t], (steep if t == "quality" else flat_)[v]) for v in quality.VIEWS for t in quality.TARGETS}
     sure = math.log(quality.CONFIDENT / (1 - quality.CONFIDENT))
     second = quality._counted(table, models)
-    for k, (v, other) in enumerate(zip(quality.VIEWS, quality.VIEWS[::-1])):
+    for v, other in zip(quality.VIEWS, reversed(quality.VIEWS)):
 
         def label(i, y):
-            own = held[i][1 - k]
-            z = 9.0 * first[other, "quality"][own].sum() / math.sqrt(len(own))
+            own = held[i][0][quality.VIEWS[other][0]]
+            z = 9.0 * first[other, "quality"][0][own].sum() / math.sqrt(len(own))
             return y if y >= 0 else 1 if z > sure else 0 if z < -sure else -1
 
-        assert any(y < 0 and label(i, y) >= 0 for i, (_, _, y, _) in held.items())
-        assert np.allclose(second[v, "quality"], by_hand(v, label))
+        assert any(y < 0 and label(i, y) >= 0 for i, (_, y, _) in held.items())
+        assert all(np.allclose(odds, by_hand(p, label)) for p, odds in zip(quality.VIEWS[v], second[v, "quality"]))
+
+
+def test_a_labelled_document_that_is_there_many_times(spark, monkeypatch):
+    """Its repeats are counted and scored, but come to the driver once."""
+    ready(spark)
+    rows = spark.range(100_400).select(F.when(F.col("id") < 100_000, 7).otherwise(F.col("id") - 100_000).alias("doc_id"))
+    words_of = F.when(F.col("doc_id") % 2 == 0, "spam buy cheap").otherwise("calm clear useful")
+    df = rows.select("doc_id", words_of.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(None).cast("long").alias("n_chars"))
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    held, cut = [], quality.cut
+    monkeypatch.setattr(quality, "cut", lambda df, name: held.append((name, out := cut(df, name))) or out)
+    monkeypatch.setattr(quality, "drop", lambda df: None)
+    out = quality.scored(df, labels, rounds=1)
+    assert dict(held)["calibration"].count() <= 300
+    assert out.filter("doc_id = 7").count() == 100_001 and out.filter("doc_id = 7").select("quality").distinct().count() == 1
+    assert out.filter("quality <> doc_id % 2").count() == 0
 
 
 CLASHES = "score lang_pred margin rejected told items n_words n_hit n_items hit_words longest spans secret_spans address blob _address _gone gone node n grp component_id n_shingles root doc_id_ _own0 _own1 h value Text_".split()
