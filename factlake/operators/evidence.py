@@ -227,9 +227,26 @@ def mentioned_methods(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(\w+\.\w+)\([^)]*\)"), F.lit(1)), lambda x: F.concat(x, F.lit("()")))
 
 
-def constraint_checked(claims: DataFrame, constraints: list[str]) -> DataFrame:
-    """Whether every method that a claim names stands in some constraint; claims without one are PENDING."""
-    m = mentioned_methods(F.col("claim"))
-    known = F.array(*[F.lit(c) for c in constraints]).cast("array<string>")
-    ok = F.forall(m, lambda x: F.exists(known, lambda c: c.contains(x)))
-    return claims.withColumn("status", F.when(F.size(m) == 0, "PENDING").when(ok, "PASSED").otherwise("REJECTED"))
+def named_in(constraints: DataFrame) -> DataFrame:
+    """The `Class.method()` that stand in constraints (column `constraint`), as column `named`: with the class in full, and with
+    each end of its name, as a mention need not begin where the name does."""
+    words = constraints.select(F.explode(F.regexp_extract_all("constraint", F.lit(r"(\w+\.\w+\(\))"), F.lit(0))).alias("w")).distinct()
+    ends = F.transform(F.sequence(F.lit(1), F.instr("w", ".") - 1), lambda i: F.expr("w").substr(i, F.length("w")))
+    return words.select(F.explode(ends).alias("named")).distinct()
+
+
+def constraint_checked(claims: DataFrame, constraints: DataFrame | list[str]) -> DataFrame:
+    """Whether every method that a claim names stands in some constraint; claims without one are PENDING.
+
+    Constraints are a table (column `constraint`) of any size, or a list. Mentions and the names in constraints meet in one join
+    on the name; claims of equal text are judged once.
+    """
+    if isinstance(constraints, list):
+        constraints = claims.sparkSession.createDataFrame([(c,) for c in constraints], "constraint string")
+    each = claims.select("claim").distinct().select("claim", F.explode_outer(mentioned_methods(F.col("claim"))).alias("named"))
+    known = named_in(constraints).withColumn("known", F.lit(1))
+    judged = each.join(known, "named", "left").groupBy("claim").agg(F.count("named").alias("_n"), F.count("known").alias("_known"))
+    judged = judged.withColumnRenamed("claim", "_claim")
+    out = claims.join(judged, F.col("claim").eqNullSafe(F.col("_claim")), "left")
+    status = F.when(F.col("_n") == 0, "PENDING").when(F.col("_n") == F.col("_known"), "PASSED").otherwise("REJECTED")
+    return out.withColumn("status", status).drop("_claim", "_n", "_known")

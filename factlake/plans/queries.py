@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.functions import columns as c
-from factlake.operators import evidence, facts, impact, reports, sqltext, stores
+from factlake.operators import evidence, facts, impact, indexes, reports, sqltext, stores
 from factlake.session import shared_folder
 from factlake.sources.views import TABLES, view, with_sql
 
@@ -489,3 +489,51 @@ def _(s, d):
 def _(s, d):
     m = F.col("o_orderstatus")
     return evidence.status_summary(_t(s, d, "orders").select(F.when(m == "F", "PASSED").when(m == "O", "REJECTED").when(m == "P", "PENDING").otherwise("OTHER").alias("status")))
+
+
+#: after some files were read again: their lines have moved, their terms are called otherwise
+_REREAD = "file_path LIKE '%/F1%'"
+_MOVED = f"""now AS (SELECT * FROM code_terms WHERE NOT {_REREAD} UNION ALL SELECT replace(replace(term, 'Svc1', 'Task1'), 'steel', 'Promo_tin'), term_type, file_path, line_number + 1 FROM code_terms WHERE {_REREAD})"""
+
+
+@_query("p2_p3_t6_trigram_index", f""", {_MOVED}
+SELECT 'end' AS how, * FROM now WHERE lower(term) LIKE '%.promo_burnished_tin' UNION ALL SELECT 'start', * FROM now WHERE lower(term) LIKE 'svc1%'
+UNION ALL SELECT 'anywhere', * FROM now WHERE contains(lower(term), 'promo') UNION ALL SELECT 'short', * FROM now WHERE contains(lower(term), 'k1') UNION ALL SELECT 'none', * FROM now WHERE contains(lower(term), 'promo steel')""", ("code_terms",))
+def _(s, d):
+    terms = _t(s, d, "code_terms")
+    old = terms.filter(_REREAD)
+    fresh = old.withColumns({"term": F.expr("replace(replace(term, 'Svc1', 'Task1'), 'steel', 'Promo_tin')"), "line_number": F.col("line_number") + 1})
+    index = indexes.with_files(indexes.term_index(terms, 16), old, fresh)
+    asked = {"end": (".PROMO_burnished_tin", "end"), "start": ("SVC1", "start"), "anywhere": ("Promo", "anywhere"), "short": ("K1", "anywhere"), "none": ("promo steel", "anywhere")}
+    parts = [indexes.matching(index, *a).select(F.lit(how).alias("how"), *terms.columns) for how, a in asked.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_NOW_OPS = "now AS (SELECT * FROM db_operations WHERE source_file NOT LIKE '%7.xml' UNION ALL SELECT mapper_interface, method_name, sql_type, replace(table_name, 'Brand#1', 'Brand#9') AS table_name, fields_csv, xml_line, source_file FROM db_operations WHERE source_file LIKE '%7.xml' AND sql_type <> 'UPDATE')"
+
+
+@_query("a1_r8_maintained_counts", f""", {_NOW_OPS}, k AS (SELECT table_name, sql_type, count(*) AS operations, count(DISTINCT mapper_interface) AS mappers FROM now GROUP BY ALL),
+t AS (SELECT table_name, count(DISTINCT mapper_interface) AS n, count(DISTINCT array_to_string(string_split(mapper_interface, '.')[1:3], '.')) AS modules FROM now GROUP BY ALL)
+SELECT k.*, max(mappers) OVER (PARTITION BY table_name) AS mappers_max, n AS mappers_distinct, CASE WHEN modules >= 3 THEN modules END AS modules FROM k JOIN t USING (table_name)""", ("db_operations",))
+def _(s, d):
+    ops = _t(s, d, "db_operations")
+    old = ops.filter("source_file LIKE '%7.xml'")
+    fresh = old.filter("sql_type <> 'UPDATE'").withColumn("table_name", F.expr("replace(table_name, 'Brand#1', 'Brand#9')"))
+    counts = indexes.with_operations(indexes.operation_counts(ops, 16), old, fresh).rows()
+    return indexes.stats_of(counts).join(facts.shared_tables(counts).select("table_name", "modules"), "table_name", "left")
+
+
+@_query("p9_p10_j3_edge_store", f""", one AS (SELECT 'called' AS how, {_CALL} FROM call_edges WHERE callee_class = 'com.p2.C7' AND callee_method = 'm1' UNION ALL SELECT 'calls', {_CALL} FROM call_edges WHERE caller_class = 'com.p2.C7' AND caller_method = 'm1'),
+hop AS (SELECT DISTINCT b.caller_class, b.caller_method FROM call_edges a JOIN call_edges b ON b.callee_class = a.caller_class AND b.callee_method = a.caller_method)
+SELECT * FROM one UNION ALL SELECT 'hop', caller_class, caller_method, '', '', '', '', 0 FROM hop""", ("call_edges",))
+def _(s, d):
+    store = indexes.edge_store(_t(s, d, "call_edges"))
+    called = facts.calls_by(store.calls("callee", "com.p2.C7", "m1"), "callee", "com.p2.C7", "m1").select(F.lit("called").alias("how"), *_CALLS)
+    calls = facts.calls_by(store.calls("caller", "com.p2.C7", "m1"), "caller", "com.p2.C7", "m1").select(F.lit("calls").alias("how"), *_CALLS)
+    nodes = store.by_caller.select(F.col("caller_class").alias("callee_class"), F.col("caller_method").alias("callee_method")).distinct()
+    hop = store.by_callee.join(nodes, ["callee_class", "callee_method"], "left_semi").select("caller_class", "caller_method").distinct()
+    rest = {"callee_class": F.lit(""), "callee_method": F.lit(""), "call_type": F.lit(""), "file_path": F.lit(""), "line_number": F.lit(0)}
+    return called.unionByName(calls).unionByName(hop.withColumns({"how": F.lit("hop"), **rest}))

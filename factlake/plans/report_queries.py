@@ -331,11 +331,17 @@ def _(s, d):
     return evidence.cross_verified(claims, verdict).select("doc", "status")
 
 
-@_query("r10_x22_constraints", "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'PASSED' WHEN 1 THEN 'REJECTED' ELSE 'PENDING' END AS status FROM part")
+_RULES = "SELECT 'must call ' || CASE p_size % 3 WHEN 0 THEN 'app.' ELSE '' END || 'Svc' || CAST(p_size AS VARCHAR) || '.run() before Dao.load(x) or Log' || CAST(p_partkey AS VARCHAR) || '.note()' AS rule FROM part"
+_CLAIMS = "SELECT l_orderkey AS k, l_linenumber AS n, CASE l_linenumber % 4 WHEN 0 THEN 'nothing here' WHEN 1 THEN 'vc' || CAST(l_quantity AS INT) || '.run(' || CAST(l_partkey AS VARCHAR) || ') is called' WHEN 2 THEN 'Svc' || CAST(l_suppkey % 60 AS VARCHAR) || '.run(a) and Log' || CAST(l_partkey AS VARCHAR) || '.note()' ELSE 'Dao.load(1)' END AS claim FROM lineitem"
+
+
+@_query("r10_x22_constraints", f"""WITH c AS ({_RULES}), k AS ({_CLAIMS}), m AS (SELECT DISTINCT claim, unnest(regexp_extract_all(claim, '(\\w+\\.\\w+)\\([^)]*\\)', 1)) || '()' AS x FROM k),
+s AS (SELECT DISTINCT x, EXISTS (SELECT 1 FROM c WHERE contains(rule, x)) AS known FROM m), v AS (SELECT claim, bool_and(known) AS ok FROM m JOIN s USING (x) GROUP BY claim)
+SELECT k, n, CASE WHEN ok IS NULL THEN 'PENDING' WHEN ok THEN 'PASSED' ELSE 'REJECTED' END AS status FROM k LEFT JOIN v USING (claim)""")
 def _(s, d):
-    k = F.col("p_partkey")
-    text = F.when(k % 3 == 0, F.concat(F.lit("Svc.run("), k.cast("string"), F.lit(") is called"))).when(k % 3 == 1, "Svc.run(1) and Dao.drop(x)").otherwise("nothing here")
-    return evidence.constraint_checked(_t(s, d, "part").select(k.alias("k"), text.alias("claim")), ["must call Svc.run() first"]).select("k", "status")
+    rules = s.sql(_RULES.replace("VARCHAR", "STRING").replace("FROM part", "FROM {part}"), part=_t(s, d, "part"))
+    claims = s.sql(_CLAIMS.replace("VARCHAR", "STRING").replace("FROM lineitem", "FROM {lineitem}"), lineitem=_t(s, d, "lineitem"))
+    return evidence.constraint_checked(claims, rules.withColumnRenamed("rule", "constraint")).select("k", "n", "status")
 
 
 @_query("r13_executed_tasks", "SELECT p_partkey AS task_id, CASE WHEN p_partkey % 4 = 0 THEN 'CACHED' WHEN p_partkey % 4 = 3 THEN 'SKIPPED' ELSE 'COMPLETED' END AS status, p_partkey % 4 = 0 AS cache_hit, CAST(CASE p_partkey % 4 WHEN 3 THEN 1 ELSE 0 END AS INT) AS retries, CASE p_partkey % 4 WHEN 0 THEN 'known' WHEN 3 THEN NULL ELSE 'done ' || CAST(p_partkey AS VARCHAR) END AS output FROM part")
