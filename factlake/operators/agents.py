@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.functions.columns import basis_of, line_of_name, score_of
+from factlake.functions.columns import basis_of, name_in_line, score_of
 from factlake.operators.evidence import checked_dependencies, overall_confidence
 from factlake.operators.stores import cache_key
 
@@ -56,11 +56,15 @@ def post_validated(claims: DataFrame, src_lines: DataFrame) -> tuple[DataFrame,
     per doc the score, what it rests on and its issues. A claim without a line is looked for in the source first (C12).
     """
     named = claims.filter("target is not null and target <> ''")
-    whole = src_lines.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]).alias("lines"))
     own = F.coalesce(F.col("line").cast("string").try_cast("int"), F.lit(0))
-    placed = named.join(whole, "doc", "left").withColumn("claimed", own)
+    placed = named.withColumn("claimed", own)
     none = F.array().cast("array<string>")
-    placed = placed.withColumn("at", F.when(F.col("claimed") == 0, line_of_name(F.col("target"), F.coalesce("lines", none))).otherwise(F.col("claimed"))).drop("lines")
+    # the first line that has the name, of those claims only that come without one; repeated targets are looked for once
+    asked = placed.filter("claimed = 0").select("doc", "target").distinct()
+    lines = src_lines.select("doc", F.col("line").alias("_text"), F.col("line_number").alias("_n"))
+    first = asked.join(lines, "doc").filter(name_in_line(F.col("target"), F.col("_text"))).groupBy("doc", "target").agg(F.min("_n").cast("int").alias("_first"))
+    placed = placed.join(first, ["doc", "target"], "left")
+    placed = placed.withColumn("at", F.when(F.col("claimed") == 0, F.coalesce("_first", F.lit(0))).otherwise(F.col("claimed"))).drop("_first")
     checked = checked_dependencies(placed.select("doc", "pos", F.col("at").cast("string").alias("line"), F.col("target").alias("name")), src_lines)
     found = placed.join(checked.select("doc", "pos", "passed", "issue"), ["doc", "pos"])
     status = ((F.col("kind") == "CALL") & (F.col("claimed") > 0) & F.coalesce("passed", F.lit(False))).cast("int")

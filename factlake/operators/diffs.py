@@ -1,6 +1,6 @@
-"""Unified diffs to changed files and methods, by windows over lines.
+"""Unified diffs to changed files and methods, by windows over segments of lines.
 
-The input has one row for each diff (diff_id, diff); all lines of a diff are ordered within it, diffs are
+The input has one row for each diff (diff_id, diff), or one for each line of it (diff_id, at, line); diffs are
 independent. Only Java files count, binary ones do not.
 """
 
@@ -20,21 +20,38 @@ METHOD = r"\b(?:public|private|protected|static|final|abstract|synchronized|nati
 TRIVIAL = r"^[+-]\s*(import\s+.*|(//|/\*|\*|\*/).*|)$"
 
 
-def diff_lines(diffs: DataFrame) -> DataFrame:
-    """diff_id, at, line, file (number of the file section, 0 before the first) and hunk (number in the file)."""
-    lines = diffs.select("diff_id", F.posexplode(F.split("diff", "\n", -1)).alias("at", "line"))
-    w = Window.partitionBy("diff_id").orderBy("at")
-    lines = lines.withColumn("file", F.sum(F.col("line").rlike(FILE).cast("int")).over(w))
-    return lines.withColumn("hunk", F.sum(F.col("line").rlike(HUNK).cast("int")).over(Window.partitionBy("diff_id", "file").orderBy("at")))
+#: lines that one window holds
+SEGMENT = 100_000
 
 
-def changed_files(diffs: DataFrame) -> DataFrame:
+def diff_lines(diffs: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """diff_id, at, line, file (number of the file section, 0 before the first) and hunk (number in the file).
+
+    diffs: diff_id and either the whole diff, or one row for each line (at, line), as a diff of any length is read. Lines are numbered within segments; the
+    segments' counts, one row for each, are carried on along the diff and added, so no window holds more than a segment.
+    """
+    if "diff" in diffs.columns:
+        diffs = diffs.select("diff_id", F.posexplode(F.split("diff", "\n", -1)).alias("at", "line"))
+    lines = diffs.select("diff_id", "at", "line", F.floor(F.col("at") / segment).alias("seg"))
+    within = Window.partitionBy("diff_id", "seg").orderBy("at")
+    lines = lines.withColumn("_f", F.sum(F.col("line").rlike(FILE).cast("int")).over(within))
+    lines = lines.withColumn("_h", F.sum(F.col("line").rlike(HUNK).cast("int")).over(Window.partitionBy("diff_id", "seg", "_f").orderBy("at")))
+    # of each segment: its files, and the hunks since the last of them or since its beginning
+    counts = lines.groupBy("diff_id", "seg").agg(F.max("_f").alias("files"), F.max_by("_h", "at").alias("hunks"))
+    along = Window.partitionBy("diff_id").orderBy("seg")
+    counts = counts.withColumn("upto", F.sum("files").over(along)).withColumn("open", F.sum("hunks").over(Window.partitionBy("diff_id", "upto").orderBy("seg")))
+    state = counts.select("diff_id", "seg", (F.col("upto") - F.col("files")).alias("_files"), F.coalesce(F.lag("open").over(along), F.lit(0)).alias("_open"))
+    out = lines.join(state, ["diff_id", "seg"])
+    return out.select("diff_id", "at", "line", (F.col("_files") + F.col("_f")).alias("file"), (F.col("_h") + F.when(F.col("_f") == 0, F.col("_open")).otherwise(0)).alias("hunk"))
+
+
+def changed_files(diffs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """diff_id, file_path, class_name, change_type, significance, changed_methods.
 
     A file whose every changed line is an import, a comment or blank is of LOW significance; one without changed
     lines too. Modified files name at most one method for each hunk: the first declared in it.
     """
-    lines = diff_lines(diffs).filter("file > 0")
+    lines = diff_lines(diffs, segment).filter("file > 0")
     content = (F.col("hunk") > 0) & F.col("line").rlike(r"^[+\- ]") & ~F.col("line").rlike(HUNK)
     header = F.col("hunk") == 0
     named = lambda pattern: F.max(F.when(header, F.col("line").rlike(pattern)))

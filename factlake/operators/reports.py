@@ -298,6 +298,9 @@ def class_summary(reports: DataFrame) -> DataFrame:
 
 def merged_groups(groups: DataFrame) -> DataFrame:
     """Outputs of groups (package, pos, files, classes, methods, risks, entries, text) as one row a package: sums, the first five entries, joined texts."""
+    before = F.sum(F.coalesce(F.size("entries"), F.lit(0))).over(Window.partitionBy("package").orderBy("pos", "entries", "text").rowsBetween(Window.unboundedPreceding, -1))
+    none = F.array().cast(groups.schema["entries"].dataType)
+    groups = groups.withColumn("entries", F.when(F.coalesce(before, F.lit(0)) < 5, F.slice(F.coalesce("entries", none), 1, 5)).otherwise(none))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "entries", "text")))
     out = groups.groupBy("package").agg(*[F.sum(c).alias(c) for c in ("files", "classes", "methods", "risks")], ordered.alias("o"))
     return out.select("package", "files", "classes", "methods", "risks", F.slice(F.flatten(F.transform("o", lambda x: x["entries"])), 1, 5).alias("entries"), F.array_join(F.transform("o", lambda x: x["text"]), "；").alias("text"))

@@ -134,3 +134,25 @@ def test_implicit(spark):
     assert implicit.summarised(implicit.detected(files)).first().with_findings == 6
     impls = spark.createDataFrame([("FooService", "FooA"), ("FooService", "FooB")], "interface string, class string")
     assert {(r.target, r.confidence) for r in implicit.interface_impls(files, impls).collect()} == {("FooA", "MEDIUM"), ("FooB", "MEDIUM")}
+
+
+def test_diff_lines_in_segments(spark):
+    """Segments of any length give what one pass gives, from whole diffs and from lines; a file or hunk may reach over many."""
+    import random
+
+    r = random.Random(3)
+    rows = [(i, "\n".join(r.choice(["diff --git a/A.java b/A.java", "@@ -1,2 +3,4 @@", "+ x", "- y", " z", "+    public void run() {", "index"]) for _ in range(r.choice((0, 1, 9, 60))))) for i in range(12)] + [(99, None), (100, DIFF)]
+    given = spark.createDataFrame(rows, "diff_id int, diff string")
+    want = []
+    for i, text in rows:
+        file = hunk = 0
+        for at, line in enumerate(text.split("\n") if text is not None else []):
+            if line.startswith("diff --git "):
+                file, hunk = file + 1, 0
+            hunk += line.startswith("@@ ")
+            want.append((i, at, line, file, hunk))
+    lines = spark.createDataFrame([x[:3] for x in want], "diff_id int, at int, line string")
+    for segment in (1, 4, 100_000):
+        for source in (given, lines):
+            assert sorted(map(tuple, diffs.diff_lines(source, segment).collect())) == sorted(want)
+    assert {tuple(x)[:5] for x in diffs.changed_files(given, 2).collect()} == {tuple(x)[:5] for x in diffs.changed_files(given).collect()}
