@@ -173,4 +173,6 @@ def _sweep() -> None:
     for spark, path in _written:
         if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
             return
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
         _delete(spark, path)

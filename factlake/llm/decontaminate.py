@@ -27,7 +27,7 @@ from .words import ALNUM, chunks, mix, words
 
 WINDOW = 10
 #: characters of benchmark text searched in one pass over the documents; more items take more passes
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 4 << 20
 #: blocks searched in one pass over the texts, before what they found is written
 CHAIN = 4
 #: occurrences followed at once
@@ -87,10 +87,17 @@ class Block(NamedTuple):
     texts: list[list[str]]  #: item_ids of each text
     start: np.ndarray  #: first word of each distinct window
     need: np.ndarray  #: words of each distinct window
-    held: list[np.ndarray]  #: texts that hold each distinct window
+    held_at: np.ndarray  #: where each distinct window's texts begin in `held`, and the end
+    held: np.ndarray  #: texts that hold the distinct windows, window by window
     suffix: np.ndarray  #: first word of every suffix that is a window or longer
     window_of: np.ndarray  #: its distinct window
 
+    def texts_of(self, windows: np.ndarray) -> np.ndarray:
+        """The texts that hold any of these windows."""
+        n = (self.held_at[windows + 1] - self.held_at[windows]).astype(np.int64)
+        first = np.repeat(self.held_at[windows] - (np.cumsum(n) - n), n)
+        return np.unique(self.held[first + np.arange(len(first))])
+
 
 def block(items: list[tuple[str, np.ndarray]], window: int) -> Block:
     by: dict[bytes, list[str]] = {}
@@ -107,16 +114,19 @@ def block(items: list[tuple[str, np.ndarray]], window: int) -> Block:
         at += len(h)
     if not texts:
         none = np.zeros(0, np.int64)
-        return Block(np.zeros(0, np.uint64), none, [], none, none, [], none, none)
+        return Block(np.zeros(0, np.uint64), none, [], none, none, np.zeros(1, np.int64), none, none, none)
     flat, suffix, need, owner = (np.concatenate(x) for x in (texts, suffix, need, owner))
     name = need.astype(np.uint64)
     for d in range(window):
         name = np.where(need > d, mix(name * np.uint64(0x9E3779B97F4A7C15) + flat[np.minimum(suffix + d, len(flat) - 1)]), name)
     _, first, window_of = np.unique(name, return_index=True, return_inverse=True)
     pair = np.unique(window_of.astype(np.int64) * len(texts) + owner)
-    held = np.split(pair % len(texts), np.searchsorted(pair // len(texts), np.arange(1, len(first))))
+    held_at = np.searchsorted(pair // len(texts), np.arange(len(first) + 1))
     end = np.repeat(np.cumsum([len(h) for h in texts]), [len(h) for h in texts])
-    return Block(flat, end, [sorted(ids) for ids in by.values()], suffix[first], need[first], held, suffix, window_of)
+    ids = [sorted(ids) for ids in by.values()]
+    # a block goes to every worker: 40 bytes a word at most, as a block has fewer than 2**31 words
+    flat32 = [x.astype(np.int32) for x in (end, suffix[first], need[first], held_at, pair % len(texts), suffix, window_of)]
+    return Block(flat, flat32[0], ids, *flat32[1:])
 
 
 def _bound(column: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, word: np.ndarray, depth: int, right: bool) -> np.ndarray:
@@ -290,7 +300,7 @@ def _searched(text: Column, items: Block, detail: bool) -> Column:
                 upto = np.concatenate(([0], np.cumsum(hits.covered)))
                 for d in np.unique(doc):
                     own = window[np.searchsorted(doc, d) : np.searchsorted(doc, d, side="right")]
-                    ids[row0 + d] = sorted(i for t in np.unique(np.concatenate([items.held[w] for w in own])) for i in items.texts[t])
+                    ids[row0 + d] = sorted(i for t in items.texts_of(own) for i in items.texts[t])
                     a, b = starts[d], starts[d + 1]
                     n_hit[row0 + d] = upto[b] - upto[a]
                     if detail:

@@ -704,3 +704,25 @@ def test_html_on_given_pages():
         both = sum((got & want).values())
         counts = [a + b for a, b in zip(counts, (both, sum(got.values()), sum(want.values())))]
     assert 2 * counts[0] / (counts[1] + counts[2]) >= 0.9
+
+
+def test_a_benchmark_block_is_small():
+    """What goes to every worker takes at most 48 bytes a word, item_ids apart; a block of 4 M characters 40 MB."""
+    import pickle
+
+    r = np.random.default_rng(1)
+    words_ = r.integers(0, 1 << 62, 200_000).astype(np.uint64)
+    items = [(str(i), words_[i * 40 : i * 40 + 40]) for i in range(5000)] + [("copy", words_[:40]), ("part", words_[5:30])]
+    made = decontaminate.block(items, 10)
+    ids = len(pickle.dumps(made.texts))
+    assert len(pickle.dumps(made)) - ids < 48 * 200_000
+    n = len(made.start)
+    want = collections.defaultdict(set)
+    for k, (ids_, h) in enumerate(zip(made.texts, [words_[i * 40 : i * 40 + 40] for i in range(5000)] + [words_[5:30]])):
+        for a in range(len(h) - 9):
+            want[h[a : a + 10].tobytes()].add(k)
+    for w in r.integers(0, n, 200):
+        key = made.words[made.start[w] : made.start[w] + made.need[w]].tobytes()
+        assert set(made.texts_of(np.array([w])).tolist()) == want[key]
+    some = np.unique(r.integers(0, n, 50))
+    assert set(made.texts_of(some).tolist()) == set().union(*(want[made.words[made.start[w] : made.start[w] + made.need[w]].tobytes()] for w in some))
