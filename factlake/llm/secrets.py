@@ -40,26 +40,41 @@ RULES = (
 RULES_VERSION = "2"
 _SPANS = "array<struct<start:int,rule:int,end:int>>"
 REDACTED = "[REDACTED]"
+#: code points of a block that redaction cuts from
+BLOCK = 1024
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, merge) -> Column:
+    """What `merge` makes of each value and all before it, by doubling: n values take log n passes and no list grows by copies.
+
+    `merge` is given a value and the one so many places before it, null before the first.
+    """
+    powers = F.array(*[F.lit(1 << k) for k in range(31)])
+    fold = lambda acc, d: F.transform(acc, lambda v, i: merge(v, F.get(acc, i - d)))
+    return F.aggregate(powers, values, lambda acc, d: F.when(d < F.size(acc), fold(acc, d)).otherwise(acc))
 
 
 def _found(text: Column, k: int, rule: Rule) -> Column:
     """Spans of one rule: the text split at the matches gives what lies between them, and so their places."""
     pattern = F.lit(rule.pattern)
-    between = F.split(text, rule.pattern, -1)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     measured = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    lengths = F.zip_with(
-        F.slice(between, 1, F.size(whole)), F.zip_with(whole, measured, lambda w, m: F.struct(F.length(w).alias("w"), F.length(m).alias("m"))),
-        lambda b, x: F.struct(F.length(b).alias("b"), x["w"].alias("w"), x["m"].alias("m")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["b"]
-        span = F.array(F.struct(begin.alias("start"), F.lit(k).alias("rule"), (begin + x["w"]).alias("end")))
-        return F.struct((begin + x["w"]).alias("at"), F.when(x["m"] >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate(lengths, start, step)["spans"]
+    matches = F.zip_with(whole, measured, lambda w, m: F.struct(F.length(w).alias("w"), F.length(m).alias("m")))
+    between = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
+
+    def placed(x: Column) -> Column:
+        steps = F.zip_with(F.slice(x["between"], 1, F.size(x["matches"])), x["matches"], lambda b, m: b + m["w"])
+        ends = _running(steps, lambda v, before: v + F.coalesce(before, F.lit(0)))
+        span = lambda m, e: F.struct((e - m["w"]).alias("start"), F.lit(k).alias("rule"), e.alias("end"), m["m"].alias("m"))
+        long_enough = F.filter(F.zip_with(x["matches"], ends, span), lambda s: s["m"] >= rule.least)
+        return F.transform(long_enough, lambda s: s.dropFields("m"))
+
+    spans = _bound(F.struct(matches.alias("matches"), between.alias("between")), placed)
     return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(_SPANS))
 
 
@@ -111,14 +126,27 @@ def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span, overlapping ones together, as REDACTED."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span, overlapping ones together, as REDACTED.
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(REDACTED))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    What is kept is cut out of blocks of BLOCK code points, so that no cut walks through the text before it.
+    """
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def cut_out(blocks: Column, begin: Column, end: Column) -> Column:
+        first, last = (F.floor(at / BLOCK).cast("int") for at in (begin, end))
+        head = F.substring(F.get(blocks, first), begin % BLOCK + 1, F.least(F.lit(BLOCK), end - begin))
+        body = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.concat_ws("", head, body, F.when(last > first, F.substring(F.get(blocks, last), F.lit(1), end % BLOCK)))
+
+    def without(x: Column) -> Column:
+        far, blocks = x["far"], x["blocks"]
+        gaps = F.transform(x["spans"], lambda s, i: F.struct(F.coalesce(F.get(far, i - 1), F.lit(0)).alias("begin"), s["start"].alias("end")))
+        tail = F.struct(F.coalesce(F.get(far, F.size(far) - 1), F.lit(0)).alias("begin"), F.length(text).alias("end"))
+        kept_gaps = F.concat(F.filter(gaps, lambda g: g["end"] >= g["begin"]), F.array(tail))
+        return F.array_join(F.transform(kept_gaps, lambda g: cut_out(blocks, g["begin"], g["end"])), REDACTED)
+
+    far = _running(F.transform(spans, lambda s: s["end"]), lambda v, before: F.greatest(v, before))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return _bound(F.struct(spans.alias("spans"), far.alias("far"), blocks.alias("blocks")), without)
 
 
 def without_secrets(documents: DataFrame, ledger: str | None = None) -> DataFrame:
